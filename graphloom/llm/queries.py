@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, packing, token_counts, token_files
+from graphloom.llm import bpe, cws, packing, quality, rules, simhash, substring_dedup, token_counts, token_files, toxicity
 from graphloom.llm.shared import fresh_path, spread
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The cluster's own measure of how finely data are dealt."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.bpe_encode(spread(documents(spark, sf_dir)), TOKENIZER)
     texts = bpe.bpe_decode(tokens, TOKENIZER)
@@ -23,10 +32,40 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(spread(documents(spark, sf_dir)))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spread(documents(spark, sf_dir)), TOKENIZER)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    weights = quality.fit(docs, labels(spark, sf_dir))
+    rows = quality.quality_scores(spread(docs), weights)
+    return rows.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    machine = toxicity.fit(docs, labels(spark, sf_dir))
+    rows = toxicity.toxicity_scores(spread(docs), machine)
+    return rows.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = max(8, shuffle_partitions(spark) // 2)
+    rows = substring_dedup.remove_repeats(documents(spark, sf_dir), buckets)
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.quality_rules(spread(documents(spark, sf_dir)))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path, TOKENIZER)
@@ -35,10 +74,53 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, shuffle_partitions(spark))
     rows = token_counts.token_counts(spread(documents(spark, sf_dir)), TOKENIZER, buckets)
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_pack, op8_token_files, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cws.fingerprint_documents(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", "edited_sha256", cws.as_text(F.col("signature")).alias("fingerprint"), cws.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_pack, op4_quality, op5_toxicity, op6_substrings, op7_rules, op8_token_files, op9_token_counts, op10_fingerprints)}
+
+ORACLE_SQL = {
+    "op7_rules": r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+gram AS (
+  SELECT doc_id, i, words[i:i + 4] AS five
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) >= 5)
+),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM gram),
+rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT doc_id, i, unnest([0, 1, 2, 3, 4]) AS k FROM twice WHERE n > 1) GROUP BY doc_id
+),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+),
+base AS (
+  SELECT w.doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)
+),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+host AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM failed GROUP BY source),
+total AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS k, sum(f * f * 1.0 / n) AS ff FROM host),
+rate AS (SELECT f * 1.0 / n AS m, k * 1.0 / n AS o, ff / n AS q FROM total),
+rho AS (
+  SELECT m, CASE WHEN m <= 0 OR m >= 1 OR o >= 1 THEN 0.5
+    ELSE least(greatest(((q - m * m) / (m * (1 - m)) - o) / (1 - o), 0.0001), 0.999) END AS r FROM rate
+),
+verdict AS (SELECT source, (f + m * (1 / r - 1)) / (n + (1 / r - 1)) <= 0.5 AS host_kept FROM host, rho)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
+""",
+}
