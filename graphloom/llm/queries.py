@@ -74,8 +74,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = max(64, shuffle_partitions(spark))
-    rows = token_counts.token_counts(spread(documents(spark, sf_dir)), TOKENIZER, buckets)
+    rows = token_counts.token_counts(spread(documents(spark, sf_dir)), TOKENIZER)
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 

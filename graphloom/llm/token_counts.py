@@ -1,11 +1,11 @@
 """Operator 9: token counts per document without ids of documents.
 
-Documents become pre-token frequencies, dealt into ``buckets`` by a hash of the pre-token, so
-that equal pre-tokens of all documents meet in one task. There each distinct pre-token's pieces
-are counted once, joined to the frequencies by its code, and summed by document. A frequent
-pre-token adds one entry per document to its bucket, as any other does, and long texts are
-dealt over all buckets. Frequencies of pre-tokens that are themselves pieces of the vocabulary
-(a table bounded by the vocabulary) are summed where they arise.
+Each distinct pre-token of a slice of documents is taken through the merges once and only the
+number of its pieces is kept, in a bounded table of the worker. A document is its distinct
+chunks with their frequencies; they are joined to the counts by the chunks' codes and summed.
+
+Dealing all (document, pre-token, frequency) rows to one count per pre-token of the whole corpus
+was tried first: it moves several times the bytes of the texts to save merges that cost less.
 """
 
 from __future__ import annotations
@@ -15,137 +15,60 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pretoken import Encoder, encoder, listed, ragged, slices
-
-KNOWN = 400_000
-
+from graphloom.llm.pretoken import encoder, listed, slices
 
-@lru_cache(maxsize=2)
-def vocabulary_counts(path: str) -> dict[str, int]:
-    """Pieces of each pre-token that the vocabulary spells as one piece of plain ASCII."""
-    e = encoder(path)
-    end = "</w>"
-    words = [p[: -len(end)] for p in e.table.vocab if p.endswith(end) and p.isascii() and len(p) > len(end)]
-    words = [w for w in words if e.pre.flat([w]) == [w, "\n"]]
-    _, n = e.words(words)
-    return dict(zip(words, n.tolist(), strict=True))
+KNOWN = 500_000
 
 
-class Frequencies:
-    """Chunks of texts to pre-tokens: pieces known from the vocabulary, and codes of other pre-tokens."""
+class PieceCounts:
+    """Numbers of pieces of chunks."""
 
     def __init__(self, path: str):
-        self.e, self.counts = encoder(path), vocabulary_counts(path)
-        self.chunks: dict[str, tuple[int, tuple[str, ...]]] = {}
+        self.e = encoder(path)
+        self.known: dict[str, int] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        own: list[str] = []
-        n, at, get = 0, 0, self.counts.get
-        for w in self.e.pre.flat(chunks):
-            if w == "\n":
-                self.chunks[chunks[at]] = (n, tuple(own))
-                n, at = 0, at + 1
-                own.clear()
-            elif w in self.e.pre.special:
-                n += 1
-            elif (c := get(w)) is None:
-                own.append(w)
-            else:
-                n += c
-
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: known pieces. Then the other pre-tokens, and (text, pre-token, frequency) entries in order of text."""
+        coded = pa.array(self.e.pre.flat(chunks), pa.large_string()).dictionary_encode()
+        code, words = coded.indices.to_numpy(), listed(coded.dictionary)
+        pieces = self.e.words(words)[1]
+        total = np.concatenate([[0], np.cumsum(pieces[code])])[1:][code == words.index("\n")]
+        self.known.update(zip(chunks, np.diff(total, prepend=0).tolist(), strict=True))
+
+    def of(self, texts: pa.Array) -> np.ndarray:
         code, chunks, offsets = self.e.split(texts)
-        if len(self.chunks) > KNOWN:
-            self.chunks.clear()
-        if missing := [c for c in chunks if c not in self.chunks]:
+        if not chunks:
+            return np.zeros(len(texts), np.int64)
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        if missing := [c for c in chunks if c not in self.known]:
             self.learn(missing)
-        got = list(map(self.chunks.__getitem__, chunks))
-        known = np.fromiter((g[0] for g in got), np.int64, len(got))
-        per_chunk = np.fromiter((len(g[1]) for g in got), np.int64, len(got))
-        coded = pa.array([w for g in got for w in g[1]], pa.string()).dictionary_encode()
-        words = listed(coded.dictionary)
-        word = coded.indices.to_numpy().astype(np.int64)
+        pieces = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        sums = np.bincount(doc, known[code], len(texts)).astype(np.int64)
-        n = per_chunk[code]
-        pair = np.repeat(doc, n) * max(1, len(words)) + word[ragged((np.cumsum(per_chunk) - per_chunk)[code], n)]
-        pair, freq = np.unique(pair, return_counts=True)
-        return sums, words, pair // max(1, len(words)), pair % max(1, len(words)), freq
+        term, frequency = np.unique(doc * len(chunks) + code, return_counts=True)
+        sums = np.concatenate([[0], np.cumsum(pieces[term % len(chunks)] * frequency)])
+        return np.diff(sums[np.searchsorted(term, np.arange(len(texts) + 1) * len(chunks))])
 
 
 @lru_cache(maxsize=2)
-def frequencies(path: str) -> Frequencies:
-    return Frequencies(path)
+def piece_counts(path: str) -> PieceCounts:
+    return PieceCounts(path)
 
 
-def token_counts(docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens): one row per input row.
 
-    Null and empty texts have 0 bytes and 0 tokens; null ids are kept; repeated rows are counted
-    each; other columns are not looked at. ``buckets`` is the parallelism of the counting and
-    should grow with the input.
+    Null and empty texts have 0 bytes and 0 tokens; null ids and repeated rows are kept; other
+    columns are not looked at.
     """
-    key = ["id", "fingerprint", "n_bytes"]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = frequencies(path)
-        for b in slices(batches, "text"):
-            sums, words, doc, word, freq = f.of(b.column("text"))
-            bucket = np.fromiter((hash_of(w) % buckets for w in words), np.int64, len(words))[word] if len(words) else word
-            order = np.lexsort((word, bucket, doc))
-            doc, word, freq, bucket = doc[order], word[order], freq[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(bucket) != 0)])[: len(doc)])
-            ends = np.append(first, len(doc)).astype(np.int32)
-            text = pa.ListArray.from_arrays(pa.array(ends), pa.array(words, pa.string()).take(pa.array(word)))
-            n = pa.ListArray.from_arrays(pa.array(ends), pa.array(freq.astype(np.int32)))
-            row = pa.array(np.concatenate([np.arange(b.num_rows), doc[first]]))
-            ids = [b.column(k).take(row) for k in key]
-            own = pa.array(np.concatenate([sums, np.zeros(len(first), np.int64)]))
-            none = pa.nulls(b.num_rows, pa.string())
-            joined = pa.concat_arrays([none, pc.binary_join(text, "\n")])
-            counts = pa.concat_arrays([pa.nulls(b.num_rows, n.type), n])
-            where = pa.array(np.concatenate([np.full(b.num_rows, -1), bucket[first]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*ids, where, own, joined, counts], [*key, "bucket", "n_known", "words", "freqs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e: Encoder = encoder(path)
-        known: dict[str, int] = {}
-        for b in slices(batches, "words", 4_000_000):
-            lists = pc.split_pattern(pc.fill_null(b.column("words"), ""), "\n")
-            has = b.column("words").is_valid().to_numpy(zero_copy_only=False)
-            offsets = lists.offsets.to_numpy()
-            coded = lists.flatten().dictionary_encode()
-            words, code = listed(coded.dictionary), coded.indices.to_numpy()
-            if len(known) > KNOWN:
-                known.clear()
-            if missing := [w for w in words if w and w not in known]:
-                known.update(zip(missing, e.words(missing)[1].tolist(), strict=True))
-            pieces = np.fromiter((known[w] if w else 0 for w in words), np.int64, len(words))[code]
-            freq = np.zeros(len(code), np.int64)
-            freq[np.repeat(has, np.diff(offsets))] = pc.list_flatten(b.column("freqs")).to_numpy()
-            total = np.concatenate([[0], np.cumsum(pieces * freq)])
-            n = np.diff(total[offsets - offsets[0]]) + b.column("n_known").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), pa.array(n), pa.array((~has).astype(np.int64))], [*key, "n", "copies"])
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(piece_counts(path).of(b.column("text")))], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("fingerprint"), F.octet_length(text).cast("long").alias("n_bytes"))
-    names = f"id {kind}, fingerprint long, n_bytes long"
-    dealt = rows.mapInArrow(spread, f"{names}, bucket int, n_known long, words string, freqs array<int>")
-    # the one row per document that has no bucket stays where it is dealt by its own hash
-    dealt = dealt.repartition(buckets, F.when(F.col("bucket") < 0, F.col("fingerprint")).otherwise(F.col("bucket").cast("long")))
-    parts = dealt.mapInArrow(count, f"{names}, n long, copies long")
-    whole = parts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("copies").cast("int").alias("copies"))
-    each = F.explode(F.sequence(F.lit(1), F.col("copies")))  # repeated rows were summed together
-    return whole.select(F.col("id").alias(id_col), "n_bytes", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), each.alias("_")).drop("_")
-
-
-def hash_of(word: str) -> int:
-    from zlib import crc32
-
-    return crc32(word.encode())
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
