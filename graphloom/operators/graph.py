@@ -60,27 +60,31 @@ def unitigs(solid: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     # head: farthest known predecessor; hops: its distance; least: smallest k-mer on the stretch (for rings)
     state = nodes.join(plain.select("v", F.col("u").alias("head")), "v", "left")
     state = kept(state.select("v", F.coalesce("head", "v").alias("head"), F.col("head").isNotNull().cast("int").alias("hops"), F.least("v", F.coalesce("head", "v")).alias("least")))
-    open_before = None
+    seen = None
     while True:
         far = state.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("hops").alias("n2"), F.col("least").alias("l2"))
         state = kept(state.join(far, "head").select("v", F.col("h2").alias("head"), (F.col("hops") + F.col("n2")).alias("hops"), F.least("least", "l2").alias("least")))
         starts = nodes.join(plain.select("v"), "v", "left_anti").select(F.col("v").alias("head"))
         unsettled = state.join(starts, "head", "left_anti")
-        n = unsettled.count()
-        if n == 0 or n == open_before:
+        # on rings heads go round for ever, but their least k-mers settle
+        now = unsettled.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "least").cast("decimal(38,0)"))).first()
+        n = now[0]
+        if n == 0 or now == seen:
             break
-        open_before = n
+        seen = now
     rings = None
     if n:  # what is left lies on rings: cut each at its least k-mer and walk again
         first = unsettled.select("v", F.col("least").alias("ring"))
+        other = first.select(revcomp(F.col("v")).alias("v"), F.col("ring").alias("other"))
+        first = kept(first.join(other, "v").where("ring <= other").select("v", "ring"))  # one strand of each ring
         cut = plain.join(first.where("v = ring").select("v"), "v", "left_anti")
         ring_nodes = kept(first.select("v"))
         rings = _walk(ring_nodes, cut.join(ring_nodes, "v", "left_semi"))
-    chains = state.join(starts, "head", "left_semi").select("v", "head", "hops")
-    chains = chains.union(rings) if rings is not None else chains
+    chains = state.join(starts, "head", "left_semi").select("v", "head", "hops", F.lit(False).alias("ring"))
+    chains = chains.union(rings.withColumn("ring", F.lit(True))) if rings is not None else chains
     letter = F.struct("hops", F.when(F.col("hops") == 0, F.col("v")).otherwise(F.substring("v", k, 1)).alias("piece"))
-    paths = chains.groupBy("head").agg(F.array_join(F.transform(F.sort_array(F.collect_list(letter)), lambda x: x.piece), "").alias("seq"), F.count(F.lit(1)).cast("int").alias("n_kmers"))
-    paths = paths.where(F.col("seq") <= revcomp(F.col("seq")))
+    paths = chains.groupBy("head", "ring").agg(F.array_join(F.transform(F.sort_array(F.collect_list(letter)), lambda x: x.piece), "").alias("seq"), F.count(F.lit(1)).cast("int").alias("n_kmers"))
+    paths = paths.where(F.col("ring") | (F.col("seq") <= revcomp(F.col("seq"))))
     out = kept(paths.select(F.xxhash64("seq").alias("unitig_id"), "head", "seq", "n_kmers"))
     on_path = chains.join(out.select("head", "unitig_id"), "head").select("v", "unitig_id", F.col("hops").alias("dist"))
     index = on_path.select(F.col("v").alias("kmer"), "unitig_id", "dist", F.lit(True).alias("strand")).union(on_path.select(revcomp(F.col("v")), "unitig_id", "dist", F.lit(False)))
