@@ -18,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from graphloom.llm.segtree_bpe import MergeTable, encode_words, merge_table
+from graphloom.llm.segtree_bpe import MergeTable, byte_alphabet, encode_words, merge_table
 
-KNOWN = 600_000
-SLICE_BYTES = 12_000_000
+KNOWN = 450_000
+SLICE_BYTES = 10_000_000
 
 # The split pattern of the tokenizer file, and what it comes to in ASCII; \n parts chunks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
@@ -49,23 +49,54 @@ def listed(texts: pa.Array) -> list[str]:
     return texts.to_numpy(zero_copy_only=False).tolist()
 
 
+@lru_cache(maxsize=1)
+def _unassigned():
+    """Finds code points that Python's tables don't know; newer tables, as the library's, may."""
+    known = [unicodedata.category(chr(i)) != "Cn" for i in range(0x110000)]
+    edges = [i for i in range(1, 0x110000) if known[i] != known[i - 1]] + [0x110000]
+    ranges = [f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2], strict=False)]
+    return re.compile(f"[{''.join(ranges)}]").search
+
+
 class Pretokenizer:
     """Adds the file's added tokens, whose strings stand for their ids wherever a text has them."""
 
     def __init__(self, path: str):
+        self.path = path
         self.table: MergeTable = merge_table(path)
         self.special = self.table.special
         names = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)"
         self.find, self.cut = re.compile(names).search, re.compile(f"({names})").split
+        self.bytes_of = {c: b for b, c in enumerate(byte_alphabet())}
+
+    def _by_library(self, text: str) -> list[str]:
+        """Pre-tokens by the library's own tables."""
+        lib = library(self.path)
+        parts = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes_of.__getitem__, p)).decode() for p, _ in parts]
 
     def flat(self, chunks: list[str]) -> list[str]:
-        """Pre-tokens of all chunks with "\\n" after each chunk's; an added token is kept as its string."""
+        """Pre-tokens of all chunks with "\n" after each chunk's; an added token is kept as its string."""
         text = "\n".join([*chunks, ""])
+        if not text.isascii() and _unassigned()(text):
+            out: list[str] = []
+            for c in chunks:
+                for i, part in enumerate(self.cut(c)):
+                    out += [part] if i % 2 else self._by_library(part) if _unassigned()(part) else pretokens(part)
+                out.append("\n")
+            return out
         if not self.find(text):
             return pretokens(text)
         return [w for i, part in enumerate(self.cut(text)) for w in ([part] if i % 2 else pretokens(part))]
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """ids of whole texts, little-endian unsigned 32-bit integers."""
 
