@@ -31,9 +31,9 @@ from graphloom.llm.quality import labelled_sample
 from graphloom.llm.simhash import split_words
 
 SLOTS_LOG2 = 18
-DECAY = 0.5
+DECAY = 0.65
 LANDMARKS = 192
-ROUNDS = 3
+ROUNDS = 5
 MAX_LABELLED = 8_000
 KNOWN = 400_000
 PATTERNS = [(0, *mid, last) for size, span in ((3, 5), (4, 6)) for last in range(size - 1, span) for mid in combinations(range(1, last), size - 2)]
@@ -140,18 +140,22 @@ def text_features(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(beyond), np.log1p(half), np.minimum(beyond * per, 10), np.minimum(half * per, 10), high, np.maximum(high, 0), np.log1p(n), np.ones(len(n))], axis=1)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 2.0, steps: int = 12) -> np.ndarray:
-    """Primal linear SVM of squared hinge loss by Newton steps; the last column of x is the constant."""
+def _svm(x: np.ndarray, y: np.ndarray, c: float = 2.0, steps: int = 60) -> np.ndarray:
+    """Primal linear SVM of squared hinge loss by Newton steps, halved while they don't help; the last column is the constant."""
     w = np.zeros(x.shape[1])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * c
     ridge = np.eye(x.shape[1])
+    loss = lambda w: w @ w + (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    now = loss(w)
     for _ in range(steps):
         active = y * (x @ w) < 1
         xa, wa = x[active], weight[active]
-        new = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * (wa * y[active])[:, None]).sum(axis=0))
-        if np.allclose(new, w, atol=1e-6):
+        step = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * (wa * y[active])[:, None]).sum(axis=0)) - w
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-8:
+            step = step / 2
+        if now - then < 1e-6 * now:
             break
-        w = new
+        w, now = w + step, then
     return w
 
 
@@ -204,29 +208,35 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
 
-    def kernel(which: np.ndarray) -> np.ndarray:
-        rows = np.zeros((len(which), len(landmarks)))
-        for a in range(0, len(which), 256):
-            rows[a : a + 256] = unit_vectors([words[i] for i in which[a : a + 256].tolist()], used) @ basis.T
-        return np.hstack([rows @ root, np.ones((len(which), 1))])
+    def kernel(some: list[str]) -> np.ndarray:
+        rows = np.zeros((len(some), len(landmarks)))
+        for a in range(0, len(some), 256):
+            rows[a : a + 256] = unit_vectors(some[a : a + 256], used) @ basis.T
+        return np.hstack([rows @ root, np.ones((len(some), 1))])
+
+    def stretched(word: str) -> list[str]:
+        """A toxic word with a letter put in, as it may be hidden."""
+        at = rng.integers(2, len(word) - 1, 2)
+        return [word[:i] + chr(rng.integers(97, 123)) + word[i:] for i in at.tolist()]
 
     f = f + odds * np.log1p(bad)
     offset = 0.0
     for _ in range(ROUNDS):
-        # sentences stand for their highest word: of a toxic text the two highest, of a clean one all high ones
+        # sentences stand for their highest word: of a toxic text the two highest, of clean ones all high, all
+        # frequent and some other words
         order = np.lexsort((-f[in_word], in_doc))
         place = np.arange(len(order)) - np.concatenate([[0], np.cumsum(np.bincount(in_doc, minlength=len(texts)))])[in_doc[order]]
         top = order[place < 2]
         positive = np.unique(in_word[top[toxic[in_doc[top]]]])
         positive = positive[odds[positive] > 1.0]
         clean = np.flatnonzero(good > 0)
-        negative = np.concatenate([clean[np.argsort(-f[clean])][:3000], rng.permutation(clean)[:3000]])
+        negative = np.concatenate([clean[np.argsort(-f[clean])][:3000], clean[np.argsort(-good[clean])][:2000], rng.permutation(clean)[:2000]])
         negative = np.setdiff1d(negative, positive[odds[positive] > 2.5])
         if not len(positive) or not len(negative):
             break
-        both = np.concatenate([positive, negative])
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        a = _svm(kernel(both), y)
+        plainly = [words[i] for i in positive.tolist()]
+        hidden = [h for w in plainly if len(w) > 6 for h in stretched(w)]
+        a = _svm(kernel(plainly + hidden + [words[i] for i in negative.tolist()]), np.concatenate([np.ones(len(plainly) + len(hidden)), -np.ones(len(negative))]))
         v = np.zeros(1 << SLOTS_LOG2)
         v[used] = (root @ a[:-1]) @ basis
         offset = a[-1]
