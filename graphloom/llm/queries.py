@@ -86,6 +86,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_pack, op4_quality, op5_toxicity, op6_substrings, op7_rules, op8_token_files, op9_token_counts, op10_fingerprints)}
 
 ORACLE_SQL = {
+    "op6_substrings": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS w
+  FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)
+),
+f AS (SELECT w, min(doc_id) AS first FROM p GROUP BY w),
+hit AS (SELECT p.doc_id, i FROM p JOIN f USING (w) WHERE first < p.doc_id),
+mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM mark),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, run),
+piece AS (
+  SELECT d.doc_id, a, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 1) - 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 1))) AS kept
+  FROM d JOIN span USING (doc_id)
+  UNION ALL
+  SELECT d.doc_id, length(h), substr(h, 2 * coalesce(e, 1) - 1)
+  FROM d LEFT JOIN (SELECT doc_id, max(b) AS e FROM span GROUP BY doc_id) USING (doc_id)
+),
+whole AS (SELECT doc_id, string_agg(kept, '' ORDER BY a) AS kept FROM piece GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d JOIN whole USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
     "op7_rules": r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
