@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import stored
+
 SAMPLES = 32
 GROUP = 8
 ORDER_BUCKETS = 64
@@ -23,22 +25,22 @@ WORD_BREAKS = r"[ \t-\r]+"
 _LOW = (1 << 32) - 1
 
 
-def _unit(h: Column, high: bool) -> Column:
-    """32 bits of a hash as a number in (0, 1)."""
-    bits = F.shiftrightunsigned(h, 32) if high else h.bitwiseAND(F.lit(_LOW))
-    return (bits.cast("double") + 0.5) / float(1 << 32)
+def _unit(h: Column, shift: int, bits: int) -> Column:
+    """Some bits of a hash as a number in (0, 1)."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
 
 
 def _sample(term: Column, log_weight: Column, number: Column) -> Column:
     first = F.xxhash64(term, number)
-    second, third = F.xxhash64(first), F.xxhash64(first, number)
-    r = -F.log(_unit(first, True) * _unit(first, False))
-    log_c = F.log(-F.log(_unit(second, True) * _unit(second, False)))
-    b = _unit(third, True)
+    second = F.xxhash64(first)
+    r = -F.log(_unit(first, 0, 21) * _unit(first, 21, 21))
+    b = _unit(first, 42, 22)
+    log_c = F.log(-F.log(_unit(second, 0, 32) * _unit(second, 32, 32)))
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
     fixed = F.least(F.greatest((log_a + 512.0) * float(1 << 20), F.lit(0.0)), F.lit(float((1 << 30) - 1))).cast("long")
-    return F.shiftleft(fixed, 32).bitwiseOR(F.xxhash64(term, t, number).bitwiseAND(F.lit(_LOW)))
+    name = second.bitwiseXOR(F.shiftleft(t, 20)).bitwiseXOR(t).bitwiseAND(F.lit(_LOW))  # of (term, t)
+    return F.shiftleft(fixed, 32).bitwiseOR(name)
 
 
 def signatures(texts: DataFrame, key: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -106,8 +108,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kinds = both.select("k", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t")).select("k", "t.kind", "t.text")
     signed = signatures(kinds, ["k", "kind"], "text", samples)
     pair = signed.groupBy("k").agg(F.first(F.when(F.col("kind") == 0, F.col("signature")), True).alias("signature"), F.first(F.when(F.col("kind") == 1, F.col("signature")), True).alias("edited_signature"))
+    pair = stored(pair.join(hashed, "k"), "signatures")  # read twice; no text is wanted after it
     of_next = pair.select(F.col("k").alias("next_k"), F.col("signature").alias("next_signature"))
-    out = pair.join(hashed, "k").join(chain, "k").join(of_next, "next_k")
+    out = pair.join(chain, "k").join(of_next, "next_k")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "signature", "edited_signature",
