@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
             w = train([texts[i] for i in order], np.array([marks[i] for i in order], float))
             yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()])], ["w"])
 
-    got = labelled_sample(docs, labels, label, limit).coalesce(1).mapInArrow(learn, "w binary").collect()
+    got = labelled_sample(docs, labels, label, limit).repartition(1).mapInArrow(learn, "w binary").collect()
     return np.frombuffer(got[0].w, "<f4").astype(float) if got else np.zeros((1 << SLOTS_LOG2) + 2)
 
 

@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
             v, w = train([texts[i] for i in order], np.array([marks[i] for i in order]))
             yield pa.RecordBatch.from_arrays([pa.array([np.append(v, w).astype("<f4").tobytes()])], ["m"])
 
-    got = labelled_sample(docs, labels, label, limit).coalesce(1).mapInArrow(learn, "m binary").collect()
+    got = labelled_sample(docs, labels, label, limit).repartition(1).mapInArrow(learn, "m binary").collect()
     return bytes(got[0].m) if got else np.zeros((1 << SLOTS_LOG2) + 9, "<f4").tobytes()
 
 
