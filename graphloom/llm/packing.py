@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pretoken import encoder, slices
+from graphloom.llm.pretoken import slices
+from graphloom.llm.token_counts import piece_counts
 
 CAPACITY = 2048
 DOCS_PER_SHARD = 2048
@@ -28,9 +29,8 @@ def token_lengths(docs: DataFrame, path: str, keep: list[str], text_col: str = "
     """The columns ``keep`` and n_tokens (long) of each text; null: 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for b in slices(batches, "__text"):
-            n = np.diff(e.encode(b.column("__text"))[1])
+            n = piece_counts(path).of(b.column("__text"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n)], [*keep, "n_tokens"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
