@@ -102,23 +102,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        first, part, seq = len(e.table.pieces), TaskContext.get().partitionId(), 0
+        first, part, seq, before = len(e.table.pieces), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, size
+            nonlocal seq, size, before
             ids = np.concatenate([x[1] for x in held])
             counts = np.concatenate([x[2] for x in held])
             symbols, rules = compress(ids, end_id, first)
             _, _, length = expansions(rules, first)
             ends = np.searchsorted(np.cumsum(length[symbols]), np.cumsum(counts)) + 1
             row = {
-                "part": part, "seq": seq, "n_ids": len(ids), "n_terminals": first, "doc_ids": pa.concat_arrays([x[0] for x in held]).to_pylist(), "n_tokens": counts.astype(np.int64),
+                "part": part, "seq": seq, "n_before": before, "n_ids": len(ids), "n_terminals": first, "doc_ids": pa.concat_arrays([x[0] for x in held]).to_pylist(), "n_tokens": counts.astype(np.int64),
                 "n_symbols": np.diff(ends, prepend=0), "rules": rules.astype("<u4").tobytes(), "lengths": length[first:].astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
             }
             held.clear()
-            seq, size = seq + 1, 0
+            seq, size, before = seq + 1, 0, before + len(ids)
             return pa.RecordBatch.from_pylist([row])
 
         for b in slices(batches, "text"):
@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if held:
             yield flush()
 
-    fields = f"part long, seq long, n_ids long, n_terminals long, doc_ids array<{kind}>, n_tokens array<long>, n_symbols array<long>, rules binary, lengths binary, symbols binary"
+    fields = f"part long, seq long, n_before long, n_ids long, n_terminals long, doc_ids array<{kind}>, n_tokens array<long>, n_symbols array<long>, rules binary, lengths binary, symbols binary"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     rows.mapInArrow(shards, fields).write.option("compression", "zstd").parquet(path)
 
@@ -145,10 +145,8 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     """(id, start, n_tokens, ids): start counts the ids of all documents before it."""
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per range of ids
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per task that wrote
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    starts = files.select("part", "seq", inside.alias("in_part")).join(before, "part").select("part", "seq", (F.col("part_start") + F.col("in_part")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,5 +159,5 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
                 doc_ids = s["doc_ids"].values
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(at[:-1] + s["start"].as_py()), pa.array(n), binary_rows(ids, at).cast(pa.binary())], [id_col, "start", "n_tokens", "ids"])
 
-    whole = files.join(starts, ["part", "seq"]).select("doc_ids", "n_tokens", "n_terminals", "rules", "symbols", "start")
+    whole = files.join(F.broadcast(before), "part").select("doc_ids", "n_tokens", "n_terminals", "rules", "symbols", (F.col("part_start") + F.col("n_before")).alias("start"))
     return whole.mapInArrow(decode, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
