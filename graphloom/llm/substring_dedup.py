@@ -272,11 +272,12 @@ def _cut(buckets: int, id_type: pa.DataType):
         covered = np.zeros(len(block.data) + 1, np.int64)
         if marks.num_rows:
             mark, found = _marks(block, marks, buckets)
+            starts = []
             for o in range(BEFORE + 1):
                 able = (block.before >= o) & (block.after >= LENGTH - o)
-                which = able & ((mark == WHOLE) | ((found >> np.uint64(o)) & np.uint64(1) > 0))
-                start = block.at[which] - o
-                covered += np.bincount(start, minlength=len(covered)) - np.bincount(start + LENGTH, minlength=len(covered))
+                starts.append(block.at[able & ((mark == WHOLE) | ((found >> np.uint64(o)) & np.uint64(1) > 0))] - o)
+            starts = np.concatenate(starts)
+            covered += np.bincount(starts, minlength=len(covered)) - np.bincount(starts + LENGTH, minlength=len(covered))
         gone = np.cumsum(covered)[:-1] > 0
         before = np.concatenate([[False], gone[:-1]])[: len(gone)]
         before[block.starts[block.starts < len(gone)]] = False
