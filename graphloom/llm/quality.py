@@ -171,18 +171,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     return np.frombuffer(got[0].w, "<f4").astype(float) if got else np.zeros((1 << SLOTS_LOG2) + 2)
 
 
-def quality_scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): one row per input row. Null and empty texts have no n-grams: they get the bias alone.
+def quality_scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, keep): one row per input row. Null and empty texts have no n-grams: they get the bias alone.
 
-    Null ids and repeated rows are kept; other columns are not looked at.
+    Null ids and repeated rows are kept; the columns ``keep`` go through as they are, others are not looked at.
     """
     blob = weights.astype("<f4").tobytes()  # 1 MB, whatever the input
+    names = [f"__{i}" for i in range(len(keep))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(blob, "<f4").astype(float)
-        for b in slices(batches, "text", 5_000_000):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(score(b.column("text"), w))], ["id", "score"])
+        for b in slices(batches, "__text", 5_000_000):
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(score(b.column("__text"), w)), *(b.column(c) for c in names)], ["__id", "score", *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, f"id {kind}, score double")
-    return rows.withColumnRenamed("id", id_col)
+    fields = ", ".join([f"__id {docs.schema[id_col].dataType.simpleString()}", "score double", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))])
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(n) for n, c in zip(names, keep, strict=True))).mapInArrow(apply, fields)
+    return rows.select(F.col("__id").alias(id_col), "score", *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)))

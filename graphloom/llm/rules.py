@@ -69,16 +69,16 @@ def statistics_of(texts: pa.Array) -> list[np.ndarray]:
     return [n_words.astype(np.int64), np.diff(chars[offsets]).astype(np.int64), symbols, dup_lines.astype(np.int64), repeats]
 
 
-def rule_statistics(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each row; null texts have no words."""
+def rule_statistics(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, keep) of each row; null texts have no words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 6_000_000):
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), *map(pa.array, statistics_of(b.column("text")))], ["id", "host", *(f.split()[0] for f in STATS.split(", "))])
+        for b in slices(batches, "__text", 6_000_000):
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), *map(pa.array, statistics_of(b.column("__text"))), *(b.column(c) for c in keep)], ["id", "host", *(f.split()[0] for f in STATS.split(", ")), *keep])
 
     id_kind, host_kind = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, f"id {id_kind}, host {host_kind}, {STATS}")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("__text"), *keep)
+    return rows.mapInArrow(count, ", ".join([f"id {id_kind}, host {host_kind}, {STATS}", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def base_failed() -> Column:
@@ -102,14 +102,14 @@ def host_verdicts(stats: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, host, statistics, base_failed, host_kept, kept): one row per input row, null ids and repeats included.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, host, statistics, base_failed, host_kept, kept, keep): one row per input row, null ids and repeats included.
 
     Empty and null texts fail by having under ten words. No rows in, no rows out.
     """
     from graphloom.llm.shared import stored
 
-    stats = stored(rule_statistics(docs, id_col, host_col, text_col), "rules")
+    stats = stored(rule_statistics(docs, id_col, host_col, text_col, keep), "rules")
     verdict = host_verdicts(stats).select(F.col("host").alias("of_host"), "host_kept")
     rows = stats.join(verdict, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host").withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).withColumnRenamed("id", id_col).withColumnRenamed("host", host_col)

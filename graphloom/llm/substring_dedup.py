@@ -3,7 +3,7 @@
 Every window of 50 bytes is found by its least-hashed 20-byte piece, its anchor; equal windows
 have equal anchors at equal places. So only anchors, about one for 16 bytes, are compared:
 
-1. A block of documents (dealt by a hash of the id) sends its anchors, as hashes of the piece
+1. A block of documents (dealt by a hash of id and text) sends its anchors, as hashes of the piece
    and of the whole neighbourhood (30 bytes before, 50 from it), to a bucket of the piece.
 2. A bucket tells which anchors stand in a neighbourhood that a smaller document has too: all
    their windows go. Others whose piece other documents have in other neighbourhoods are sent
@@ -110,6 +110,7 @@ class Block:
         ids = pc.fill_null(table.column("id").combine_chunks().cast(pa.int64()), NULL_ID).to_numpy()
         null = table.column("id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
         order = np.lexsort((np.fromiter((xxhash.xxh64_intdigest(t.as_buffer() or b"") for t in text), np.uint64, len(text)), null, ids))
+        self.order = order
         self.text, self.ids, self.null = text.take(pa.array(order)), ids[order], null[order]
         bounds = np.frombuffer(self.text.buffers()[1], np.int64)[self.text.offset : self.text.offset + len(self.text) + 1]
         whole = self.text.buffers()[2]
@@ -265,7 +266,7 @@ def _compare(key: tuple, near: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _cut(buckets: int, id_type: pa.DataType):
+def _cut(buckets: int, id_type: pa.DataType, carried: list[str]):
     def cut(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         """Step 4: documents without the bytes of found windows, and the runs that went."""
         block = Block(docs)
@@ -290,27 +291,29 @@ def _cut(buckets: int, id_type: pa.DataType):
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(left[np.append(block.starts, len(gone))].astype(np.int64)), pa.py_buffer(block.data[~gone])])
         spans = [pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.array(x - base, pa.int64())) for x in (starts, ends)]
         ids = pa.array(np.where(block.null, 0, block.ids), mask=block.null).cast(id_type)
-        return pa.Table.from_arrays([ids, pa.array(block.ends - block.starts, pa.int64()), kept.cast(pa.binary()), *spans], ["id", "n_bytes", "kept", "starts", "ends"])
+        return pa.Table.from_arrays([ids, pa.array(block.ends - block.starts, pa.int64()), kept.cast(pa.binary()), *spans, *(docs.column(c).take(pa.array(block.order)) for c in carried)], ["id", "n_bytes", "kept", "starts", "ends", *carried])
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, buckets: int, docs_per_block: int = DOCS_PER_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, kept, starts, ends): the remaining bytes, and the maximal runs of removed ones.
+def remove_repeats(docs: DataFrame, buckets: int, docs_per_block: int = DOCS_PER_BLOCK, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, kept, starts, ends, keep): the remaining bytes, and the maximal runs of removed ones.
 
-    One row per input row. A byte goes if it lies in a 50-byte string that also starts in a row of
+    One row per input row, with its columns ``keep``. A byte goes if it lies in a 50-byte string that also starts in a row of
     smaller id; rows of equal id take nothing from each other. Null texts are empty, texts of under
     50 bytes stay whole. A null id counts as greater than all others. Ids are integers. ``buckets``
     should grow with the input: a bucket holds 12 bytes for each of its anchors.
     """
     blocks = max(1, -(-docs.count() // docs_per_block))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), "id", "text")
+    carried = [f"keep_{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for n, c in zip(carried, keep, strict=True)))
+    texts = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long").alias("block"), "id", "text", *carried)
     anchors = texts.groupBy("block").applyInArrow(_send_anchors(buckets), ROW)
     marks = anchors.groupBy("bucket").applyInArrow(_judge, ROW)
     near = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_send_bytes(buckets), ROW)
     found = near.groupBy("bucket").applyInArrow(_compare, ROW)
     id_type = {"bigint": pa.int64(), "int": pa.int32()}[kind]
-    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(buckets, id_type), f"id {kind}, n_bytes long, kept binary, starts array<long>, ends array<long>")
-    return out.withColumnRenamed("id", id_col)
+    fields = ", ".join([f"id {kind}, n_bytes long, kept binary, starts array<long>, ends array<long>", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(carried, keep, strict=True))])
+    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(buckets, id_type, carried), fields)
+    return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "starts", "ends", *(F.col(n).alias(c) for n, c in zip(carried, keep, strict=True)))
