@@ -137,11 +137,12 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataF
     return both.where(5 * F.col("shared") >= 4 * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def groups(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, keep: list[str], text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """(keep, component): one row per input row; rows have one component if verified links lead from one to the other.
 
-    Null and empty texts are one group.
+    Null and empty texts are one group. ``texts``: the same texts where docs are dear to make twice.
     """
+    texts = docs if texts is None else texts
     marks = stored(marked(docs, keep, text_col), "near-marks")
     nodes = marks.where("n > 0").select("node", "n", "bands").dropDuplicates(["node"])
     index = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -149,7 +150,7 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     index = stored(index.join(least, "key"), "near-index")
     stars = index.where("node != least.node").where(_long_enough(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     stars = stored(stars.distinct(), "near-stars")
-    links = stored(verified(docs, stars, text_col), "near-links")
+    links = stored(verified(texts, stars, text_col), "near-links")
     of = stored(components(links), "near-groups")
 
     rooted = index.join(of, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
@@ -159,5 +160,5 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     pairs = x.join(y, "key").where("a < b and root_a != root_b").where(_long_enough(F.col("n_a"), F.col("n_b"))).select("a", "b")
     pairs = stored(pairs.join(stars, ["a", "b"], "left_anti").distinct(), "near-pairs")
     if not pairs.isEmpty():
-        of = stored(components(links.union(verified(docs, pairs, text_col))), "near-groups")
+        of = stored(components(links.union(verified(texts, pairs, text_col))), "near-groups")
     return marks.join(of, "node", "left").select(*keep, F.coalesce("component", "node").alias("component"))

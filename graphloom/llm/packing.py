@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import near_copies
 from graphloom.llm.pretoken import slices
 from graphloom.llm.token_counts import piece_counts
 
@@ -106,8 +107,14 @@ def best_fit_pack(lengths: DataFrame, shards: int, capacity: int = CAPACITY, id_
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """best_fit_pack of documents by their token counts; a cluster is a group of equal texts but for case."""
+    """best_fit_pack of documents by their token counts; a cluster is a near-duplicate group of ``near_copies``, whatever the case.
+
+    Null texts are in no cluster.
+    """
     n = docs.count()
-    rows = docs.select("doc_id", "source", "text", F.xxhash64(F.lower("text")).alias("cluster"))
-    rows = rows.withColumn("cluster", F.when(F.col("text").isNotNull(), F.col("cluster")))
-    return best_fit_pack(token_lengths(rows, path, ["doc_id", "source", "cluster"]), -(-n // docs_per_shard), capacity)
+    rows = docs.select("doc_id", "source", "text", F.lower("text").alias("lower"))
+    lengths = token_lengths(rows, path, ["doc_id", "source", "lower"])
+    marked = lengths.select("doc_id", "source", "n_tokens", "lower", F.col("lower").isNull().alias("none"))
+    near = near_copies.groups(marked, ["doc_id", "source", "n_tokens", "none"], "lower", rows.select("lower"))
+    clusters = near.select("doc_id", "source", "n_tokens", F.when(~F.col("none"), F.col("component")).alias("cluster"))
+    return best_fit_pack(clusters, -(-n // docs_per_shard), capacity)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import near_copies
+from graphloom.llm import near_copies, packing, queries
 
 
 def shingles(text):
@@ -66,3 +66,14 @@ def test_stage_keeps_one_of_near_copies(spark, texts):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.one_of_each_group(spark, docs, "").toPandas()
     assert sorted(got.doc_id) == sorted(set(partition(texts)))
+
+
+def test_packing_parts_near_copies(spark, texts):
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = packing.pack_documents(docs, queries.TOKENIZER, capacity=8000).toPandas()
+    assert sorted(got.doc_id) == list(range(len(texts)))
+    group = partition(texts)
+    for _, rows in got.groupby(["shard", "bin"]):
+        held = [group[i] for i in rows.doc_id if texts[i] is not None]
+        assert len(held) == len(set(held))
+    assert got.groupby(["shard", "bin"]).doc_id.count().max() > 1
