@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-Q", "--max-base-qual", type=int, default=40)
     p.add_argument("-t", "--trim-split", type=int, default=0)
     p.add_argument("-w", "--max-len-weak", type=int, default=1000)
+    p.add_argument("-W", "--max-len-weak2", type=int, default=5000)
     p.add_argument("-S", "--subsampling", "--sampling", type=float, default=1.0)
     p.add_argument("-G", "--gzip-out", action="store_true")
     return p
@@ -40,7 +41,7 @@ def main(args: list[str] | None = None) -> None:
     if not 0 < opt.subsampling <= 1:
         p.error("0 < subsampling <= 1")
     try:
-        params = Params(k=opt.k1, k2=opt.k2, max_qual=opt.max_base_qual, longest_gap=opt.max_len_weak, trim=opt.trim_split)
+        params = Params(k=opt.k1, k2=opt.k2, max_qual=opt.max_base_qual, longest_gap=opt.max_len_weak, longest_gap2=opt.max_len_weak2, trim=opt.trim_split)
     except ValueError as e:
         p.error(str(e))
     spark = SparkSession.builder.getOrCreate()

@@ -19,6 +19,7 @@ class Params:
     solid: int = 2
     max_qual: int = 40
     longest_gap: int = 1000
+    longest_gap2: int = 5000
     window: float = 0.25
     trim: int = 0
 
@@ -51,6 +52,6 @@ def correct_pass(short: DataFrame, long: DataFrame, params: Params) -> DataFrame
 def correct(short: DataFrame, long: DataFrame, params: Params) -> DataFrame:
     """Both passes: the second one's graph also has the reads of the first, at the greater length."""
     first = graph.kept(correct_pass(short, long, params))
-    second = Params(k=params.k2, k2=params.k2, solid=params.solid, max_qual=params.max_qual, longest_gap=params.longest_gap, window=params.window)
+    second = Params(k=params.k2, k2=params.k2, solid=params.solid, max_qual=params.max_qual, longest_gap=params.longest_gap2, longest_gap2=params.longest_gap2, window=params.window)
     out = correct_pass(short.select("seq").union(first.select("seq")), first.select("read_id", "name", "seq"), second)
     return correction.trimmed(out, ["read_id"], params.trim, params.k2) if params.trim else out
