@@ -127,10 +127,10 @@ def base_qualities(best: str, second: str | None, raw: str, score: float, runner
 
 
 def consensus(forward: str | None, backward: str | None, raw: str) -> str | None:
-    """Of two corrections of a region: the one there is; none if both are over a quarter of edits; else the closer one's runs.
+    """Of two corrections of a region: the one there is; none if both are over a quarter of edits; else the closer one.
 
-    Where both stand, the parts before their first and after their last common place come from the
-    one with fewer edits, the forward one on a tie.
+    Where both stand, the one with fewer edits is taken whole, the forward one on a tie; there is
+    no splice by runs.
     """
     rate = lambda s: align.align(s, raw)["dist"] / max(len(s), len(raw), 1)
     if not forward or not backward:
