@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.pretoken import binary_rows, encoder, rows_of, slices
+from graphloom.llm.workers import task
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -17,6 +18,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     other columns are not looked at. Added tokens' strings in a text become their ids.
     """
 
+    @task(encoder)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in slices(batches, text_col):
@@ -32,6 +34,7 @@ def bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: st
     An id outside the vocabulary is an error, as there is no text for it.
     """
 
+    @task(encoder)
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in slices(batches, ids_col):

@@ -3,7 +3,8 @@
 White space never lies inside a pre-token, so a text is a row of chunks without white space.
 Arrow splits a slice of texts and numbers its distinct chunks; only chunks that are new to the
 worker are taken apart, and their distinct pre-tokens are merged together by the segment tree.
-The table of known chunks is bounded: past ``KNOWN`` entries it is emptied and fills again.
+Chunks of letters alone are pre-tokens as they are; the rest is split by the tokenizer's pattern.
+The table of known chunks is bounded: past ``KNOWN_BYTES`` it is emptied and fills again.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import regex
 
 from graphloom.llm.segtree_bpe import MergeTable, byte_alphabet, encode_words, merge_table
 
-KNOWN = 450_000
-SLICE_BYTES = 10_000_000
+KNOWN_BYTES = 48_000_000
+SLICE_BYTES = 4_000_000
 
 # The split pattern of the tokenizer file, and what it comes to in ASCII; \n parts chunks.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
@@ -41,8 +42,15 @@ def pretokens(text: str) -> list[str]:
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each count, one after another."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(counts, dtype=starts.dtype)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0, dtype=starts.dtype)
+
+
+def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and bytes of large strings without nulls."""
+    bounds = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return bounds[:-1], np.diff(bounds), np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
 def listed(texts: pa.Array) -> list[str]:
@@ -50,12 +58,14 @@ def listed(texts: pa.Array) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _unassigned():
-    """Finds code points that Python's tables don't know; newer tables, as the library's, may."""
-    known = [unicodedata.category(chr(i)) != "Cn" for i in range(0x110000)]
-    edges = [i for i in range(1, 0x110000) if known[i] != known[i - 1]] + [0x110000]
-    ranges = [f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2], strict=False)]
-    return re.compile(f"[{''.join(ranges)}]").search
+def _unassigned() -> np.ndarray:
+    """Of each code point, whether Python's tables don't know it; newer tables, as the library's, may."""
+    names = "".join(map(unicodedata.category, map(chr, range(0x110000))))
+    return np.frombuffer(names.encode(), "S2") == b"Cn"
+
+
+def has_unassigned(text: str) -> bool:
+    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
 
 class Pretokenizer:
@@ -75,20 +85,47 @@ class Pretokenizer:
         parts = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))
         return [bytes(map(self.bytes_of.__getitem__, p)).decode() for p, _ in parts]
 
-    def flat(self, chunks: list[str]) -> list[str]:
+    def _parts(self, chunks: list[str]) -> list[str]:
         """Pre-tokens of all chunks with "\n" after each chunk's; an added token is kept as its string."""
         text = "\n".join([*chunks, ""])
-        if not text.isascii() and _unassigned()(text):
+        if has_unassigned(text):
             out: list[str] = []
             for c in chunks:
                 for i, part in enumerate(self.cut(c)):
-                    out += [part] if i % 2 else self._by_library(part) if _unassigned()(part) else pretokens(part)
+                    out += [part] if i % 2 else self._by_library(part) if has_unassigned(part) else pretokens(part)
                 out.append("\n")
             return out
         if not self.find(text):
             return pretokens(text)
         return [w for i, part in enumerate(self.cut(text)) for w in ([part] if i % 2 else pretokens(part))]
 
+    def flat(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens of distinct chunks, their codes one after another, and each chunk's count.
+
+        "\n" is the last of the distinct ones, without a code of its own.
+        """
+        plain = pc.ascii_is_alpha(chunks).to_numpy(zero_copy_only=False)
+        ascii_ = plain | pc.string_is_ascii(chunks).to_numpy(zero_copy_only=False)
+        kinds = np.where(plain, 0, np.where(ascii_, 1, 2))
+        words = [pc.ascii_lower(chunks.filter(pa.array(plain)))]
+        for kind in (1, 2):
+            some = chunks.filter(pa.array(kinds == kind))
+            words.append(pa.array(self._parts(listed(some)) if len(some) else [], pa.large_string()))
+        coded = pa.concat_arrays([*words, pa.array(["\n"], pa.large_string())]).dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
+        end = code[-1]
+        n_plain = len(words[0])
+        counts = np.ones(len(chunks), np.int64)
+        parted = code[n_plain:-1]
+        marks = np.flatnonzero(parted == end)
+        rest = np.concatenate([np.flatnonzero(kinds == 1), np.flatnonzero(kinds == 2)])
+        counts[rest] = np.diff(marks, prepend=-1) - 1
+        by_kind = np.concatenate([code[:n_plain], parted[parted != end]])
+        order = np.concatenate([np.flatnonzero(plain), rest])  # chunks as they lie in by_kind
+        start = np.empty(len(chunks), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        return distinct, by_kind[ragged(start, counts)], counts
+
 
 @lru_cache(maxsize=2)
 def library(path: str):
@@ -105,31 +142,30 @@ class Encoder:
         self.table = self.pre.table
         self.pieces = pa.array(self.table.pieces, pa.string())
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids and counts of distinct pre-tokens: "\\n" has none, an added token its own."""
-        plain = [i for i, w in enumerate(words) if w != "\n" and w not in self.pre.special]
-        flat, counts = encode_words(self.table, [words[i].encode() for i in plain])
-        if len(plain) == len(words):
-            return flat, counts
-        n = np.zeros(len(words), np.int64)
-        n[plain] = counts
-        for i, w in enumerate(words):
-            n[i] = 1 if w in self.pre.special else n[i]
-        start, out = np.cumsum(n) - n, np.zeros(n.sum(), np.uint32)
-        out[ragged(start[plain], counts)] = flat
-        for i, w in enumerate(words):
-            if w in self.pre.special:
-                out[start[i]] = self.pre.special[w]
-        return out, n
+        starts, lens, data = string_bytes(words)
+        names = list(self.pre.special)
+        which = pc.index_in(words, pa.array(["\n", *names], words.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+        flat, counts = encode_words(self.table, data, starts, np.where(which >= 0, 0, lens))
+        odd = np.flatnonzero(which > 0)
+        if len(odd):
+            counts[odd] = 1
+            own = np.array([self.pre.special[names[k - 1]] for k in which[odd].tolist()], np.uint32)
+            at = (np.cumsum(counts) - counts)[odd]
+            flat = np.insert(flat, at - np.arange(len(at)), own)
+        return flat, counts
 
     def learn(self, chunks: list[str]) -> None:
-        coded = pa.array(self.pre.flat(chunks), pa.large_string()).dictionary_encode()
-        code, words = coded.indices.to_numpy(), listed(coded.dictionary)
+        words, code, per_chunk = self.pre.flat(pa.array(chunks, pa.large_string()))
         flat, n = self.words(words)
         counts = n[code]
         ids = flat[ragged((np.cumsum(n) - n)[code], counts)].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(counts)[code == words.index("\n")]).tolist()
+        ends = 4 * np.concatenate([[0], np.cumsum(counts)])[np.cumsum(per_chunk)]
+        self.size += 4 * int(counts.sum()) + sum(map(len, chunks)) + 160 * len(chunks)
+        ends = ends.tolist()
         self.known.update(zip(chunks, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def split(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -148,15 +184,15 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and len(texts) + 1 offsets into them."""
         code, chunks, offsets = self.split(texts)
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
         if missing := [c for c in chunks if c not in self.known]:
             self.learn(missing)
         raw = list(map(self.known.__getitem__, chunks))
-        n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        n = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
         flat, counts = np.frombuffer(b"".join(raw), "<u4"), n[code]
-        ids = flat[ragged((np.cumsum(n) - n)[code], counts)]
-        return ids, np.concatenate([[0], np.cumsum(counts)])[offsets]
+        ids = flat[ragged((np.cumsum(n) - n).astype(np.int32)[code], counts)]
+        return ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[offsets]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """Texts; without a decoder in the file, pieces are joined by spaces."""

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
 INF = 1 << 30
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MAX_LEAVES = 64
 
 
@@ -48,16 +49,45 @@ class MergeTable:
         self.final = np.array([vocab[c + end] for c in letters], np.int64)
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in merges], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self._place(keys)
         self.lookup = dict(zip(keys.tolist()[::-1], range(len(keys) - 1, -1, -1), strict=True))
         self.vocab = vocab
 
+    def _place(self, keys: np.ndarray) -> None:
+        """Open addressing: a key lies at its slot or one of the ``self.reach`` after it."""
+        self.shift = np.uint64(64 - 2 - max(4, len(keys).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.ranks = np.full(size + 64, -1, np.int64), np.full(size + 64, -1, np.int64)
+        left, self.reach = np.arange(len(keys)), 0
+        while len(left):  # of keys that want one free slot, the first gets it
+            slot = self._slots(keys[left]) + self.reach
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.ranks[slot[won]] = keys[left[won]], left[won]
+            left = np.delete(left, won)
+            self.reach += bool(len(left))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it never merges."""
         key = (left.astype(np.int64) << 32) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        shape, key = key.shape, key.reshape(-1)
+        slot = self._slots(key)
+        held = self.keys[slot]
+        rank = np.where(held == key, self.ranks[slot], -1)
+        more = np.flatnonzero((held >= 0) & (held != key))
+        for _ in range(self.reach):
+            if not len(more):
+                break
+            slot[more] += 1
+            held = self.keys[slot[more]]
+            hit = held == key[more]
+            rank[more[hit]] = self.ranks[slot[more[hit]]]
+            more = more[(held >= 0) & ~hit]
+        return rank.reshape(shape)
 
 
 @lru_cache(maxsize=4)
@@ -170,27 +200,28 @@ def _merge_long(table: MergeTable, word: bytes) -> list[int]:
     return [s for s in sym if s >= 0]
 
 
-def encode_words(table: MergeTable, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all pre-tokens (not empty), one after another, and each one's count."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    counts = np.ones(len(words), np.int64)
+def encode_words(table: MergeTable, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pre-tokens, one after another, and each one's count; their bytes lie in data, an empty one has no ids."""
+    counts = (lens > 0).astype(np.int64)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     done = 1
     single = np.flatnonzero(lens == 1)
     if len(single):
-        parts.append((single, table.final[np.frombuffer(b"".join([words[i] for i in single]), np.uint8)]))
+        parts.append((single, table.final[data[starts[single]]]))
     leaves = 2
     while leaves <= MAX_LEAVES:
         which = np.flatnonzero((lens > done) & (lens <= leaves + 1))
-        for some in np.array_split(which, max(1, len(which) * leaves // 2_000_000)):
+        for some in np.array_split(which, max(1, len(which) * leaves // 1_000_000)):
             if len(some):
-                rows = np.frombuffer(b"".join([words[i].ljust(leaves + 1, b"\0") for i in some]), np.uint8)
-                ids, n = _merge_rows(table, rows.reshape(-1, leaves + 1), lens[some], leaves)
+                place = np.arange(leaves + 1)
+                rows = data[np.minimum(starts[some][:, None] + place, len(data) - 1)]
+                rows[place >= lens[some][:, None]] = 0
+                ids, n = _merge_rows(table, rows, lens[some], leaves)
                 counts[some] = n
                 parts.append((some, ids))
         done, leaves = leaves + 1, leaves * 2
     for i in np.flatnonzero(lens > done).tolist():
-        ids = np.array(_merge_long(table, words[i]), np.int64)
+        ids = np.array(_merge_long(table, data[starts[i] : starts[i] + lens[i]].tobytes()), np.int64)
         counts[i] = len(ids)
         parts.append((np.array([i]), ids))
     start = np.concatenate([[0], np.cumsum(counts)])
@@ -200,11 +231,3 @@ def encode_words(table: MergeTable, words: list[bytes]) -> tuple[np.ndarray, np.
         at = np.repeat(start[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(ids))
         out[at] = ids
     return out, counts
-
-
-def one_word(table: MergeTable, word: bytes) -> list[int]:
-    return _merge_long(table, word) if len(word) > 1 else table.final[[word[0]]].tolist()
-
-
-def repeat_each(values: list, counts: np.ndarray) -> list:
-    return list(chain.from_iterable(map(repeat, values, counts.tolist())))

@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pretoken import encoder, listed, slices
+from graphloom.llm.pretoken import encoder, slices
+from graphloom.llm.workers import task
 
-KNOWN = 500_000
+KNOWN_BYTES = 48_000_000
 
 
 class PieceCounts:
@@ -29,20 +30,21 @@ class PieceCounts:
     def __init__(self, path: str):
         self.e = encoder(path)
         self.known: dict[str, int] = {}
+        self.size = 0
 
     def learn(self, chunks: list[str]) -> None:
-        coded = pa.array(self.e.pre.flat(chunks), pa.large_string()).dictionary_encode()
-        code, words = coded.indices.to_numpy(), listed(coded.dictionary)
+        words, code, per_chunk = self.e.pre.flat(pa.array(chunks, pa.large_string()))
         pieces = self.e.words(words)[1]
-        total = np.concatenate([[0], np.cumsum(pieces[code])])[1:][code == words.index("\n")]
+        total = np.concatenate([[0], np.cumsum(pieces[code])])[np.cumsum(per_chunk)]
+        self.size += sum(map(len, chunks)) + 130 * len(chunks)
         self.known.update(zip(chunks, np.diff(total, prepend=0).tolist(), strict=True))
 
     def of(self, texts: pa.Array) -> np.ndarray:
         code, chunks, offsets = self.e.split(texts)
         if not chunks:
             return np.zeros(len(texts), np.int64)
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
         if missing := [c for c in chunks if c not in self.known]:
             self.learn(missing)
         pieces = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
@@ -64,6 +66,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     columns are not looked at.
     """
 
+    @task(encoder, piece_counts)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(piece_counts(path).of(b.column("text")))], ["id", "n_bytes", "n_tokens"])

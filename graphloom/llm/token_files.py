@@ -1,9 +1,9 @@
 """Operator 8: token ids in files, compressed by Re-Pair per shard.
 
 A shard holds whole documents in ascending order of id. Frequent adjacent symbol pairs are
-replaced by nonterminals, again and again; the file stores the rules, each symbol's expansion
-length and, per document, its counts of symbols and ids, so that one document is expanded
-without the rest of its shard. No symbol reaches past the end of a document.
+replaced by nonterminals, again and again; the file stores the rules, each nonterminal's expansion
+length and, per document, its counts of symbols and ids, so that a document or a part of one is
+expanded without the rest of its shard. No symbol reaches past the end of a document.
 """
 
 from __future__ import annotations
@@ -17,80 +17,127 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.pretoken import binary_rows, encoder, ragged, slices
+from graphloom.llm.workers import task
 
 SHARD_IDS = 1_000_000
-
-
-def compress(seq: np.ndarray, end_id: int, first: int, min_count: int = 24, per_round: int = 4096, gain: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): nonterminal ``first + i`` stands for the pair rules[i].
-
-    Each round takes the most frequent pairs, at most ``per_round`` of them and none that could
-    overlap with another, each found ``min_count`` times or more. It ends when a round shortens
-    the shard by less than ``gain``. A pair never starts with a symbol that ends in ``end_id``.
+MIN_COUNT = 4
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(code: np.ndarray) -> np.ndarray:
+    return ((code.astype(np.uint64) * _SPREAD) >> np.uint64(44)).astype(np.int32)
+
+
+def _frequent(code: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each place may have a pair found ``min_count`` times; the pairs that are, and their counts."""
+    slot = _slots(code)
+    may = np.bincount(slot, minlength=1 << 20)[slot] >= min_count
+    ordered = np.sort(code[may])  # a slot may hold several pairs, so they are counted themselves
+    at = np.flatnonzero(np.diff(ordered, prepend=-1))
+    counts = np.diff(at, append=len(ordered))
+    often = counts >= min_count
+    return may, ordered[at[often]], counts[often]
+
+
+def _found(code: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose pair is in the table, and which it is; the table's pairs have different slots."""
+    number = np.full(1 << 20, -1, np.int32)
+    number[_slots(table)] = np.arange(len(table))
+    which = number[_slots(code)]
+    hit = np.flatnonzero(which >= 0)
+    hit = hit[table[which[hit]] == code[hit]]
+    return hit, which[hit]
+
+
+def _without_overlap(pairs: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
+    """The most frequent pairs none of which can overlap with another, at most ``limit``, ascending."""
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    chosen: list[int] = []
+    pairs = pairs[np.lexsort((pairs, -counts))]
+    pairs = pairs[np.sort(np.unique(_slots(pairs), return_index=True)[1])]  # one of each slot; another's turn is next round
+    for p in pairs.tolist():
+        a, b = p >> 32, p & 0xFFFFFFFF
+        if (a not in rights and b not in lefts) if a != b else (a not in lefts and a not in rights):
+            chosen.append(p)
+            lefts.add(a)
+            rights.add(b)
+            if len(chosen) == limit:
+                break
+    return np.array(sorted(chosen), np.int64)
+
+
+def compress(seq: np.ndarray, end_id: int, first: int, min_count: int = MIN_COUNT, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths): nonterminal ``first + i`` stands for the pair rules[i] and lengths[i] ids.
+
+    Each round replaces the most frequent pairs, at most ``per_round`` of them and none that could
+    overlap with another; it ends when no pair is found ``min_count`` times. Only places whose pair
+    may be frequent are counted again: those of frequent pairs that were not replaced, and those
+    beside a new nonterminal. A pair never starts with a symbol that ends in ``end_id``.
     """
     seq = seq.astype(np.int64)
-    rules: list[tuple[int, int]] = []
-    closed = np.zeros(first, bool)
+    rules = [np.zeros((0, 2), np.int64)]
+    n_rules = 0
+    length, closed = np.ones(first, np.int64), np.zeros(first, bool)
     closed[end_id] = True
-    while len(seq) > 1:
-        code = (seq[:-1] << 32) | seq[1:]
-        code[closed[seq[:-1]]] = -1
-        pairs, counts = np.unique(code, return_counts=True)
-        often = (counts >= min_count) & (pairs >= 0)
-        pairs, counts = pairs[often], counts[often]
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        chosen: list[int] = []
-        for p in pairs[np.lexsort((pairs, -counts))].tolist():
-            a, b = p >> 32, p & 0xFFFFFFFF
-            if (a not in rights and b not in lefts) if a != b else (a not in lefts and a not in rights):
-                chosen.append(p)
-                lefts.add(a)
-                rights.add(b)
-                if len(chosen) == per_round:
-                    break
-        if not chosen:
+    live = np.flatnonzero(~closed[seq[:-1]])
+    while len(live):
+        code = (seq[live] << 32) | seq[live + 1]
+        may, pairs, counts = _frequent(code, min_count)
+        table = _without_overlap(pairs, counts, per_round)
+        if not len(table):
             break
-        table = np.array(sorted(chosen))
-        where = np.minimum(np.searchsorted(table, code), len(table) - 1)
-        at = np.flatnonzero(table[where] == code)
-        if len(at):  # in a run of one symbol, every other pair
-            new_run = np.concatenate([[True], np.diff(at) != 1])
-            start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - start) % 2 == 0]
-        base = first + len(rules)
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in table.tolist()]
-        closed = np.concatenate([closed, closed[table & 0xFFFFFFFF]])
+        live = live[may]
+        hit, which = _found(code[may], table)
+        at = live[hit]
+        # in a run of one symbol, every other pair
+        new_run = np.diff(at, prepend=-2) != 1
+        place = np.arange(len(at))
+        even = (place - np.maximum.accumulate(np.where(new_run, place, 0))) % 2 == 0
+        at, which = at[even], which[even]
+        pair = np.stack([table >> 32, table & 0xFFFFFFFF], axis=1)
+        rules.append(pair)
+        closed = np.concatenate([closed, closed[pair[:, 1]]])
+        length = np.concatenate([length, length[pair[:, 0]] + length[pair[:, 1]]])
+        seq[at] = first + n_rules + which
+        n_rules += len(table)
+        again = np.zeros(len(seq), bool)
+        again[live] = True
+        again[at] = True
+        again[at[at > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = base + where[at]
-        before, seq = len(seq), seq[keep]
-        if before - len(seq) < gain * before:
-            break
-    return seq.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2)
-
-
-def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terminals of all symbols one after another, with start and length of each symbol's."""
-    terms: list[np.ndarray] = []
-    own = lambda s: terms[s - first] if s >= first else np.array([s], np.uint32)
-    for a, b in rules.tolist():
-        terms.append(np.concatenate([own(a), own(b)]))
-    length = np.concatenate([np.ones(first, np.int64), np.fromiter(map(len, terms), np.int64, len(terms))])
-    flat = np.concatenate([np.arange(first, dtype=np.uint32), *terms])
-    return flat, np.cumsum(length) - length, length
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    flat, start, length = expansions(rules, first)
-    return flat[ragged(start[symbols], length[symbols])]
-
-
-def document(shard: dict, i: int) -> np.ndarray:
-    """ids of the i-th document of a shard row, from its own symbols only."""
+        seq, again = seq[keep], again[keep]
+        live = np.flatnonzero(again[:-1] & ~closed[seq[:-1]])
+    return seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32), length[first:]
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """ids ``start`` to ``stop`` of the symbols' expansion. By the lengths, each symbol is placed at once; what lies outside is not expanded."""
+    own = lambda s: np.where(s < first, 1, lengths[np.maximum(s.astype(np.int64) - first, 0)]) if len(lengths) else np.ones(len(s), np.int64)
+    work = symbols.astype(np.int64)
+    size = own(work).astype(np.int64)
+    ends = np.cumsum(size)
+    stop = (int(ends[-1]) if len(ends) else 0) if stop is None else stop
+    place, out = ends - size, np.empty(max(0, stop - start), np.uint32)
+    while len(work):
+        inside = (place < stop) & (place + size > start)
+        work, place = work[inside], place[inside]
+        whole = work < first
+        out[place[whole] - start] = work[whole]
+        pair, place = rules[work[~whole] - first].astype(np.int64), place[~whole]
+        left = own(pair[:, 0])
+        work = np.concatenate([pair[:, 0], pair[:, 1]])
+        place = np.concatenate([place, place + left])
+        size = own(work)
+    return out
+
+
+def document(shard: dict, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """ids of the i-th document of a shard row, or a part of them, from the symbols and rules that reach into it."""
     n = np.asarray(shard["n_symbols"])
     symbols = np.frombuffer(shard["symbols"], "<u4")[n[:i].sum() : n[: i + 1].sum()]
-    return expand(symbols, np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), shard["n_terminals"])
+    return expand(symbols, np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), np.frombuffer(shard["lengths"], "<u4"), shard["n_terminals"], start, stop)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
@@ -100,6 +147,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @task(encoder)
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         first, part, seq, before = len(e.table.pieces), TaskContext.get().partitionId(), 0, 0
@@ -110,12 +158,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             nonlocal seq, size, before
             ids = np.concatenate([x[1] for x in held])
             counts = np.concatenate([x[2] for x in held])
-            symbols, rules = compress(ids, end_id, first)
-            _, _, length = expansions(rules, first)
-            ends = np.searchsorted(np.cumsum(length[symbols]), np.cumsum(counts)) + 1
+            symbols, rules, lengths = compress(ids, end_id, first)
+            sizes = np.ones(len(symbols), np.int64)
+            sizes[symbols >= first] = lengths[symbols[symbols >= first].astype(np.int64) - first]
+            ends = np.searchsorted(np.cumsum(sizes), np.cumsum(counts)) + 1
             row = {
                 "part": part, "seq": seq, "n_before": before, "n_ids": len(ids), "n_terminals": first, "doc_ids": pa.concat_arrays([x[0] for x in held]).to_pylist(), "n_tokens": counts.astype(np.int64),
-                "n_symbols": np.diff(ends, prepend=0), "rules": rules.astype("<u4").tobytes(), "lengths": length[first:].astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
+                "n_symbols": np.diff(ends, prepend=0), "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
             }
             held.clear()
             seq, size, before = seq + 1, 0, before + len(ids)
@@ -148,16 +197,17 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per task that wrote
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
 
+    @task()
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 s = {n: b.column(n)[i] for n in b.schema.names}
                 n = s["n_tokens"].values.to_numpy()
                 rules = np.frombuffer(s["rules"].as_py(), "<u4").reshape(-1, 2)
-                ids = expand(np.frombuffer(s["symbols"].as_py(), "<u4"), rules, s["n_terminals"].as_py())
+                ids = expand(np.frombuffer(s["symbols"].as_py(), "<u4"), rules, np.frombuffer(s["lengths"].as_py(), "<u4"), s["n_terminals"].as_py())
                 at = np.concatenate([[0], np.cumsum(n)])
                 doc_ids = s["doc_ids"].values
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(at[:-1] + s["start"].as_py()), pa.array(n), binary_rows(ids, at).cast(pa.binary())], [id_col, "start", "n_tokens", "ids"])
 
-    whole = files.join(F.broadcast(before), "part").select("doc_ids", "n_tokens", "n_terminals", "rules", "symbols", (F.col("part_start") + F.col("n_before")).alias("start"))
+    whole = files.join(F.broadcast(before), "part").select("doc_ids", "n_tokens", "n_terminals", "rules", "lengths", "symbols", (F.col("part_start") + F.col("n_before")).alias("start"))
     return whole.mapInArrow(decode, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")

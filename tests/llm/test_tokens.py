@@ -65,12 +65,40 @@ def test_counts_rows(spark):
 
 def test_compress_round_trip():
     rng = np.random.default_rng(2)
-    for seq in (np.zeros(0, int), np.array([1]), np.full(1000, 7), rng.integers(2, 6, 5000), np.tile([5, 5, 5, 1], 300)):
-        symbols, rules = token_files.compress(seq, 1, 50, min_count=3)
-        assert token_files.expand(symbols, rules, 50).tolist() == seq.tolist()
-        assert len(symbols) <= len(seq)
-    symbols, rules = token_files.compress(np.full(1000, 7), 1, 50, min_count=3)
-    assert len(symbols) < 200 and len(rules) > 1
+    for seq in (np.zeros(0, int), np.array([1]), np.full(1000, 7), np.full(1001, 7), rng.integers(2, 6, 5000), np.tile([5, 5, 5, 1], 300)):
+        for min_count in (2, 3, 24):
+            symbols, rules, lengths = token_files.compress(seq, 1, 50, min_count=min_count)
+            assert token_files.expand(symbols, rules, lengths, 50).tolist() == seq.tolist()
+            assert len(symbols) <= len(seq) and len(rules) == len(lengths)
+            closed = np.zeros(50 + len(rules), bool)
+            closed[1] = True
+            for i, (_, b) in enumerate(rules):
+                closed[50 + i] = closed[b]
+            found, same = {}, -2
+            for i in np.flatnonzero(~closed[symbols[:-1]]).tolist():  # in a run of one symbol, pairs that don't overlap
+                pair = symbols[i], symbols[i + 1]
+                same = -2 if i == same + 1 and pair[0] == pair[1] == symbols[i - 1] else i
+                found[pair] = found.get(pair, 0) + (same == i)
+            assert max(found.values(), default=0) < max(min_count, 2)  # no frequent pair is left
+    symbols, rules, _ = token_files.compress(np.full(1000, 7), 1, 50, min_count=3)
+    assert len(symbols) < 20 and len(rules) > 5
+
+
+def test_a_part_is_expanded_by_itself():
+    seq = np.tile(np.random.default_rng(4).integers(2, 9, 300), 20)
+    symbols, rules, lengths = token_files.compress(seq, 1, 50)
+    for a, b in ((0, 0), (0, 6000), (17, 18), (295, 905), (5990, 6000)):
+        assert token_files.expand(symbols, rules, lengths, 50, a, b).tolist() == seq[a:b].tolist()
+
+    class Counted(np.ndarray):
+        asked = 0
+
+        def __getitem__(self, at):
+            Counted.asked += np.size(at)
+            return super().__getitem__(at)
+
+    token_files.expand(symbols, rules.view(Counted), lengths, 50, 40, 42)
+    assert 0 < Counted.asked <= 2 * len(rules).bit_length() * 4 < len(rules)
 
 
 def test_token_files(spark):
@@ -88,3 +116,4 @@ def test_token_files(spark):
         at += len(want)
     shard = next(r for r in spark.read.parquet(path).collect() if 7 in r.doc_ids).asDict()
     assert token_files.document(shard, shard["doc_ids"].index(7)).tolist() == ids_of(texts[0]) + [1]
+    assert token_files.document(shard, shard["doc_ids"].index(7), 3, 9).tolist() == ids_of(texts[0])[3:9]
