@@ -6,55 +6,65 @@ number; t = floor(ln S / r + b), and the term of least c / exp(r (t - b + 1)) is
 its t. Two texts sample the same (term, t) with the probability of their generalised Jaccard
 similarity, sum of least weights over sum of greatest.
 
-A sample's least is kept as one long: the logarithm in fixed point above 32 bits of a hash of
-(term, t). So counting and sampling are hash aggregations, and as texts are dealt by their key
-once, neither shuffles words.
+That value depends on the term and t alone, so texts whose least ones are equal have sampled the
+same (term, t); 32 bits of a hash of it stand for the sample.
+Counting and sampling are hash aggregations, and as texts are dealt by their key once, neither
+shuffles words.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import stored
 
 SAMPLES = 32
-GROUP = 8
-ORDER_BUCKETS = 64
+GROUP = 4
 WORD_BREAKS = r"[ \t-\r]+"
 _LOW = (1 << 32) - 1
 
 
-def _unit(h: Column, shift: int, bits: int) -> Column:
-    """Some bits of a hash as a number in (0, 1)."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
+def _half(h: Column, shift: int, bits: int) -> Column:
+    """Some bits of a hash as a number in (0, 2^bits)."""
+    x = F.shiftrightunsigned(h, shift) if shift else h
+    return (x.bitwiseAND(F.lit((1 << bits) - 1)) if shift + bits < 64 else x).cast("double") + 0.5
 
 
 def _sample(term: Column, log_weight: Column, number: Column) -> Column:
+    """a of a term with this weight: the term of the least one is sampled."""
     first = F.xxhash64(term, number)
     second = F.xxhash64(first)
-    r = -F.log(_unit(first, 0, 21) * _unit(first, 21, 21))
-    b = _unit(first, 42, 22)
-    log_c = F.log(-F.log(_unit(second, 0, 32) * _unit(second, 32, 32)))
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b + 1)
-    fixed = F.least(F.greatest((log_a + 512.0) * float(1 << 20), F.lit(0.0)), F.lit(float((1 << 30) - 1))).cast("long")
-    name = second.bitwiseXOR(F.shiftleft(t, 20)).bitwiseXOR(t).bitwiseAND(F.lit(_LOW))  # of (term, t)
-    return F.shiftleft(fixed, 32).bitwiseOR(name)
+    r = F.lit(42 * math.log(2)) - F.log(_half(first, 0, 21) * _half(first, 21, 21))
+    b = _half(first, 42, 22) * F.lit(2.0**-22)
+    c = F.lit(64 * math.log(2)) - F.log(_half(second, 0, 32) * _half(second, 32, 32))
+    return c * F.exp(r * (b - 1.0 - F.floor(log_weight / r + b)))
 
 
-def signatures(texts: DataFrame, key: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(key, signature): array of ``samples`` longs per key. Rows of a key count as one text; null texts as empty.
+def signatures(texts: DataFrame, key: list[str], text_cols: tuple[str, ...] = ("text",), samples: int = SAMPLES) -> DataFrame:
+    """(key, signature_0, signature_1, ...): for each text column an array of ``samples`` longs per key.
 
-    Words are runs without ASCII white space. The empty text has one term, the empty word.
+    Rows of a key count as one text; null texts as empty. Words are runs without ASCII white
+    space; the empty text has one term, the empty word. A term that texts of a key hold equally
+    often is drawn once for all of them, so two alike cost little more than one.
     """
-    words = texts.select(*key, F.explode(F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WORD_BREAKS, " ")), " ")).alias("word"))
-    terms = words.groupBy(*key, F.xxhash64("word").alias("term")).agg(F.log(F.count(F.lit(1)).cast("double")).alias("log_weight"))
-    groups = terms.withColumn("part", F.explode(F.array(*(F.lit(g) for g in range(-(-samples // GROUP))))))
-    least = groups.groupBy(*key, "part").agg(*(F.min(_sample(F.col("term"), F.col("log_weight"), F.col("part") * GROUP + i)).alias(f"m{i}") for i in range(GROUP)))
-    part = F.struct("part", F.array(*(F.col(f"m{i}").bitwiseAND(F.lit(_LOW)) for i in range(GROUP))).alias("m"))
+    kinds = range(len(text_cols))
+    text = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.coalesce(F.col(c), F.lit("")).alias("text")) for i, c in enumerate(text_cols))))
+    words = texts.select(*key, text.alias("t")).select(*key, "t.kind", F.explode(F.split(F.trim(F.regexp_replace("t.text", WORD_BREAKS, " ")), " ")).alias("word"))
+    counts = words.groupBy(*key, F.xxhash64("word").alias("term")).agg(*(F.count(F.when(F.col("kind") == i, 1)).alias(f"n{i}") for i in kinds))
+    n = [F.col(f"n{i}") for i in kinds]
+    first = [reduce(Column.__and__, [n[i] != n[j] for j in range(i)], n[i] > 0) for i in kinds]
+    weights = F.array(*(F.struct(n[i].alias("n"), first[i].alias("first"), *((n[j] == n[i]).alias(f"in{j}") for j in kinds)) for i in kinds))
+    parts = F.explode(F.array(*(F.lit(g) for g in range(-(-samples // GROUP)))))
+    terms = counts.select(*key, "term", F.explode(weights).alias("w")).where("w.first").select(*key, "term", "w.*").withColumn("log_weight", F.log(F.col("n").cast("double"))).withColumn("part", parts)
+    drawn = terms.select(*key, "part", *(f"in{i}" for i in kinds), *(_sample(F.col("term"), F.col("log_weight"), F.col("part") * GROUP + j).alias(f"a{j}") for j in range(GROUP)))
+    least = drawn.groupBy(*key, "part").agg(*(F.min(F.when(F.col(f"in{i}"), F.col(f"a{j}"))).alias(f"m{i}_{j}") for i in kinds for j in range(GROUP)))
+    part = F.struct("part", *(F.array(*(F.xxhash64(f"m{i}_{j}").bitwiseAND(F.lit(_LOW)) for j in range(GROUP))).alias(f"m{i}") for i in kinds))
     whole = least.groupBy(*key).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    return whole.select(*key, F.slice(F.flatten(F.col("parts.m")), 1, samples).alias("signature"))
+    return whole.select(*key, *(F.slice(F.flatten(F.col(f"parts.m{i}")), 1, samples).alias(f"signature_{i}") for i in kinds))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -66,24 +76,21 @@ def as_text(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def followed(keys: DataFrame, id_col: str, tie: str, buckets: int = ORDER_BUCKETS) -> DataFrame:
+def followed(keys: DataFrame, id_col: str, tie: str) -> DataFrame:
     """Adds ``next_k``: the k of the next row by descending id (nulls last), then tie; after the last row, the first.
 
-    Rows are dealt to ranges of ids, so no task orders all; the ends of the ranges, one row for
-    each, are put together on the driver.
+    Rows are dealt to as many ranges as Spark has shuffle partitions, by id and tie, so neither one
+    task nor rows of one id are ordered as a whole; the first row of each range goes over the driver.
     """
-    cuts = keys.agg(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first().q
-    above = sum((F.when(F.col(id_col) < c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
-    ranged = keys.withColumn("bucket", F.when(F.col(id_col).isNull(), F.lit(buckets)).otherwise(above))
-    order = Window.partitionBy("bucket").orderBy(F.col(id_col).desc_nulls_last(), F.col(tie))
-    ranged = ranged.withColumn("next_k", F.lead("k").over(order)).withColumn("place", F.row_number().over(order))
-    firsts = {r.bucket: r.k for r in ranged.where("place = 1").select("bucket", "k").collect()}  # a row per range
-    if not firsts:
-        return ranged.drop("bucket", "place")
-    have = sorted(firsts)
-    after = {b: firsts[have[(i + 1) % len(have)]] for i, b in enumerate(have)}
-    table = F.create_map(*(x for b in have for x in (F.lit(b), F.lit(after[b]))))
-    return ranged.withColumn("next_k", F.coalesce("next_k", table[F.col("bucket")])).drop("bucket", "place")
+    by = [F.col(id_col).desc_nulls_last(), F.col(tie).asc()]
+    ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(keys.repartitionByRange(ranges, *by).withColumn("range", F.spark_partition_id()), "order")
+    order = Window.partitionBy("range").orderBy(*by)
+    firsts = ranged.withColumn("place", F.row_number().over(order)).where("place = 1").select("range", "k").collect()  # a row per range
+    have = sorted((r["range"], r["k"]) for r in firsts)
+    after = [(r, k) for (r, _), (_, k) in zip(have, have[1:] + have[:1], strict=True)]
+    table = keys.sparkSession.createDataFrame(after, f"range int, after {keys.schema['k'].dataType.simpleString()}")
+    return ranged.withColumn("next_k", F.lead("k").over(order)).join(F.broadcast(table), "range").withColumn("next_k", F.coalesce("next_k", "after")).drop("range", "after")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -105,10 +112,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.expr("n_chars div 2")).cast("int")), "start")
     both = whole.join(starts, "k").select("k", "text", edited.alias("edited"))
     hashed = both.select("k", F.sha2("edited", 256).alias("edited_sha256"))
-    kinds = both.select("k", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t")).select("k", "t.kind", "t.text")
-    signed = signatures(kinds, ["k", "kind"], "text", samples)
-    pair = signed.groupBy("k").agg(F.first(F.when(F.col("kind") == 0, F.col("signature")), True).alias("signature"), F.first(F.when(F.col("kind") == 1, F.col("signature")), True).alias("edited_signature"))
-    pair = stored(pair.join(hashed, "k"), "signatures")  # read twice; no text is wanted after it
+    signed = signatures(both, ["k"], ("text", "edited"), samples).withColumnsRenamed({"signature_0": "signature", "signature_1": "edited_signature"})
+    pair = stored(signed.join(hashed, "k"), "signatures")  # read twice; no text is wanted after it
     of_next = pair.select(F.col("k").alias("next_k"), F.col("signature").alias("next_signature"))
     out = pair.join(chain, "k").join(of_next, "next_k")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

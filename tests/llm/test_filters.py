@@ -1,6 +1,9 @@
 import collections
 import hashlib
+import math
+import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -8,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import cws, packing, quality, rules, toxicity
@@ -133,12 +137,43 @@ def test_fingerprints_follow_generalised_jaccard(spark):
     base = [f"w{i % 37}" for i in range(200)]
     texts = [" ".join(base[:k] + [f"v{j}" for j in range(200 - k)]) for k in range(0, 201, 20)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
-    got = {r.k: r.signature for r in cws.signatures(df, ["k"], samples=256).collect()}
+    got = {r.k: r.signature_0 for r in cws.signatures(df, ["k"], samples=256).collect()}
     for i, t in enumerate(texts):
         share = np.mean([x == y for x, y in zip(got[i], got[10], strict=True)])
         assert abs(share - likeness(t, texts[10])) < 0.1
 
 
+def drawn(text, samples):
+    """Signature of a text by the method's formulas, word by word."""
+    out = []
+    xx = lambda raw, seed=42: xxhash.xxh64_intdigest(raw, seed)
+    log = lambda h, *cuts: math.log(math.prod((h >> s & (1 << n) - 1) + 0.5 for s, n in cuts)) - sum(n for _, n in cuts) * math.log(2)
+    words = collections.Counter(re.sub("[ \\t-\\r]+", " ", text or "").strip(" ").split(" "))
+    for j in range(samples):
+        least = math.inf
+        for word, n in words.items():
+            first = xx(struct.pack("<i", j), xx(struct.pack("<Q", xx(word.encode()))))
+            second = xx(struct.pack("<Q", first))
+            r, c, b = -log(first, (0, 21), (21, 21)), -log(second, (0, 32), (32, 32)), ((first >> 42) + 0.5) / 2**22
+            t = math.floor(math.log(n) / r + b)
+            least = min(least, c * math.exp(-r * (t - b + 1)))
+        out.append(least)
+    return out
+
+
+def test_signatures_as_drawn_word_by_word(spark):
+    rng = random.Random(6)
+    texts = [None, "", " one\ttwo two\x0b", *(" ".join(rng.choices(["a", "bb", "c", "ü", "dd d"], k=rng.randint(1, 40))) for _ in range(8))]
+    rows = [(i, t, texts[i - 1]) for i, t in enumerate(texts)]
+    got = {r.k: r for r in cws.signatures(spark.createDataFrame(rows, "k int, text string, edited string"), ["k"], ("text", "edited"), 64).collect()}
+    want = [drawn(t, 64) for t in texts]
+    for i, _, _ in rows:
+        assert got[i].signature_1 == got[(i - 1) % len(rows)].signature_0
+        for j in range(len(rows)):
+            same = [abs(x / y - 1) < 1e-9 for x, y in zip(want[i], want[j], strict=True)]
+            assert same == [x == y for x, y in zip(got[i].signature_0, got[j].signature_0, strict=True)]
+
+
 def test_edited_texts_and_order(spark):
     rows = [(5, "abcdef"), (9, "ghiü"), (1, ""), (3, None), (None, "xyz"), (7, "q"), (9, "ghiü")]
     got = cws.fingerprint_documents(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, k int")).collect()
@@ -157,7 +192,7 @@ def test_fingerprints_run_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
     text = "same words here"
     two = spark.createDataFrame([(1, text), (2, text)], "k int, text string")
-    a, b = cws.signatures(two, ["k"]).select("signature").collect()
+    a, b = cws.signatures(two, ["k"]).select("signature_0").collect()
     assert a == b
 
 
