@@ -1,35 +1,40 @@
 """Operator 2: near-duplicates by SimHash, found through a byte-position inverted index.
 
 Two fingerprints that differ in at most two bits share at least six of their eight bytes by
-position. A posting of the index is keyed by four of these bytes (two of the four byte pairs):
-of four pairs at least two are untouched, so each linked pair meets in some posting. There the
-positional bytes it shares are tallied, pairs with six or more are kept, and their bits are
-compared. Only distinct fingerprints are indexed, so copies cost nothing.
-
-A posting of over ``SHORT`` fingerprints is not paired out. Its members are keyed by what is at
-most one bit from them in the other four bytes: members with a common key are two bits apart or
-less, and any two such members have one. That makes 33 rows per member and stars, not pairs.
+position. A posting of the index holds the fingerprints with the same bytes at four positions.
+The fourteen sets of four positions used are those whose numbers add up to 0 without carry: any
+three positions lie in one of them, so a pair that shares six bytes meets in exactly three
+postings, one that shares seven in seven, and one that shares five or fewer in one at most.
+Postings shared are tallied per pair, pairs that reach the least number guaranteed (three) are
+kept, and their bits are compared. Only distinct fingerprints are indexed, so copies cost nothing.
+
+A posting of over ``POSTING`` fingerprints is split: linked members also share two of its other
+four bytes, and then two of the last four half bytes, where at most 256 can stand together. The
+split parts count for the posting that they come from, so no pair loses any of its tally.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
 from graphloom.llm.pretoken import slices
 from graphloom.llm.shared import stored
+from graphloom.llm.workers import task
 
-SHORT = 48
-SHARED_BYTES = 6
+POSTING = 64
 MAX_BITS = 2
+BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+LEAST_SHARED = min(sum(not {*c} & {*gone} for c in BLOCKS) for gone in combinations(range(8), MAX_BITS))
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -73,43 +78,53 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> np.ndarray:
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, bits): the fingerprint of each row as a signed long; null and empty texts: 0."""
 
+    @task()
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4_000_000):
+        for b in slices(batches, "text", 1_500_000):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fingerprints_of(b.column("text")).view(np.int64))], ["id", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(mark, f"id {kind}, bits long")
 
 
-def _byte(x: Column, i: int) -> Column:
-    return F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))
+def _mask(places: tuple[int, ...], width: int = 8) -> int:
+    """These bytes (or units of ``width`` bits) of a signed long."""
+    m = sum(((1 << width) - 1) << (width * i) for i in places)
+    return m - (1 << 64) if m >> 63 else m
 
 
-def _postings(bits: Column) -> Column:
-    """Keys of the index: which two byte pairs, and their four bytes."""
-    pair = lambda i: F.shiftrightunsigned(bits, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    return F.array(*(F.struct(F.lit(k).alias("k"), F.shiftleft(pair(i), 16).bitwiseOR(pair(j)).alias("four")) for k, (i, j) in enumerate(combinations(range(4), 2))))
+def _finer(level: int) -> list[tuple[int, int]]:
+    """(mask, finer mask): a split posting's keys, by two more bytes and then by two more half bytes."""
+    out = set()
+    for places in BLOCKS if level == 1 else combinations(range(8), 6):
+        rest = [i for i in range(8) if i not in places]
+        units = [_mask((i,)) for i in rest] if level == 1 else [_mask((2 * i + k,), 4) for i in rest for k in (0, 1)]
+        out |= {(_mask(places), _mask(places) | a | b) for a, b in combinations(units, 2)}
+    return sorted(out)
+
+
+def postings(bits: DataFrame) -> DataFrame:
+    """(mask, key, block, bits): members of the postings with two fingerprints or more, large ones split."""
+    blocks = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.lit(_mask(c)).alias("mask")) for k, c in enumerate(BLOCKS))))
+    index = bits.select("bits", blocks.alias("b")).select("bits", "b.block", "b.mask")
+    held = []
+    for level in (1, 2, 3):
+        index = index.withColumn("key", F.col("bits").bitwiseAND(F.col("mask")))
+        size = index.groupBy("block", "mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        index = stored(index.join(size, ["block", "mask", "key"]), "postings")
+        held.append(index if level == 3 else index.where(F.col("n") <= POSTING))
+        if level < 3:
+            finer = bits.sparkSession.createDataFrame(_finer(level), "mask long, finer long")
+            index = index.where(F.col("n") > POSTING).join(F.broadcast(finer), "mask").select("bits", "block", F.col("finer").alias("mask"))
+    return reduce(DataFrame.union, [h.select("mask", "key", "block", "bits") for h in held])
 
 
 def links(bits: DataFrame) -> DataFrame:
-    """bits: distinct fingerprints. (a, b): links that join all fingerprints of MAX_BITS or fewer differing bits."""
-    index = bits.select("bits", F.explode(_postings(F.col("bits"))).alias("p")).select("bits", "p.k", "p.four")
-    size = index.groupBy("k", "four").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a posting list has its size beside each member; single ones go
-    index = index.join(size, ["k", "four"])
-    short = index.where(F.col("n") <= SHORT).select("k", "four", "bits")
-    pairs = short.withColumnRenamed("bits", "a").join(short.withColumnRenamed("bits", "b"), ["k", "four"]).where("a < b")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.when(_byte(x, i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-    pairs = pairs.where(tally >= SHARED_BYTES).where(F.bit_count(x) <= MAX_BITS).select("a", "b")
-
-    long = index.where(F.col("n") > SHORT)
-    free = [[b for i in range(4) if i not in ij for b in range(16 * i, 16 * i + 16)] for ij in combinations(range(4), 2)]
-    flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in f)) for f in free))
-    around = long.select("bits", "k", F.explode(F.get(flips, F.col("k"))).alias("flip")).select("bits", "k", F.col("bits").bitwiseXOR(F.col("flip")).alias("middle"))
-    least = around.groupBy("k", "middle").agg(F.min("bits").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "middle", "a")
-    stars = around.join(least, ["k", "middle"]).where("a != bits").select("a", F.col("bits").alias("b"))
-    return pairs.union(stars).distinct()
+    """bits: distinct fingerprints. (a, b), a < b: all pairs of MAX_BITS or fewer differing bits."""
+    index = postings(bits)
+    pairs = index.withColumnRenamed("bits", "a").join(index.withColumnRenamed("bits", "b"), ["mask", "key", "block"]).where("a < b")
+    tally = pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, block)")).alias("shared")).where(F.bit_count("shared") >= LEAST_SHARED)
+    return tally.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
