@@ -20,11 +20,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The cluster's own measure of how finely data are dealt."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.bpe_encode(spread(documents(spark, sf_dir)), TOKENIZER)
     texts = bpe.bpe_decode(tokens, TOKENIZER)
@@ -56,8 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = max(8, shuffle_partitions(spark) // 2)
-    rows = substring_dedup.remove_repeats(documents(spark, sf_dir), buckets)
+    rows = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -4,10 +4,11 @@ Every window of 50 bytes is found by its least-hashed 20-byte piece, its anchor;
 have equal anchors at equal places. So only anchors, about one for 16 bytes, are compared:
 
 1. A block of documents (dealt by a hash of id and text) sends its anchors, as hashes of the piece
-   and of the whole neighbourhood (30 bytes before, 50 from it), to a bucket of the piece.
+   and of the whole neighbourhood (30 bytes before, 50 from it), to a bucket of the piece: for each
+   neighbourhood the least document that has it. So a passage that many documents share meets
+   once for each block, not once for each document.
 2. A bucket tells which anchors stand in a neighbourhood that a smaller document has too: all
-   their windows go. Others whose piece other documents have in other neighbourhoods are sent
-   on, one for each distinct neighbourhood and document.
+   their windows go. Others whose piece other documents have in other neighbourhoods are sent on.
 3. Their neighbourhoods' bytes meet by bucket. There the strings from the anchors on, and those
    before them read backwards, are put in order by deep-shallow sorting (suffixes.py); common
    prefixes of neighbours in both orders show which windows are equal, byte by byte, and which
@@ -33,7 +34,8 @@ from graphloom.llm.suffixes import common_prefixes, deep_shallow
 LENGTH = 50
 PIECE = 20
 BEFORE = LENGTH - PIECE
-DOCS_PER_BLOCK = 2000
+BLOCK_BYTES = 6_000_000
+BUCKET_BYTES = 32_000_000
 PART_BYTES = 400_000
 NULL_ID = np.iinfo(np.int64).max
 WHOLE, COMPARE = 1, 2
@@ -132,14 +134,28 @@ class Block:
         self.before = np.minimum(self.at - self.starts[self.doc], BEFORE) if len(self.at) else self.at
         self.after = np.minimum(self.ends[self.doc] - self.at, LENGTH) if len(self.at) else self.at
 
+        # of equal neighbourhoods the first anchor of the least document stands for all
+        order = np.lexsort((self.at, self.ids[self.doc], self.around, self.piece))
+        p, a = self.piece[order], self.around[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (p[1:] != p[:-1]) | (a[1:] != a[:-1])
+        self.stands = np.empty(len(order), np.int64)
+        self.stands[order] = order[fresh][np.cumsum(fresh) - 1]
+        self.later = self.ids[self.doc] > self.ids[self.doc[self.stands]]
+
     def of_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Which anchors each bucket gets, in order of place."""
-        bucket = (self.piece >> np.uint64(33)) % np.uint64(buckets)
+        """Which anchors each bucket gets, in order of place: those that stand for a neighbourhood."""
+        own = np.flatnonzero(self.stands == np.arange(len(self.at)))
+        bucket = ((self.piece[own] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-        for b in range(buckets):
-            if cut[b + 1] > cut[b]:
-                yield b, order[cut[b] : cut[b + 1]]
+        bucket, own = bucket[order], own[order]
+        start = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for b, some in zip(bucket[start].tolist(), np.split(own, start[1:]), strict=True) if len(own) else ():
+            yield b, some
+
+    def for_all(self, mark: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the anchors that stand for others were told, for all anchors."""
+        return np.where(self.later, WHOLE, mark[self.stands]), found[self.stands]
 
 
 def _rows(rows: list[dict]) -> pa.Table:
@@ -266,13 +282,19 @@ def _compare(key: tuple, near: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _cut(buckets: int, id_type: pa.DataType, carried: list[str]):
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Whether each byte's UTF-8 character has lost a byte."""
+    character = np.cumsum((data & 0xC0) != 0x80)
+    return np.bincount(character, gone, int(character[-1]) + 1)[character] > 0 if len(data) else gone
+
+
+def _cut(buckets: int, id_type: pa.DataType, carried: list[str], as_text: bool):
     def cut(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         """Step 4: documents without the bytes of found windows, and the runs that went."""
         block = Block(docs)
         covered = np.zeros(len(block.data) + 1, np.int64)
         if marks.num_rows:
-            mark, found = _marks(block, marks, buckets)
+            mark, found = block.for_all(*_marks(block, marks, buckets))
             starts = []
             for o in range(BEFORE + 1):
                 able = (block.before >= o) & (block.after >= LENGTH - o)
@@ -287,25 +309,33 @@ def _cut(buckets: int, id_type: pa.DataType, carried: list[str]):
         starts, ends = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
         runs = np.searchsorted(starts, np.append(block.starts, len(gone)))
         base = np.repeat(block.starts, np.diff(runs))
+        gone = _whole_characters(block.data, gone) if as_text else gone
         left = np.concatenate([[0], np.cumsum(~gone)])
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(left[np.append(block.starts, len(gone))].astype(np.int64)), pa.py_buffer(block.data[~gone])])
         spans = [pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.array(x - base, pa.int64())) for x in (starts, ends)]
         ids = pa.array(np.where(block.null, 0, block.ids), mask=block.null).cast(id_type)
-        return pa.Table.from_arrays([ids, pa.array(block.ends - block.starts, pa.int64()), kept.cast(pa.binary()), *spans, *(docs.column(c).take(pa.array(block.order)) for c in carried)], ["id", "n_bytes", "kept", "starts", "ends", *carried])
+        return pa.Table.from_arrays([ids, pa.array(block.ends - block.starts, pa.int64()), kept.cast(pa.string() if as_text else pa.binary()), *spans, *(docs.column(c).take(pa.array(block.order)) for c in carried)], ["id", "n_bytes", "kept", "starts", "ends", *carried])
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, buckets: int, docs_per_block: int = DOCS_PER_BLOCK, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(id, n_bytes, kept, starts, ends, keep): the remaining bytes, and the maximal runs of removed ones.
 
     One row per input row, with its columns ``keep``. A byte goes if it lies in a 50-byte string that also starts in a row of
     smaller id; rows of equal id take nothing from each other. Null texts are empty, texts of under
-    50 bytes stay whole. A null id counts as greater than all others. Ids are integers. ``buckets``
-    should grow with the input: a bucket holds 12 bytes for each of its anchors.
+    50 bytes stay whole. A null id counts as greater than all others. Ids are integers, others are an
+    error. ``as_text``: kept is a string, without the characters that lost a byte.
+
+    Blocks and buckets grow with the bytes of all texts: a block holds about ``block_bytes`` of text,
+    a bucket the anchors, 12 bytes each, of ``bucket_bytes``.
     """
-    blocks = max(1, -(-docs.count() // docs_per_block))
     kind = docs.schema[id_col].dataType.simpleString()
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind)
+    if id_type is None:
+        raise ValueError(f"{id_col} must be an integer, not {kind}")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks, buckets = -(-size // block_bytes) or 1, -(-size // bucket_bytes) or 1
     carried = [f"keep_{i}" for i in range(len(keep))]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for n, c in zip(carried, keep, strict=True)))
     texts = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long").alias("block"), "id", "text", *carried)
@@ -313,7 +343,6 @@ def remove_repeats(docs: DataFrame, buckets: int, docs_per_block: int = DOCS_PER
     marks = anchors.groupBy("bucket").applyInArrow(_judge, ROW)
     near = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_send_bytes(buckets), ROW)
     found = near.groupBy("bucket").applyInArrow(_compare, ROW)
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}[kind]
-    fields = ", ".join([f"id {kind}, n_bytes long, kept binary, starts array<long>, ends array<long>", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(carried, keep, strict=True))])
-    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(buckets, id_type, carried), fields)
+    fields = ", ".join([f"id {kind}, n_bytes long, kept {'string' if as_text else 'binary'}, starts array<long>, ends array<long>", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(carried, keep, strict=True))])
+    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(buckets, id_type, carried, as_text), fields)
     return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "starts", "ends", *(F.col(n).alias(c) for n, c in zip(carried, keep, strict=True)))

@@ -1,8 +1,9 @@
 """Deep-shallow ordering of byte strings of bounded length, and their common prefixes.
 
-The shallow part is a multikey quicksort that takes eight bytes as one key and goes down to a
-depth of ``SHALLOW`` bytes, all groups at once. Groups that are still equal there share a long
-prefix; a blind trie (branching positions and bytes only, no labels) orders each of them.
+The shallow part is a multikey quicksort: every group is parted by a pivot's next eight bytes into
+less, equal and greater; the equal ones go on eight bytes deeper, down to the shallow depth. All
+groups are parted in one step. Groups that are still equal there share a long prefix; a blind trie
+(branching positions and bytes only, no labels) orders each of them.
 """
 
 from __future__ import annotations
@@ -66,6 +67,33 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(group: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by group, then by their keys from left to right, and the classes of equal rows along it."""
+    n, levels = keys.shape
+    order = np.argsort(group, kind="stable")
+    cls, depth = _classes(group[order]) - 1, np.zeros(n, np.int64)
+    open_ = np.arange(n) if levels else np.zeros(0, np.int64)  # places in the order whose class may still be parted
+    while len(open_):
+        at, c, d = order[open_], cls[open_], depth[open_]
+        first = np.flatnonzero(np.diff(c, prepend=-1))
+        size = np.diff(first, append=len(c))
+        key = keys[at, d]
+        three = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = (key > pivot).astype(np.int8) - (key < pivot)
+        part = np.argsort(3 * np.repeat(np.arange(len(first)), size) + side, kind="stable")
+        order[open_], side, d, c = at[part], side[part], d[part], c[part]
+        fresh = np.diff(c, prepend=-1, append=-1) != 0
+        fresh[1:-1] |= side[1:] != side[:-1]
+        start = np.flatnonzero(fresh[:-1])
+        of = np.cumsum(fresh[:-1]) - 1
+        cls[open_] = open_[start][of]  # a class is named by its first place
+        depth[open_] = d + (side == 0)
+        more = (np.diff(start, append=len(c))[of] > 1) & (depth[open_] < levels)
+        open_ = open_[more]
+    return order, cls
+
+
 def deep_shallow(group: np.ndarray, rows: np.ndarray, lens: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Order of strings by group, then bytes; a string comes before longer ones that it starts.
 
@@ -74,18 +102,8 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray, lens: np.ndarray, shallow:
     n, depth = rows.shape
     wide = np.zeros((n, -(-max(depth, shallow) // 8) * 8), np.uint8)
     wide[:, :depth] = rows
-    keys = wide.view(">u8").astype(np.uint64)
-    order = np.argsort(group, kind="stable")
-    cls = _classes(group[order])
-    for level in range(shallow // 8):
-        key = keys[order, level]
-        inner = np.lexsort((key, cls))  # parts every group of the level above by its next eight bytes
-        order, key, cls = order[inner], key[inner], cls[inner]
-        fresh = np.concatenate([[True], (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])])[:n]
-        cls = np.cumsum(fresh)
-        if fresh.all():
-            return order
-    starts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])[:n])
+    order, cls = multikey_quicksort(group, wide.view(">u8")[:, : shallow // 8].astype(np.uint64))
+    starts = np.flatnonzero(np.diff(cls, prepend=-1))
     ends = np.append(starts[1:], n)
     raw, size = wide.tobytes(), wide.shape[1]
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):

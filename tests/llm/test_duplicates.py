@@ -1,12 +1,13 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 
 from graphloom.llm import components, simhash, substring_dedup
-from graphloom.llm.suffixes import deep_shallow
+from graphloom.llm.suffixes import deep_shallow, multikey_quicksort
 
 
 def fingerprint(text):
@@ -41,9 +42,16 @@ def test_fingerprints(spark):
     assert got == {i: fingerprint(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("short", [0, 3, 48])
-def test_links_join_as_all_pairs(spark, monkeypatch, short):
-    monkeypatch.setattr(simhash, "SHORT", short)
+def test_postings_shared_by_pairs():
+    for n, least, most in ((8, 14, 14), (7, 7, 7), (6, 3, 3), (5, 1, 1), (4, 0, 1), (3, 0, 0)):
+        counts = {sum({*b} <= {*same} for b in simhash.BLOCKS) for same in combinations(range(8), n)}
+        assert (min(counts), max(counts)) == (least, most)
+    assert simhash.LEAST_SHARED == 3
+
+
+@pytest.mark.parametrize("posting", [1, 3, 64])
+def test_links_are_all_pairs(spark, monkeypatch, posting):
+    monkeypatch.setattr(simhash, "POSTING", posting)
     rng = random.Random(4)
     bits = [rng.getrandbits(64) for _ in range(30)]
     for _ in range(120):
@@ -54,14 +62,7 @@ def test_links_join_as_all_pairs(spark, monkeypatch, short):
     bits = sorted(set(bits))
     df = spark.createDataFrame([(b - (1 << 64) if b >> 63 else b,) for b in bits], "bits long")
     links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in links)
-    at = {b: i for i, b in enumerate(bits)}
-    root = list(range(len(bits)))
-    for _ in bits:
-        for a, b in links:
-            root[at[a]] = root[at[b]] = min(root[at[a]], root[at[b]])
-    want = groups(bits)
-    assert len({(x, y) for x, y in zip(root, want, strict=True)}) == len(set(root)) == len(set(want))
+    assert sorted(links) == sorted((a, b) if (a ^ 1 << 63) < (b ^ 1 << 63) else (b, a) for a, b in combinations(bits, 2) if (a ^ b).bit_count() <= 2)
 
 
 def test_near_duplicates_name_the_least_id(spark):
@@ -80,6 +81,23 @@ def test_components_of_chain_star_and_none(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    for n, levels, most in ((0, 2, 3), (1, 1, 3), (200, 1, 2), (300, 3, 3), (500, 2, 100)):
+        keys, group = rng.integers(0, most, (n, levels)).astype(np.uint64), rng.integers(0, 4, n)
+        order, cls = multikey_quicksort(group, keys)
+        rows = [(group[i], *keys[i]) for i in order]
+        assert sorted(order.tolist()) == list(range(n)) and rows == sorted(rows)
+        assert [a == b for a, b in zip(cls, cls[1:], strict=False)] == [a == b for a, b in zip(rows, rows[1:], strict=False)]
+
+
+def test_no_half_characters_are_kept(spark):
+    same = "ä" * 30
+    rows = [(1, same), (2, "b" + same + "\ufffd" + "cäb"), (3, "ü" + same[:25])]
+    got = {r.doc_id: r.kept for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), as_text=True).collect()}
+    assert got == {1: same, 2: "b\ufffdcäb", 3: "ü"}
+
+
 def test_deep_shallow_orders_any_bytes():
     rng = random.Random(2)
     for _ in range(60):
@@ -110,12 +128,12 @@ def cut(rows):
     return out
 
 
-@pytest.mark.parametrize("per_block", [3, 1000])
-def test_repeats_as_brute_force(spark, per_block):
+@pytest.mark.parametrize("size", [300, 1_000_000])
+def test_repeats_as_brute_force(spark, size):
     rng = random.Random(8)
     words = ["ö", "the", "of", "stone", "river", "a", "\0"]
     passages = [" ".join(rng.choices(words, k=rng.randint(8, 60))) for _ in range(6)]
     rows = [(i, "".join(rng.choice(passages)[rng.randint(0, 20) :] if rng.random() < 0.5 else " ".join(rng.choices(words, k=9)) for _ in range(rng.randint(0, 6)))) for i in range(40)]
     rows += [(50, "ha" * 200), (51, "ha" * 100), (52, "a" * 49), (53, "a" * 50), (54, "a" * 51), (None, "a" * 80), (None, None), (3, "ha" * 60), (3, "ha" * 60), (60, None), (61, "")]
-    got = substring_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int"), 3, per_block).collect()
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int"), size, 2 * size).collect()
     assert sorted(map(str, ((r.doc_id, r.n_bytes, bytes(r.kept), r.starts, r.ends) for r in got))) == sorted(map(str, cut(rows)))
