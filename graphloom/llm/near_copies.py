@@ -24,6 +24,7 @@ from graphloom.llm.components import components
 from graphloom.llm.pretoken import listed, slices
 from graphloom.llm.shared import stored
 from graphloom.llm.simhash import split_words
+from graphloom.llm.workers import task
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -84,39 +85,46 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
 
 
+def text_keys(texts: pa.Array) -> np.ndarray:
+    """A hash of the bytes of each text; null: of none."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    return np.fromiter((xxhash.xxh64_intdigest(t.as_buffer()) for t in texts), np.uint64, len(texts))
+
+
 def marked(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(keep, node, n, bands): name, size and postings of the shingle set of each row."""
+    """(keep, node, n, bands, text_key): name, size and postings of the shingle set of each row, and a hash of its text."""
 
+    @task()
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text", 4_000_000):
+        for b in slices(batches, "__text", 1_500_000):
             node, n, bands = [], [], []
             for s in shingle_sets(b.column("__text")):
                 node.append(node_of(s))
                 n.append(len(s))
                 bands.append(bands_of(s))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(bands)], [*keep, "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(bands), pa.array(text_keys(b.column("__text")).view(np.int64))], [*keep, "node", "n", "bands", "text_key"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(mark, f"{fields}, node long, n int, bands array<long>")
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(mark, f"{fields}, node long, n int, bands array<long>, text_key long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, shingles) of the nodes given. A sieve of fixed size keeps most others from being shuffled; the join decides."""
-    slot = F.col("node").bitwiseAND(F.lit((1 << SIEVE_LOG2) - 1))
-    some = nodes.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(node & 63))")).alias("bits")).toArrow()
+    """(node, shingles) of the nodes given, each with the hash of a text of its. A sieve of fixed size on these hashes leaves
+    most other texts alone; the join decides."""
+    slot = F.col("text_key").bitwiseAND(F.lit((1 << SIEVE_LOG2) - 1))
+    some = nodes.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(text_key & 63))")).alias("bits")).toArrow()
     sieve = np.zeros(1 << (SIEVE_LOG2 - 6), np.int64)
     sieve[some.column("at").to_numpy()] = some.column("bits").to_numpy()
     blob = sieve.tobytes()
 
+    @task()
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(blob, np.uint64)
-        for b in slices(batches, "text", 4_000_000):
-            node, rows = [], []
-            for s in shingle_sets(b.column("text")):
-                x = node_of(s)
-                if int(held[(x & ((1 << SIEVE_LOG2) - 1)) >> 6]) >> (x & 63) & 1:
-                    node.append(x)
-                    rows.append(s)
+        for b in slices(batches, "text", 1_500_000):
+            x = text_keys(b.column("text")) & np.uint64((1 << SIEVE_LOG2) - 1)
+            some = np.flatnonzero(held[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1))
+            rows = list(shingle_sets(b.column("text").take(pa.array(some))))
+            node = list(map(node_of, rows))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _lists(rows)], ["node", "shingles"])
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(pick, "node long, shingles array<long>")
@@ -128,9 +136,9 @@ def _long_enough(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-nodes")
+def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of 0.8 or more; names: (node, text_key)."""
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node"), "near-nodes")
     sets = stored(_sets(docs, nodes, text_col), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
@@ -145,12 +153,13 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text", texts: Data
     texts = docs if texts is None else texts
     marks = stored(marked(docs, keep, text_col), "near-marks")
     nodes = marks.where("n > 0").select("node", "n", "bands").dropDuplicates(["node"])
+    names = marks.groupBy("node").agg(F.min("text_key").alias("text_key"))
     index = nodes.select("node", "n", F.explode("bands").alias("key"))
     least = index.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "least")
     index = stored(index.join(least, "key"), "near-index")
     stars = index.where("node != least.node").where(_long_enough(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     stars = stored(stars.distinct(), "near-stars")
-    links = stored(verified(texts, stars, text_col), "near-links")
+    links = stored(verified(texts, stars, names, text_col), "near-links")
     of = stored(components(links), "near-groups")
 
     rooted = index.join(of, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
@@ -160,5 +169,5 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text", texts: Data
     pairs = x.join(y, "key").where("a < b and root_a != root_b").where(_long_enough(F.col("n_a"), F.col("n_b"))).select("a", "b")
     pairs = stored(pairs.join(stars, ["a", "b"], "left_anti").distinct(), "near-pairs")
     if not pairs.isEmpty():
-        of = stored(components(links.union(verified(texts, pairs, text_col))), "near-groups")
+        of = stored(components(links.union(verified(texts, pairs, names, text_col))), "near-groups")
     return marks.join(of, "node", "left").select(*keep, F.coalesce("component", "node").alias("component"))

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import near_copies
-from graphloom.llm.pretoken import slices
+from graphloom.llm.pretoken import encoder, slices
 from graphloom.llm.token_counts import piece_counts
+from graphloom.llm.workers import hold, task
 
 CAPACITY = 2048
 DOCS_PER_SHARD = 2048
@@ -29,6 +30,7 @@ DOCS_PER_SHARD = 2048
 def token_lengths(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and n_tokens (long) of each text; null: 0."""
 
+    @task(encoder, piece_counts)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
             n = piece_counts(path).of(b.column("__text"))
@@ -100,6 +102,7 @@ def best_fit_pack(lengths: DataFrame, shards: int, capacity: int = CAPACITY, id_
     dealt = lengths.select(*cols, F.pmod(F.xxhash64(F.col(id_col), F.col(source_col), F.col(cluster_col)), F.lit(max(1, shards))).cast("long").alias("shard"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        hold()
         return pack_shard(rows, capacity)
 
     packed = dealt.groupBy("shard").applyInPandas(pack, f"id {kind}, piece int, n_tokens long, shard long, bin long, offset long")

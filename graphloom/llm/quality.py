@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.pretoken import listed, ragged, slices
 from graphloom.llm.simhash import split_words
+from graphloom.llm.workers import task
 
 SLOTS_LOG2 = 18
 MAX_LABELLED = 12_000
 EPOCHS = 4
 SCALE = 8.0
-KNOWN = 250_000
+KNOWN_BYTES = 40_000_000
 _words = re.compile(r"[^\W\d_]+|\d+|(.)\1*", re.DOTALL)
 _PAIR, _TRIPLE, _REPEAT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -45,20 +46,22 @@ class Words:
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.size = 0
 
     def learn(self, chunk: str) -> None:
         words = [m.group() for m in _words.finditer(chunk)]
         own = np.array([zlib.crc32(w.lower().encode()) for w in words], "<u4").tobytes()
         forms = np.array([zlib.crc32(b"form " + form(w).encode()) for w in words], "<u4").tobytes()
         self.known[chunk] = own, forms
+        self.size += len(chunk) + 2 * len(own) + 280
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of words, of forms, and offsets of texts into them."""
         chunks, offsets = split_words(texts)
         coded = chunks.dictionary_encode()
         code, distinct = coded.indices.to_numpy(), listed(coded.dictionary)
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
         for c in distinct:
             if c not in self.known:
                 self.learn(c)
@@ -156,6 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> np.ndarray:
     """Weights learnt in one task from the bounded sample. No labelled rows: all weights 0, every score 0.5."""
 
+    @task(words_table)
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
         marks: list[int] = []
@@ -179,9 +183,10 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
     blob = weights.astype("<f4").tobytes()  # 1 MB, whatever the input
     names = [f"__{i}" for i in range(len(keep))]
 
+    @task(words_table)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(blob, "<f4").astype(float)
-        for b in slices(batches, "__text", 5_000_000):
+        for b in slices(batches, "__text", 2_000_000):
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(score(b.column("__text"), w)), *(b.column(c) for c in names)], ["__id", "score", *names])
 
     fields = ", ".join([f"__id {docs.schema[id_col].dataType.simpleString()}", "score double", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))])

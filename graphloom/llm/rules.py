@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.pretoken import listed, slices
 from graphloom.llm.simhash import split_words
+from graphloom.llm.workers import task
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 10
@@ -72,8 +73,9 @@ def statistics_of(texts: pa.Array) -> list[np.ndarray]:
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, keep) of each row; null texts have no words."""
 
+    @task()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text", 6_000_000):
+        for b in slices(batches, "__text", 2_000_000):
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), *map(pa.array, statistics_of(b.column("__text"))), *(b.column(c) for c in keep)], ["id", "host", *(f.split()[0] for f in STATS.split(", ")), *keep])
 
     id_kind, host_kind = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))

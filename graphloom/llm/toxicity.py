@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.pretoken import listed, slices
 from graphloom.llm.quality import labelled_sample
 from graphloom.llm.simhash import split_words
+from graphloom.llm.workers import task
 
 SLOTS_LOG2 = 18
 DECAY = 0.65
@@ -270,6 +271,7 @@ def scorer(machine: bytes) -> Scorer:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> bytes:
     """The machine, about 1 MB, learnt in one task from at most ``limit`` labelled rows; no rows: every score 0.5."""
 
+    @task()
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
         marks: list[int] = []
@@ -291,9 +293,10 @@ def toxicity_scores(docs: DataFrame, machine: bytes, id_col: str = "doc_id", tex
     Null ids and repeated rows are kept; other columns are not looked at.
     """
 
+    @task(scorer)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(machine)
-        for b in slices(batches, "text", 6_000_000):
+        for b in slices(batches, "text", 2_000_000):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s.score(b.column("text")))], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -3,8 +3,9 @@ import collections
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import packing, quality, queries, rules, simhash, substring_dedup, token_counts
+from graphloom.llm import packing, quality, queries, rules, substring_dedup, token_counts
 from graphloom.llm.bpe import bpe_encode
+from tests.llm.brute import partition
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,15 +20,14 @@ def kept(spark):
 
 
 def test_each_stage_does_its_part(spark, kept):
-    docs, by_quality, by_rules, single, cut = (k.toPandas().set_index("doc_id") for k in kept)
+    docs, by_quality, by_rules, single, cut = (k.toPandas().set_index("doc_id").sort_index() for k in kept)
     assert set(docs.index) >= set(by_quality.index) >= set(by_rules.index) >= set(single.index) == set(cut.index)
     assert list(kept[4].columns) == list(kept[0].columns)
     scores = quality.quality_scores(kept[0], quality.fit(kept[0], queries.labels(spark, SF))).toPandas()
     assert set(by_quality.index) == set(scores[scores.score >= 0.3].doc_id)
     verdict = rules.quality_rules(kept[1]).toPandas()
     assert set(by_rules.index) == set(verdict[verdict.kept].doc_id)
-    groups = simhash.near_duplicates(kept[2]).toPandas()
-    assert set(single.index) == set(groups.component_id)
+    assert single.index.tolist() == by_rules.index[sorted(set(partition(by_rules.text.tolist())))].tolist()
     seen = {}
     for i in sorted(single.index):
         b = single.text[i].encode()
@@ -64,4 +64,4 @@ def test_operators_take_odd_rows(spark, tmp_path):
         assert n >= len(rows) if name == "op3_pack" else n == len(rows), name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
     assert bpe_encode(spark.createDataFrame([], "doc_id long, text string"), queries.TOKENIZER).count() == 0
-    assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), 2).count() == 0
+    assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
