@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.dna import revcomp
+from graphloom.storage import stored
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder where one is set, so that rounds don't pile up plans."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written to the shared folder, so that rounds don't pile up plans."""
+    return stored(df, "graph")
 
 
 def oriented(solid: DataFrame) -> DataFrame:
@@ -38,9 +28,9 @@ def edges(nodes: DataFrame, k: int) -> DataFrame:
 
 def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(v, n_in, n_out, branching)."""
-    ins = links.groupBy("v").agg(F.count(F.lit(1)).alias("n_in"))
-    outs = links.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("n_out"))
-    out = nodes.join(ins, "v", "left").join(outs, "v", "left").na.fill(0, ["n_in", "n_out"])
+    ends = F.array(F.struct(F.col("v"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("u").alias("v"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    each = links.select(F.explode(ends).alias("e")).select("e.*").union(nodes.select("v", F.lit(0), F.lit(0)))
+    out = each.groupBy("v").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
     return out.withColumn("branching", (F.col("n_in") > 1) | (F.col("n_out") > 1))
 
 

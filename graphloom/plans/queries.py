@@ -143,7 +143,7 @@ _SOLID = f"{sql_kmers()}, solid AS (SELECT rep, count(*) AS n FROM km GROUP BY r
 
 
 def _graph(spark, sf):
-    nodes = graph.oriented(kmers.solid(doc_kmers(spark, sf)))
+    nodes = graph.kept(graph.oriented(kmers.solid(doc_kmers(spark, sf))))  # read at both ends of a link
     return nodes, graph.edges(nodes, K)
 
 
@@ -166,22 +166,43 @@ def _long(spark, sf):
     return kmers.kmers(reads(spark, sf, "benchmark", "item_id"), K, ["item_id"])
 
 
+def _of_long(spark, sf, long):
+    """Occurrences in the documents of k-mers that the long reads have; all others needn't be counted."""
+    return doc_kmers(spark, sf).join(long.select("rep").distinct(), "rep", "left_semi")
+
+
+def _noisy_reads(spark, sf):
+    """Benchmark items with every 37th base changed, from the sixth on."""
+    letters = F.filter(F.split("seq", ""), lambda c: c != "")
+    noisy = F.transform(letters, lambda c, i: F.when(i % 37 == 5, F.translate(c, "ACGT", "CGTA")).otherwise(c))
+    return reads(spark, sf, "benchmark", "item_id").withColumn("seq", F.array_join(noisy, ""))
+
+
+_NOISY = f"""ls0 AS (SELECT item_id, {ENC.format('text')} AS seq FROM benchmark),
+ls AS (SELECT item_id, string_agg(CASE WHEN (i - 1) % 37 = 5 THEN translate(substr(seq, i, 1), 'ACGT', 'CGTA') ELSE substr(seq, i, 1) END, '' ORDER BY i) AS seq
+  FROM (SELECT item_id, seq, unnest(generate_series(1, length(seq))) AS i FROM ls0) GROUP BY item_id),
+lk AS (SELECT *, least(kmer, {RC.format("kmer")}) AS rep FROM (
+  SELECT item_id, i - 1 AS pos, substr(seq, i, {K}) AS kmer FROM (SELECT item_id, seq, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM ls WHERE length(seq) >= {K})))"""
+
+
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n FROM km GROUP BY rep), {_LONG} SELECT item_id, count(*) AS n_kmers, count(c.rep) AS n_hit, CAST(sum(CASE WHEN c.n >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_solid FROM lk LEFT JOIN c USING (rep) GROUP BY item_id")
 def read_kmer_hits(spark, sf):
-    found = _long(spark, sf).join(kmers.counts(doc_kmers(spark, sf)), "rep", "left")
+    long = _long(spark, sf)
+    found = long.join(kmers.counts(_of_long(spark, sf, long)), "rep", "left")
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_kmers"), F.count("n").alias("n_hit"), F.sum((F.coalesce("n", F.lit(0)) >= 2).cast("long")).alias("n_solid"))
 
 
-_RUNS = f"WITH {sql_kmers()}, c AS (SELECT rep FROM km GROUP BY rep HAVING count(*) >= 2), {_LONG}, h AS (SELECT item_id, pos, pos - row_number() OVER (PARTITION BY item_id ORDER BY pos) AS run FROM lk JOIN c USING (rep)), r AS (SELECT item_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) AS INT) AS stop, count(*) AS n FROM h GROUP BY item_id, run)"
+_RUNS = f"WITH {sql_kmers()}, c AS (SELECT DISTINCT rep FROM km), {_NOISY}, h AS (SELECT item_id, pos, pos - row_number() OVER (PARTITION BY item_id ORDER BY pos) AS run FROM lk JOIN c USING (rep)), r AS (SELECT item_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) AS INT) AS stop, count(*) AS n FROM h GROUP BY item_id, run)"
 
 
 def _runs(spark, sf):
-    return kmers.islands(kmers.hits(_long(spark, sf), kmers.solid(doc_kmers(spark, sf)).select("rep")), "item_id")
+    long = kmers.kmers(_noisy_reads(spark, sf), K, ["item_id"])
+    return kmers.islands(kmers.hits(long, _of_long(spark, sf, long).select("rep").distinct()), "item_id")  # a passage may stand in one document alone
 
 
 @query(f"{_RUNS} SELECT item_id, start, stop, n FROM r")
 def seed_islands(spark, sf):
-    """Solid stretches of long reads: the anchors a correction starts from."""
+    """Stretches of noisy long reads whose k-mers the documents have: the anchors a correction starts from."""
     return _runs(spark, sf).select("item_id", "start", "stop", "n")
 
 
@@ -189,7 +210,7 @@ def seed_islands(spark, sf):
 SELECT item_id, 'head' AS kind, 0 AS start, start AS stop FROM w WHERE prior IS NULL AND start > 0
 UNION ALL SELECT item_id, CASE WHEN following IS NULL THEN 'tail' ELSE 'middle' END, stop + {K}, coalesce(following, len) FROM w WHERE coalesce(following, len) > stop + {K}""")
 def weak_gaps(spark, sf):
-    return kmers.gaps(_runs(spark, sf), reads(spark, sf, "benchmark", "item_id"), "item_id", K, F.length("seq"))
+    return kmers.gaps(_runs(spark, sf), _noisy_reads(spark, sf), "item_id", K, F.length("seq"))
 
 
 @query(f"""WITH {sql_kmers("conversations", "conv_id, turn")}, h AS (SELECT conv_id, turn, min(rep) AS head FROM km GROUP BY conv_id, turn),
@@ -238,8 +259,9 @@ def edge_support(spark, sf):
 
 @query(f"WITH {_SOLID} SELECT doc_id, count(*) AS n_solid, CAST(round(sum(n) * 1.0 / count(*)) AS BIGINT) AS coverage FROM km JOIN solid USING (rep) GROUP BY doc_id")
 def kmer_coverage(spark, sf):
-    km = doc_kmers(spark, sf)
-    found = kmers.hits(km, kmers.solid(km)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_solid"), F.sum("n").alias("total"))
+    per = doc_kmers(spark, sf).select("doc_id", "rep").repartition("rep").groupBy("doc_id", "rep").agg(F.count(F.lit(1)).alias("c"))  # one exchange for all that follows
+    solid = per.groupBy("rep").agg(F.sum("c").alias("n")).where("n >= 2")
+    found = per.join(solid, "rep").groupBy("doc_id").agg(F.sum("c").alias("n_solid"), F.sum(F.col("c") * F.col("n")).alias("total"))
     return found.select("doc_id", "n_solid", dna.rounded_coverage(F.col("total"), F.col("n_solid")).alias("coverage"))
 
 
@@ -349,13 +371,19 @@ def color_subsample(spark, sf):
     return colors.subsample(pairs, stats, 20.0).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {sql_kmers()}, solid AS (SELECT DISTINCT rep FROM km), {_NOISY},
+weak AS (SELECT item_id, pos, kmer FROM lk WHERE rep NOT IN (SELECT rep FROM solid)),
+e AS (SELECT weak.*, i, b FROM (SELECT *, unnest(generate_series(1, {K})) AS i FROM weak) weak, (SELECT unnest(['A', 'C', 'G', 'T']) AS b)),
+n AS (SELECT item_id, pos, kmer, substr(kmer, 1, i - 1) || b || substr(kmer, i + 1) AS near FROM e
+  UNION SELECT item_id, pos, kmer, substr(substr(kmer, 1, i) || b || substr(kmer, i + 1), 1, {K}) FROM e WHERE i < {K}
+  UNION SELECT item_id, pos, kmer, substr(kmer, 1, i - 1) || substr(kmer, i + 1) || b FROM e)
+SELECT item_id, pos, count(DISTINCT near) AS n FROM n JOIN solid ON solid.rep = least(near, {RC.format("near")}) WHERE near != kmer GROUP BY item_id, pos""")
 def inexact_hits(spark, sf):
-    """Places of long reads whose k-mer is one edit from a solid one and isn't solid itself."""
-    solid = kmers.solid(doc_kmers(spark, sf)).select("rep")
-    weak = _long(spark, sf).join(solid, "rep", "left_anti")
+    """Places of noisy long reads whose k-mer the documents don't have but is one edit from one that they have."""
+    solid = graph.kept(doc_kmers(spark, sf).select("rep").distinct())  # read twice
+    weak = kmers.kmers(_noisy_reads(spark, sf), K, ["item_id"]).join(solid, "rep", "left_anti")
     near = kmers.neighbourhood(weak, K, ["item_id"])
-    return kmers.hits(near, solid).groupBy("item_id", "pos").agg(F.countDistinct("near").alias("n"))
+    return kmers.hits(near, solid).groupBy("item_id", F.col("pos").cast("long").alias("pos")).agg(F.countDistinct("near").alias("n"))
 
 
 @query()
