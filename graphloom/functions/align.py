@@ -112,3 +112,15 @@ def best_candidate(candidates, group: list[str], text: str, reference: str, orde
     """The candidate of least distance by the longer length; the first of equal ones."""
     share = F.levenshtein(text, reference) / F.greatest(F.length(text), F.length(reference), F.lit(1))
     return candidates.groupBy(*group).agg(F.min(F.struct(share.alias("score"), F.col(order).alias("order"), F.col(text).alias("text"))).alias("best")).select(*group, "best.score", "best.order", "best.text")
+
+
+def best_aligned(candidates, group: list[str], text: str, reference: str, order: str, mode: str = "SHW", cut: float | None = None):
+    """The candidate that lies best at the start of the reference (SHW) or anywhere in it (HW); the first of equal ones.
+
+    score = distance / the candidate's length. Empty and null candidates are left out, and with a
+    ``cut`` those of a higher score, so a group may have no row.
+    """
+    share = alignment(F.col(text), F.col(reference), mode)["dist"] / F.length(text)
+    scored = candidates.where(F.length(text) > 0).select(*group, share.alias("score"), F.col(order).alias("order"), F.col(text).alias("text"))
+    scored = scored if cut is None else scored.where(F.col("score") <= cut)
+    return scored.groupBy(*group).agg(F.min(F.struct("score", "order", "text")).alias("best")).select(*group, "best.*")

@@ -105,3 +105,10 @@ def plain_bases(seq: Column, name: Column) -> Column:
     """IUPAC letters and others replaced by a base drawn from a hash of the name and the place."""
     drawn = lambda c, i: F.when(c.isin(*BASES), c).otherwise(F.substring(F.lit(BASES), (F.pmod(F.xxhash64(name, i), F.lit(4)) + 1).cast("int"), F.lit(1)))
     return F.array_join(F.transform(F.filter(F.split(F.upper(seq), ""), lambda c: c != ""), drawn), "")
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many letters two strings have in common from their starts; null if either is null."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    part = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(part == 0, F.length(a)).when((a == "") | (b == ""), 0).otherwise(part - 1)

@@ -327,6 +327,38 @@ def best_candidate(spark, sf):
     return align.best_candidate(p.join(first, "p_brand").where("p_partkey != first"), ["p_brand"], "p_name", "reference", "p_partkey").withColumn("score", F.round("score", 6))
 
 
+def _in_reference(spark, sf):
+    """Names of the parts of a size as DNA, beside that of the first part of the size."""
+    p = table(spark, sf, "part").select("p_size", "p_partkey", dna.encode_seq(F.col("p_name")).alias("seq"))
+    first = p.groupBy("p_size").agg(F.min(F.struct("p_partkey", "seq")).alias("f")).select("p_size", F.col("f.p_partkey").alias("first"), F.col("f.seq").alias("reference"))
+    return p.join(first, "p_size").where("p_partkey != first")
+
+
+_IN_REFERENCE = f"""p AS (SELECT p_size, p_partkey, {ENC.format('p_name')} AS seq FROM part), f AS (SELECT p_size, min(p_partkey) AS first FROM p GROUP BY p_size),
+c AS (SELECT p.p_size, p.p_partkey, p.seq, r.seq AS reference FROM p JOIN f USING (p_size) JOIN p r ON r.p_partkey = f.first WHERE p.p_partkey != first AND length(p.seq) > 0)"""
+_BEST = "b AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY score, p_partkey) AS k FROM m) SELECT p_size, round(score, 6) AS score, p_partkey AS \"order\", seq AS text FROM b WHERE k = 1"
+
+
+@query(f"WITH {_IN_REFERENCE}, m AS (SELECT p_size, p_partkey, seq, min(levenshtein(seq, substr(reference, 1, j))) * 1.0 / length(seq) AS score FROM (SELECT *, unnest(generate_series(0, length(reference))) AS j FROM c) GROUP BY p_size, p_partkey, seq), {_BEST}")
+def best_prefix(spark, sf):
+    """Of the parts of a size, the name closest to a start of the first part's."""
+    return align.best_aligned(_in_reference(spark, sf), ["p_size"], "seq", "reference", "p_partkey", "SHW").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_IN_REFERENCE}, m AS (SELECT p_size, p_partkey, seq, min(levenshtein(seq, substr(reference, i, j))) * 1.0 / length(seq) AS score FROM (SELECT *, unnest(generate_series(0, length(reference) - i + 1)) AS j FROM (SELECT *, unnest(generate_series(1, length(reference) + 1)) AS i FROM c)) GROUP BY p_size, p_partkey, seq), {_BEST}")
+def best_infix(spark, sf):
+    """Of the parts of a size, the name closest to any part of the first part's."""
+    return align.best_aligned(_in_reference(spark, sf), ["p_size"], "seq", "reference", "p_partkey", "HW").withColumn("score", F.round("score", 6))
+
+
+@query("SELECT p_partkey, CAST(coalesce(max(i) FILTER (WHERE substr(a, 1, i) = substr(b, 1, i)), 0) AS INT) AS n FROM (SELECT a.p_partkey, a.p_name AS a, b.p_name AS b, unnest(generate_series(0, least(length(a.p_name), length(b.p_name)))) AS i FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) GROUP BY p_partkey")
+def common_prefixes(spark, sf):
+    """Letters that the names of neighbouring parts have in common from their starts."""
+    p = table(spark, sf, "part")
+    pairs = p.select("p_partkey", F.col("p_name").alias("a")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")
+    return pairs.select("p_partkey", dna.common_prefix(F.col("a"), F.col("b")).alias("n"))
+
+
 @query(f"WITH s AS (SELECT conv_id, turn, {ENC.format('text')} AS seq FROM conversations) SELECT conv_id, turn, md5('@c' || conv_id || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('I', length(seq))) AS record FROM s")
 def fastq_records(spark, sf):
     r = reads(spark, sf, "conversations", ["conv_id", "turn"])

@@ -57,3 +57,16 @@ def test_cigars():
 def test_alignment_column(spark):
     df = spark.createDataFrame([("AACT", "AACTGGC"), (None, "A")], "a string, b string").withColumn("x", align.alignment(F.col("a"), F.col("b"), "SHW"))
     assert [r.x.dist for r in df.collect()] == [0, None]
+
+
+def test_common_prefix(spark):
+    rows = [("abc", "abd", 2), ("", "x", 0), ("", "", 0), ("ab", "abc", 2), ("abc", "abc", 3), ("x", "y", 0), (None, "a", None)]
+    got = spark.createDataFrame(rows, "a string, b string, n int").select("n", dna.common_prefix(F.col("a"), F.col("b")).alias("got")).collect()
+    assert [r.got for r in got] == [r.n for r in got]
+
+
+def test_best_aligned_cuts_and_takes_the_first(spark):
+    rows = [(1, 5, "ACGT", "ACGTTT"), (1, 3, "ACGT", "ACGTTT"), (1, 4, "", "ACGTTT"), (1, 2, None, "ACGTTT"), (2, 1, "GGGG", "ACAC"), (3, 1, "GTT", "ACGTTT")]
+    df = spark.createDataFrame(rows, "g int, o int, t string, r string")
+    assert sorted((r.g, r.score, r.order) for r in align.best_aligned(df, ["g"], "t", "r", "o", "SHW", 0.5).collect()) == [(1, 0.0, 3)]
+    assert sorted((r.g, r.score, r.order) for r in align.best_aligned(df, ["g"], "t", "r", "o", "HW", 0.5).collect()) == [(1, 0.0, 3), (3, 0.0, 1)]
