@@ -1,49 +1,15 @@
-"""Folders that driver and executors share."""
+"""How the operators read and write tables between their steps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from graphloom.storage import discard, fresh_path, stored
 
+__all__ = ["discard", "fresh_path", "spread", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where none is set, a local session makes one of this machine; on a cluster that is an error."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(where)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows written once to the shared folder and read from there: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes what ``stored`` wrote, once nothing reads it any more."""
-    for t in tables:
-        sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def spread(df: DataFrame, column: str | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Input in fewer splits than there are cores is dealt out anew; a large input stays as it is read."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * n) if df.rdd.getNumPartitions() * 2 < n else df
