@@ -5,10 +5,10 @@ the index of operator 2 can't find such pairs. Here a posting is a band: ``ROWS`
 hashes. Two sets share one of ``BANDS`` bands with probability 1 - (1 - J^5)^32, 0.999997 at 0.8.
 
 Every candidate is verified on its shingles. In a posting all members are first held against the one
-that the most sets meet; only members that this leaves in different groups are then paired, so a group of near
-copies costs its size, and all candidate pairs that could join two groups are looked at. Of these,
-pairs whose sketches (two bits of each of the 160 least hashes) differ in over ``MAX_APART`` places
-are not verified: at 0.8 a pair differs in 24 +- 4.5, so five in ten million of such pairs are lost.
+that the most sets meet; only members that this leaves in different groups are then paired, each pair in the
+least posting that it shares, so a group of near copies costs its size, and all candidate pairs that could join
+two groups are looked at. Of these, pairs whose sketches (two bits of each of ``DRAWS`` least hashes) differ in over
+``MAX_APART`` places are not verified: at 0.8 a pair differs in 77 +- 8, so one in a million of such pairs is lost.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ from graphloom.llm.workers import task
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
-MAX_APART = 46
-SKETCH = [f"s{i}" for i in range(-(-BANDS * ROWS // 32))]
+DRAWS = 512
+MAX_APART = 117
+SKETCH = [f"s{i}" for i in range(DRAWS // 32)]
 SIEVE_LOG2 = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(11)
-_TIMES = (_rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
-_PLUS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
+_TIMES = _rng.integers(0, 1 << 32, DRAWS, np.uint32) | np.uint32(1)
+_PLUS = _rng.integers(0, 1 << 32, DRAWS, np.uint32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -70,19 +71,33 @@ def node_of(shingles: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def bands_of(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the postings of a set, none for the empty set, and its sketch."""
-    if not len(shingles):
-        return np.zeros(0, np.int64), np.zeros(len(SKETCH), np.int64)
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(x), 512):
-        np.minimum(least, (x[a : a + 512] * _TIMES + _PLUS).min(axis=1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
+def least_hashes(rows: list[np.ndarray], draws: int) -> np.ndarray:
+    """The least of each of the first ``draws`` hashes over each set, a row per set; of the empty set the greatest number."""
+    out = np.full((len(rows), draws), 0xFFFFFFFF, np.uint32)
+    times, plus, room = _TIMES[:draws], _PLUS[:draws], np.empty((256, draws), np.uint32)
+    for least, shingles in zip(out, rows, strict=True):
+        x = (shingles >> np.uint64(32)).astype(np.uint32)
+        for a in range(0, len(x), 256):
+            part = room[: len(x) - a]
+            np.multiply(x[a : a + 256, None], times, out=part)
+            part += plus
+            np.minimum(least, part.min(axis=0), out=least)
+    return out
+
+
+def bands_of(rows: list[np.ndarray]) -> np.ndarray:
+    """Keys of the postings of each set, a row per set."""
+    least = least_hashes(rows, BANDS * ROWS).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), least.shape[:2])
     for i in range(ROWS):
-        key = _mix(key ^ least.reshape(BANDS, ROWS)[:, i]) + _BASE
-    two = (least & np.uint32(3)).astype(np.uint64).reshape(len(SKETCH), -1) << (2 * np.arange(BANDS * ROWS // len(SKETCH), dtype=np.uint64))
-    return key.view(np.int64), np.bitwise_or.reduce(two, axis=1).view(np.int64)
+        key = _mix(key ^ least[:, :, i]) + _BASE
+    return key.view(np.int64)
+
+
+def sketches(rows: list[np.ndarray]) -> np.ndarray:
+    """Two bits of each least hash, 32 of them in a long; a row per set."""
+    two = (least_hashes(rows, DRAWS) & np.uint32(3)).astype(np.uint64).reshape(-1, len(SKETCH), 32) << (2 * np.arange(32, dtype=np.uint64))
+    return np.bitwise_or.reduce(two, axis=2).view(np.int64)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -106,27 +121,30 @@ def text_keys(texts: pa.Array) -> np.ndarray:
 
 
 def marked(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(keep, node, n, bands, text_key, sketch): name, size, postings and sketch of the shingle set of each row, and a hash of its text."""
+    """(keep, node, n, bands, text_key): name, size and postings of the shingle set of each row (none: no postings), and a hash of its text."""
 
     @task()
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text", 1_500_000):
-            node, n, bands, sketch = [], [], [], []
+            rows, node, n, bands = [], [], [], []
             for s in shingle_sets(b.column("__text")):
                 node.append(node_of(s))
                 n.append(len(s))
-                keys, bits = bands_of(s)
-                bands.append(keys)
-                sketch.append(bits)
-            sketch = np.array(sketch, np.int64).reshape(-1, len(SKETCH))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(bands), pa.array(text_keys(b.column("__text")).view(np.int64)), *map(pa.array, np.ascontiguousarray(sketch.T))], [*keep, "node", "n", "bands", "text_key", *SKETCH])
+                rows.append(s)
+                if len(rows) == 256:
+                    bands.append(bands_of(rows))
+                    rows.clear()
+            bands = np.concatenate([*bands, bands_of(rows)])
+            held = np.array(n, np.int32) > 0
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(BANDS * held)]), pa.int32()), pa.array(bands[held].ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node, pa.int64()), pa.array(n, pa.int32()), bands, pa.array(text_keys(b.column("__text")).view(np.int64))], [*keep, "node", "n", "bands", "text_key"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(mark, f"{fields}, node long, n int, bands array<long>, text_key long, {', '.join(s + ' long' for s in SKETCH)}")
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(mark, f"{fields}, node long, n int, bands array<long>, text_key long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, shingles) of the nodes given, each with the hash of a text of its. A sieve of fixed size on these hashes leaves
+    """(node, shingles, sketch) of the nodes given, each with the hash of a text of its. A sieve of fixed size on these hashes leaves
     most other texts alone; the join decides."""
     slot = F.col("text_key").bitwiseAND(F.lit((1 << SIEVE_LOG2) - 1))
     some = nodes.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(text_key & 63))")).alias("bits")).toArrow()
@@ -142,9 +160,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
             some = np.flatnonzero(held[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1))
             rows = list(shingle_sets(b.column("text").take(pa.array(some))))
             node = list(map(node_of, rows))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _lists(rows)], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _lists(rows), *map(pa.array, np.ascontiguousarray(sketches(rows).T))], ["node", "shingles", *SKETCH])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(pick, "node long, shingles array<long>")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(pick, f"node long, shingles array<long>, {', '.join(s + ' long' for s in SKETCH)}")
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -153,10 +171,8 @@ def _long_enough(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of 0.8 or more; names: (node, text_key)."""
-    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node"), "near-nodes")
-    sets = stored(_sets(docs, nodes, text_col), "near-sets")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets (node, shingles) have a Jaccard similarity of 0.8 or more."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
     return both.where(5 * F.col("shared") >= 4 * (F.col("total") - F.col("shared"))).select("a", "b")
@@ -170,27 +186,30 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text", texts: Data
     texts = docs if texts is None else texts
     marks = stored(marked(docs, keep, text_col), "near-marks")
     nodes = marks.where("n > 0").select("node", "n", "bands").dropDuplicates(["node"])
-    names = marks.groupBy("node").agg(F.min("text_key").alias("text_key"))
-    sketches = marks.where("n > 0").groupBy("node").agg(*(F.min(s).alias(s) for s in SKETCH))
     index = nodes.select("node", "n", F.explode("bands").alias("key"))
     size = index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     index = index.join(size, "key")
     # the set that most others meet stands nearest to the middle of its near copies
     met = index.groupBy("node").agg(F.sum("members").alias("met"))
     index = stored(index.join(met, "node"), "near-index")
+    names = marks.groupBy("node").agg(F.min("text_key").alias("text_key")).join(index.select("node"), "node", "left_semi")
+    sets = stored(_sets(texts, stored(names, "near-names"), text_col), "near-sets")
     middle = index.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("middle"))
     stars = index.join(middle, "key").where("node != middle.node").where(_long_enough(F.col("n"), F.col("middle.n")))
     stars = stars.select(F.least("node", "middle.node").alias("a"), F.greatest("node", "middle.node").alias("b"))
     stars = stored(stars.distinct(), "near-stars")
-    links = stored(verified(texts, stars, names, text_col), "near-links")
+    links = stored(verified(stars, sets), "near-links")
     of = stored(components(links), "near-groups")
 
     rooted = index.join(of, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    rest = stored(rooted.join(mixed, "key", "left_semi").join(sketches, "node"), "near-rest")
-    x, y = (rest.select("key", F.col("node").alias(i), F.col("n").alias(f"n_{i}"), F.col("root").alias(f"root_{i}"), *(F.col(s).alias(f"{i}_{s}") for s in SKETCH)) for i in "ab")
-    pairs = x.join(y, "key").where("a < b and root_a != root_b").where(_long_enough(F.col("n_a"), F.col("n_b"))).where(_apart("a", "b") <= MAX_APART).select("a", "b")
-    pairs = stored(pairs.join(stars, ["a", "b"], "left_anti").distinct(), "near-pairs")
+    rest = stored(rooted.join(mixed, "key", "left_semi"), "near-rest")
+    own = rest.groupBy("node").agg(F.collect_list("key").alias("keys")).join(sets.drop("shingles"), "node")  # BANDS keys at most
+    rest = rest.join(own, "node")
+    x, y = (rest.select("key", F.col("node").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in ("n", "root", "keys", *SKETCH))) for i in "ab")
+    pairs = x.join(y, "key").where("a < b and a_root != b_root").where(_long_enough(F.col("a_n"), F.col("b_n"))).where(_apart("a", "b") <= MAX_APART)
+    pairs = pairs.where("key = array_min(array_intersect(a_keys, b_keys))").select("a", "b")
+    pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     if not pairs.isEmpty():
-        of = stored(components(links.union(verified(texts, pairs, names, text_col))), "near-groups")
+        of = stored(components(links.union(verified(pairs, sets))), "near-groups")
     return marks.join(of, "node", "left").select(*keep, F.coalesce("component", "node").alias("component"))
