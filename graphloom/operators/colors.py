@@ -66,6 +66,12 @@ def coverage(hits: DataFrame, vertex: str, phased: Column | None = None) -> Data
     return hits.groupBy(vertex).agg(F.sum(is_phased.cast("long")).alias("cov_phased"), F.sum((~is_phased).cast("long")).alias("cov_unphased"))
 
 
+def anchor_vertex(hits: DataFrame, read: str, vertex: str, length: str) -> DataFrame:
+    """(read, anchor): of the vertices that a read meets the longest, of equal ones the least."""
+    best = F.max(F.struct(F.col(length).alias("n"), (-F.col(vertex)).alias("v")))
+    return hits.groupBy(read).agg(best.alias("best")).select(read, (-F.col("best.v")).alias("anchor"))
+
+
 def pair_fingerprints(heads: DataFrame, pair: str, mate: str, head: str) -> DataFrame:
     """(pair, fingerprint): the distinct heads of each mate, all mates' together in order."""
     once = heads.select(pair, mate, head).distinct()

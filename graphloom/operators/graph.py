@@ -130,6 +130,29 @@ def snp_candidates(nodes: DataFrame, k: int) -> DataFrame:
     return masked.join(groups, ["pos", "rest"]).select("v", (F.col("pos") - 1).alias("pos"), "bases")
 
 
+def mapped_ambiguity(snps: DataFrame, mappings: DataFrame, vertex: str) -> DataFrame:
+    """(mapping columns, pos, bases): ambiguous places of a vertex that fall in a mapping of it, counted along the mapping.
+
+    snps: (vertex, pos, bases) with bases as bits A=1, C=2, G=4, T=8. mappings: (…, vertex, start, stop, strand);
+    on the other strand places run from the end and bases are complemented.
+    """
+    inside = mappings.join(snps, vertex).where("pos >= start and pos < stop")
+    b = F.col("bases")
+    mirrored = sum((F.shiftright(b.bitwiseAND(F.lit(1 << i)), i) * (1 << (3 - i)) for i in range(4)), F.lit(0))
+    place = F.when(F.col("strand"), F.col("pos") - F.col("start")).otherwise(F.col("stop") - 1 - F.col("pos"))
+    return inside.withColumn("bases", F.when(F.col("strand"), b).otherwise(mirrored)).withColumn("pos", place)
+
+
+def path_ambiguity(steps: DataFrame, snps: DataFrame, path: str, vertex: str, length: str, inner: int = 0) -> DataFrame:
+    """(path, pos, bases): ambiguous places along paths, sets of bases united where vertices overlap.
+
+    steps: (path, vertex, offset). Places within ``inner`` of either end of a path of ``length`` go.
+    """
+    each = steps.join(snps, vertex).select(path, (F.col("offset") + F.col("pos")).alias("pos"), "bases", length)
+    kept = each.where((F.col("pos") >= inner) & (F.col("pos") < F.col(length) - inner))
+    return kept.groupBy(path, "pos").agg(F.bit_or("bases").alias("bases"))
+
+
 def short_cycles(links: DataFrame, longest: int) -> DataFrame:
     """(start, path): simple cycles of up to ``longest`` links, each from each of its vertices. links: supported (u, v)."""
     walk = links.select(F.col("u").alias("start"), F.col("v").alias("last"), F.array("v").alias("path"))

@@ -38,3 +38,14 @@ def value_at(df: DataFrame, by: str, ties: list[str], share: float) -> DataFrame
 
 def ordered(df: DataFrame, by: Column) -> DataFrame:
     return df.orderBy(by)
+
+
+def paired(raw: DataFrame, corrected: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """(ord, name, raw, seq): raw and corrected reads of one place; names that differ after the first letter, or a place without its mate, are an error.
+
+    Either table: (ord, name, seq).
+    """
+    both = raw.select(ord_col, F.col("name").alias("a"), F.col("seq").alias("raw")).join(corrected.select(ord_col, F.col("name").alias("b"), "seq"), ord_col, "full")
+    fits = F.coalesce(F.substring("a", 2, 1 << 20) == F.substring("b", 2, 1 << 20), F.lit(False))
+    name = F.when(fits, F.col("a")).otherwise(F.raise_error(F.concat(F.lit("raw and corrected reads differ at place "), F.col(ord_col).cast("string"))))
+    return both.select(ord_col, name.alias("name"), "raw", "seq")

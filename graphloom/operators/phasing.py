@@ -35,15 +35,18 @@ def vertex_haplotypes(hits: DataFrame, haps: DataFrame, vertex: str, name: str,
 
 
 def incompatible(hits: DataFrame, read: str, insert: int, share: float = 0.85) -> DataFrame:
-    """(read, pos): colour sets on plain vertices for which another far along the read shares too little.
+    """(read, pos): places whose colours no other place fits that is ``insert`` or farther along the read, though there is one.
 
-    hits: (read, pos, colors). Places are joined within ranges of ``insert``, not all with all; a
-    place is off if some place a range away exists but none shares ``share`` of both sets.
+    hits: (read, pos, colors), colors distinct. Two sets fit if they share ``share`` of both. Only sets of a read that share
+    a colour are joined, each with its first and last place, not all places with all.
     """
-    cell = F.floor(F.col("pos") / insert)
-    a = hits.select(read, "pos", "colors", cell.alias("cell"))
-    b = hits.select(read, F.col("pos").alias("pos2"), F.col("colors").alias("colors2"), F.explode(F.array(cell - 1, cell - 2, cell + 1, cell + 2)).alias("cell"))
-    near = a.join(b, [read, "cell"]).where(F.abs(F.col("pos") - F.col("pos2")) >= insert)
-    n = F.size(F.array_intersect("colors", "colors2"))
-    fits = (n >= share * F.size("colors")) & (n >= share * F.size("colors2"))
-    return near.groupBy(read, "pos").agg(F.max(fits.cast("int")).alias("any")).where("any = 0").select(read, "pos")
+    sets = hits.groupBy(read, F.sort_array("colors").alias("colors")).agg(F.min("pos").alias("first"), F.max("pos").alias("last")).withColumn("id", F.xxhash64("colors"))
+    each = sets.select(read, "id", F.size("colors").alias("n"), "first", "last", F.explode("colors").alias("color"))
+    other = each.select(read, "color", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("first").alias("first2"), F.col("last").alias("last2"))
+    shared = each.join(other, [read, "color"]).groupBy(read, "id", "id2").agg(F.count(F.lit(1)).alias("both"), *(F.first(c).alias(c) for c in ("n", "n2", "first2", "last2")))
+    fits = shared.where((F.col("both") >= share * F.col("n")) & (F.col("both") >= share * F.col("n2")))
+    reach = fits.groupBy(read, "id").agg(F.min("first2").alias("first2"), F.max("last2").alias("last2"))
+    ends = hits.groupBy(read).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    far = lambda a, b: (F.col("pos") - F.col(a) >= insert) | (F.col(b) - F.col("pos") >= insert)
+    places = hits.withColumn("id", F.xxhash64(F.sort_array("colors"))).join(ends, read).where(far("first", "last")).join(reach, [read, "id"], "left")
+    return places.where(~F.coalesce(far("first2", "last2"), F.lit(False))).select(read, "pos").distinct()

@@ -49,6 +49,22 @@ def color_consistent(hits: DataFrame, pairs: DataFrame, links: DataFrame, read:
     return runs.join(gone, [read, "run"], "left_anti").drop("fresh", "run")
 
 
+def without_overlaps(hits: DataFrame, read: str, k: int) -> DataFrame:
+    """Solid hits without the tails of runs that the next run overlaps.
+
+    hits: (read, pos, unitig_id). A run is of consecutive places on one unitig. Where the next run starts
+    within k bases of a place without following on from it, that place goes.
+    """
+    order = Window.partitionBy(read).orderBy("pos")
+    breaks = (F.col("pos") != F.lag("pos").over(order) + 1) | (F.col("unitig_id") != F.lag("unitig_id").over(order))
+    runs = hits.withColumn("run", F.sum(F.coalesce(breaks.cast("int"), F.lit(0))).over(order))
+    ends = runs.groupBy(read, "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    by_run = Window.partitionBy(read).orderBy("run")
+    ends = ends.select(read, "run", "b", F.lead("a").over(by_run).alias("next"))
+    kept = runs.join(ends, [read, "run"]).where("next is null or next = b + 1 or pos + " + str(k) + " <= next")
+    return kept.drop("run", "b", "next")
+
+
 def same_unitig(regions: DataFrame, tigs: DataFrame, k: int, share: float = MAX_EDITS) -> DataFrame:
     """(region columns, path): regions whose anchors lie on one unitig, strand and forward, with a fitting length.
 
