@@ -38,13 +38,13 @@ def correct_pass(short: DataFrame, long: DataFrame, params: Params) -> DataFrame
     """(read_id, name, seq, qual). short: (…, seq); long: (read_id, name, seq).
 
     One pass: solid k-mers of the short reads are the graph, k-mers of the long reads that it has
-    are anchors, the gaps between them are walked along it.
+    are anchors, the gaps between them and the bases before the first and after the last are walked along it.
     """
     solid = graph.kept(kmers.solid(kmers.kmers(short, params.k, [], strict=True), params.solid))
     nodes = graph.kept(graph.oriented(solid))
     index = solid.select(F.col("rep").alias("kmer"))
     anchors = graph.kept(correction.seeds(long, index, params.k))
-    todo = graph.kept(correction.regions(anchors, long, params.k))
+    todo = graph.kept(correction.regions(anchors, long, params.k).union(correction.open_ends(anchors, long, params.k)))
     paths = correction.bridge(todo, nodes, params.k, params.window, longest=params.longest_gap)
     return correction.stitch(long, anchors, todo, paths, params.k, params.max_qual)
 

@@ -14,3 +14,19 @@ def test_second_pass_has_its_own_longest_gap(spark, monkeypatch):
     pipeline.correct(reads, reads, pipeline.Params(longest_gap=700))
     assert seen == [(31, 700), (63, 5000)]
     assert cli.parser().parse_args(["correct", "-s", "x", "-o", "y", "-W", "6000"]).max_len_weak2 == 6000
+
+
+def test_heads_middles_and_tails(spark):
+    import random
+
+    from graphloom.plans.pipeline import Params, correct_pass
+
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(300))
+    short = spark.createDataFrame([(genome,), (genome,)], "seq string")
+    noisy = "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i in (3, 150, 290) else c for i, c in enumerate(genome))
+    long = spark.createDataFrame([(1, "r", noisy), (2, "none", "ACGT" * 20), (3, "empty", "")], "read_id long, name string, seq string")
+    got = {r.read_id: r for r in correct_pass(short, long, Params(k=15)).collect()}
+    assert got[1].seq == genome and len(got[1].qual) == 300
+    assert got[1].qual[0] < "I" and got[1].qual[299] < "I" and got[1].qual[60] == "I"
+    assert got[2].seq == "ACGT" * 20 and got[3].seq == ""
