@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, cws, packing, quality, rules, simhash, substring_dedup, token_counts, token_files, toxicity
+from graphloom.llm import bpe, cws, packing, prefix_trie, quality, rules, simhash, substring_dedup, token_counts, token_files, toxicity, url_filter, vector_codes
 from graphloom.llm.shared import fresh_path, spread
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,7 +77,53 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", cws.as_text(F.col("signature")).alias("fingerprint"), cws.as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_pack, op4_quality, op5_toxicity, op6_substrings, op7_rules, op8_token_files, op9_token_counts, op10_fingerprints)}
+#: The verdicts of op11_urls by host and path.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed URLs are those of pages on hosts with the label spam-farm."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules_ = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = pages.where(F.concat(F.lit("."), url_filter.host_and_path(F.col("url"))[0], F.lit(".")).contains(".spam-farm."))
+    return url_filter.judge_urls(pages, rules_, listed)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_pack, op4_quality, op5_toxicity, op6_substrings, op7_rules, op8_token_files, op9_token_counts, op10_fingerprints, op11_urls, op12_prefix_trie, op13_vector_codes)}
+
+_CRC32 = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(c) AS BIGINT) for c in string_split(CAST({0} AS VARCHAR), '')]), lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _vector_sql(rounds: int = vector_codes.ROUNDS, entries: int = vector_codes.ENTRIES) -> str:
+    """All rounds of op13 one after the other. Distances are sums of products of whole numbers under 2^53, so doubles hold them."""
+    near = """b{i} AS MATERIALIZED (
+  SELECT vec_id, p, part, min(CAST(list_inner_product(part, part) - 2 * list_inner_product(part, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS best
+  FROM parts JOIN c{i} USING (p) GROUP BY vec_id, p, part)"""
+    step = """m{i} AS (
+  SELECT p, e, list(CAST(floor(s / n) AS DOUBLE) ORDER BY j) AS c
+  FROM (SELECT p, best % 256 AS e, j, sum(part[j]) AS s, count(*) AS n FROM b{i}, (SELECT unnest(range(1, (SELECT max(len(part)) FROM parts) + 1)) AS j) GROUP BY ALL) GROUP BY p, e),
+c{k} AS MATERIALIZED (SELECT p, e, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (p, e))"""
+    ctes = [
+        "k AS (SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS part FROM k, (SELECT unnest([0, 1, 2, 3]) AS p))",
+        f"c0 AS MATERIALIZED (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) AS BIGINT) - 1 AS e, part AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for i in range(rounds):
+        ctes += [near.format(i=i), step.format(i=i, k=i + 1)]
+    ctes += [near.format(i=rounds), f"book AS (SELECT sha256(string_agg(array_to_string([CAST(x AS BIGINT) for x in c], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})"]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM (SELECT vec_id, string_agg(lpad(lower(hex(best % 256)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM b{rounds} GROUP BY vec_id)
+JOIN k USING (vec_id), book"""
+
 
 ORACLE_SQL = {
     "op6_substrings": """
@@ -140,4 +186,46 @@ verdict AS (SELECT source, (f + m * (1 / r - 1)) / (n + (1 / r - 1)) <= 0.5 AS h
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
 FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
 """,
+    "op11_urls": r"""
+WITH r(rule_host, rule_path, rule_verdict) AS (VALUES __RULES__),
+t AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t
+),
+n AS (SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') AS plain FROM u),
+spam AS (SELECT DISTINCT plain FROM n WHERE contains('.' || host || '.', '.spam-farm.')),
+best AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM n JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(best.verdict, CASE WHEN n.plain IN (SELECT plain FROM spam) THEN 'block' ELSE 'allow' END) AS verdict
+FROM n LEFT JOIN best USING (page_id)
+""".replace("__RULES__", ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)),
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x
+  FROM conversations
+),
+l AS (SELECT conv_id, list(x ORDER BY i) AS xs FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, xs, conv_id - conv_id % 20 AS base, __CRC__ % 4 AS h FROM l),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.xs[1:h], []), h.xs[h + 1:]) AS xs FROM h LEFT JOIN l AS b ON b.conv_id = h.base),
+p AS (SELECT conv_id, len(xs) = d AS at_end, d, xs[1:d] AS k, CASE WHEN d > 0 THEN xs[1:d - 1] END AS up FROM (SELECT conv_id, xs, unnest(range(len(xs) + 1)) AS d FROM c)),
+n AS (
+  SELECT k, any_value(up) AS up, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].t, '[^\x20\x09-\x0D]+')) END AS words
+  FROM p GROUP BY k, d
+),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+full_nodes AS (
+  SELECT n.*, m.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children
+  FROM n LEFT JOIN n AS m ON m.k = n.up AND n.depth > 0 LEFT JOIN kids ON kids.k = n.k
+),
+above AS (SELECT k[1:j] AS k, n_children, (n_convs - 1) * words AS saved FROM (SELECT *, unnest(range(depth + 1)) AS j FROM full_nodes)),
+sums AS (SELECT k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY k)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_nodes JOIN sums USING (k)
+""".replace("__CRC__", _CRC32.format("conv_id")),
+    "op13_vector_codes": _vector_sql(),
 }
