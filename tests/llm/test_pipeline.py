@@ -50,7 +50,7 @@ def test_packing_of_what_is_left(spark, kept):
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES])
 def test_empty_tables(spark, name, tmp_path):
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
 
@@ -59,7 +59,7 @@ def test_operators_take_odd_rows(spark, tmp_path):
     rows = [(1, None, None, None, None), (None, "a b c " * 30, "en", "s", 5), (2, "", "en", "s", 0), (3, "w" * 200_000, "en", None, 1), (3, "w" * 200_000, "en", None, 1), (4, "tie " * 40, "en", "s", 1), (5, "tie " * 40, "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for name, q in queries.QUERIES.items():
+    for name, q in list(queries.QUERIES.items())[:10]:  # those of documents
         n = q(spark, str(tmp_path)).count()
         assert n >= len(rows) if name == "op3_pack" else n == len(rows), name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
