@@ -21,6 +21,7 @@ from graphloom.llm.shared import stored
 from graphloom.llm.workers import task
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+MANY = 1000  # a node is crowded with over so many children and over one in so many of all nodes, so fewer than this are
 BLOCK = 256  # turns or nodes that are worked on together
 EMPTY_SHA = hashlib.sha256().hexdigest()
 
@@ -128,9 +129,13 @@ def heavy_paths(walk: DataFrame) -> DataFrame:
     """
     nodes = stored(walk.groupBy("node").agg(F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.first("words").alias("words")), "trie-nodes")
     kids = nodes.where("depth > 0").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"), F.max(F.struct("n_convs", F.bitwise_not("conv_id").alias("back"), "node")).alias("heavy"))
-    below = nodes.join(kids.select(F.col("parent").alias("node"), "n_children", F.col("heavy.node").alias("heavy")), "node", "left")
-    above = below.where("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "heavy")
-    tree = below.drop("heavy").na.fill(0, ["n_children"]).join(above, "parent", "left").withColumn("top", F.coalesce(F.col("node") != F.col("heavy"), F.lit(True))).drop("heavy")
+    below = stored(nodes.join(kids.select(F.col("parent").alias("node"), "n_children", F.col("heavy.node").alias("heavy")), "node", "left"), "trie-children")
+    above = below.where("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "heavy", "n_children")
+    # children of one node may be a third of all: the few nodes with many reach them by a broadcast, MANY rows at most
+    many = F.col("n_children") > max(MANY, nodes.count() // MANY)
+    crowded, rest = F.broadcast(above.where(many).drop("n_children")), above.where(~many).drop("n_children")
+    child = below.drop("heavy").na.fill(0, ["n_children"])
+    tree = child.join(crowded, "parent").unionByName(child.join(crowded.select("parent"), "parent", "left_anti").join(rest, "parent", "left")).withColumn("top", F.coalesce(F.col("node") != F.col("heavy"), F.lit(True))).drop("heavy")
     # a node's least conversation passes all nodes above it, so its walk has the tops of paths
     least = nodes.select(F.col("conv_id").alias("conv")).distinct()
     rows = walk.select("conv", "node").join(least, "conv", "left_semi").join(tree, "node")
