@@ -25,17 +25,49 @@ _EQUAL = _equal_table()
 def matrix(query: str, target: str, free_start: bool = False) -> np.ndarray:
     """All prefix distances: rows by letters of the query, columns by letters of the target."""
     q, t = (np.frombuffer(x.encode("ascii", "replace"), np.uint8) for x in (query, target))
-    step = np.arange(len(t) + 1)
-    rows = np.empty((len(q) + 1, len(t) + 1), np.int64)
+    kind = np.int16 if len(q) + len(t) < 1 << 15 else np.int32
+    step = np.arange(len(t) + 1, dtype=kind)
+    rows = np.empty((len(q) + 1, len(t) + 1), kind)
     rows[0] = 0 if free_start else step
     for i, c in enumerate(q):
-        best = np.empty(len(t) + 1, np.int64)
+        best = np.empty(len(t) + 1, kind)
         best[0] = i + 1
         best[1:] = np.minimum(rows[i, :-1] + ~_EQUAL[c, t], rows[i, 1:] + 1)
         rows[i + 1] = np.minimum.accumulate(best - step) + step  # then insertions, from left to right
     return rows
 
 
+def mismatches(target: str) -> dict[str, np.ndarray]:
+    """For each base, which letters of the target differ from it."""
+    t = np.frombuffer(target.encode("ascii", "replace"), np.uint8)
+    return {c: (~_EQUAL[ord(c), t]).astype(np.int32) for c in "ACGT"}
+
+
+def next_row(row: np.ndarray, differs: np.ndarray) -> np.ndarray:
+    """The row of the distance matrix one letter of the query on."""
+    at = np.arange(len(row), dtype=row.dtype)
+    new = np.empty_like(row)
+    new[0] = row[0] + 1
+    np.minimum(row[1:] + 1, row[:-1] + differs, out=new[1:])
+    return np.minimum.accumulate(new - at) + at
+
+
+def last_row(query: str, target: str) -> np.ndarray:
+    """Distances of the whole query to all prefixes of the target."""
+    t = np.frombuffer(target.encode("ascii", "replace"), np.uint8)
+    row = np.arange(len(t) + 1, dtype=np.int32)
+    for c in query.encode("ascii", "replace"):
+        row = next_row(row, ~_EQUAL[c, t])
+    return row
+
+
+def operations(query: str, target: str, mode: str = "NW") -> str:
+    """The CIGAR with a letter for each column."""
+    import re
+
+    return "".join(op * int(n) for n, op in re.findall(r"(\d+)(.)", align(query, target, mode)["cigar"]))
+
+
 def align(query: str, target: str, mode: str = "NW") -> dict:
     """Distance, all ends of the best alignments, and the CIGAR of the first; NW whole, SHW suffix and HW both ends of the target free."""
     if not query or not target:

@@ -1,18 +1,11 @@
-"""Correction of long reads along the graph: seeds, regions, bridging paths, stitching, trimming."""
+"""Gaps between anchors of long reads, and what is done with corrected ones: trimming and masking."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.dna import QUAL_BASE, canonical, revcomp
-from graphloom.operators.kmers import kmers
-
-
-def seeds(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(read_id, pos, kmer): places of the reads whose k-mer is in the graph, on the read's own strand."""
-    found = kmers(reads, k, ["read_id"]).join(index.select(canonical(F.col("kmer")).alias("rep")).distinct(), "rep", "left_semi")
-    return found.select("read_id", "pos", "kmer")
+from graphloom.functions.dna import QUAL_BASE
 
 
 def regions(anchors: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -27,117 +20,6 @@ def regions(anchors: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     return pairs.join(reads.select("read_id", "seq"), "read_id").select("read_id", F.lit("middle").alias("kind"), F.col("pos").alias("start"), "stop", F.col("kmer").alias("left"), "right", "seq").withColumn("raw", raw).drop("seq")
 
 
-def open_ends(anchors: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, kind, start, stop, left, right, raw) as ``regions`` has them, of the bases before a read's first and after its last anchor.
-
-    There is no right anchor. A head is turned round, so that it too leads away from its anchor.
-    """
-    first, last = F.min(F.struct("pos", "kmer")).alias("a"), F.max(F.struct("pos", "kmer")).alias("b")
-    edge = anchors.groupBy("read_id").agg(first, last).join(reads.select("read_id", "seq"), "read_id")
-    none = F.lit(None).cast("string")
-    tail = edge.select("read_id", F.lit("tail"), "b.pos", F.length("seq") - k, "b.kmer", none, F.expr("substring(seq, b.pos + 1)").alias("raw"))
-    head = edge.select("read_id", F.lit("head"), F.lit(0), "a.pos", revcomp(F.col("a.kmer")), none, revcomp(F.expr(f"substring(seq, 1, a.pos + {k})")).alias("raw"))
-    return tail.union(head).where(F.length("raw") > k).toDF("read_id", "kind", "start", "stop", "left", "right", "raw")
-
-
-def strides(nodes: DataFrame, k: int, doublings: int = 3) -> DataFrame:
-    """(overlap, ext): what follows k - 1 letters along the graph, 2^doublings letters at a time; less where the graph ends."""
-    from graphloom.operators.graph import kept
-
-    out = nodes.select(F.substring("v", 1, k - 1).alias("overlap"), F.substring("v", k, 1).alias("ext"))
-    for _ in range(doublings):
-        after = out.select(F.col("overlap").alias("next"), F.col("ext").alias("more"))
-        ahead = out.withColumn("next", F.expr(f"right(concat(overlap, ext), {k - 1})")).join(after, "next", "left")
-        out = kept(ahead.select("overlap", F.concat("ext", F.coalesce("more", F.lit(""))).alias("ext")))
-    return out
-
-
-def bridge(gaps: DataFrame, nodes: DataFrame, k: int, share: float = 0.25, beam: int = 512, longest: int = 1000) -> DataFrame:
-    """(read_id, start, path, score): the graph path from anchor to anchor that is closest to the read.
-
-    All gaps are walked at once, eight letters a round: open paths are joined with the stretches that
-    follow their last letters, so the graph is never gathered. A gap keeps the ``beam`` paths of least
-    distance to the same length of the read, and ends at the right anchor with a length within
-    ``share`` of the read's. score = 1 - distance / length; gaps over ``longest`` letters stay raw.
-    Without a right anchor (null) any end of such a length will do, up to half of ``longest``.
-    """
-    from graphloom.operators.graph import kept
-
-    onward = strides(nodes, k)
-    gaps = gaps.where(F.length("raw") <= F.when(F.col("right").isNull(), longest // 2).otherwise(longest))
-    todo = kept(gaps.select("read_id", "start", "raw", "right", (F.length("raw") * (1 + share)).cast("int").alias("most"), (F.length("raw") * (1 - share)).cast("int").alias("least")))
-    open_paths = gaps.select("read_id", "start", F.col("left").alias("path"))
-    done = gaps.select("read_id", "start", F.col("raw").alias("path"), F.lit(1.0).alias("score")).limit(0)
-    while not open_paths.isEmpty():
-        last = F.expr(f"right(path, {k - 1})")
-        grown = open_paths.withColumn("overlap", last).join(onward, "overlap").select("read_id", "start", F.length("path").alias("had"), F.concat("path", "ext").alias("path"))
-        judged = grown.join(todo, ["read_id", "start"]).where("had < most")
-        ahead = F.levenshtein("path", F.substring("raw", F.lit(1), F.length("path")))
-        place = F.row_number().over(Window.partitionBy("read_id", "start").orderBy(ahead, "path"))
-        judged = kept(judged.withColumn("place", place).where(F.col("place") <= beam).drop("place"))
-        each = judged.withColumn("end", F.explode(F.sequence(F.col("had") + 1, F.least(F.length("path"), F.col("most"))))).where("end >= least")
-        each = each.withColumn("path", F.expr("left(path, end)")).where(F.col("right").isNull() | (F.expr(f"right(path, {k})") == F.col("right")))
-        arrived = each.select("read_id", "start", "path", (1 - F.levenshtein("path", "raw") / F.greatest(F.length("path"), F.length("raw"))).alias("score"))
-        done = done.union(kept(_closest(arrived)))
-        open_paths = judged.where(F.length("path") < F.col("most")).select("read_id", "start", "path")
-    return _closest(done)
-
-
-def _closest(paths: DataFrame) -> DataFrame:
-    """The path of greatest score of each gap, of equal ones the shortest, then the least."""
-    best = F.max(F.struct("score", (-F.length("path")).alias("short"))).alias("best")
-    top = paths.groupBy("read_id", "start").agg(best)
-    at = paths.join(top, ["read_id", "start"]).where("score = best.score and length(path) = -best.short")
-    return at.groupBy("read_id", "start").agg(F.min("path").alias("path"), F.first("score").alias("score"))
-
-
-def stitch(reads: DataFrame, anchors: DataFrame, gaps: DataFrame, paths: DataFrame, k: int, top: int = 40) -> DataFrame:
-    """(read_id, name, seq, qual): reads with their bridged gaps and open ends replaced, and a quality for each base.
-
-    Bases under an anchor have the greatest quality, bridged ones that of their score, others the
-    least. A read without anchors passes through, all least; one all under anchors is all greatest.
-    """
-    step = gaps.join(paths, ["read_id", "start"]).where("score >= 0.75").select("read_id", F.col("start").alias("a"), (F.col("stop") + k).alias("b"), F.when(F.col("kind") == "head", revcomp(F.col("path"))).otherwise(F.col("path")).alias("path"), "score", "kind")
-    piece = F.sort_array(F.collect_list(F.struct("a", "b", "path", "score", "kind"))).alias("steps")
-    solid = anchors.groupBy("read_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    rows = reads.join(step.groupBy("read_id").agg(piece), "read_id", "left").join(solid, "read_id", "left")
-    import pandas as pd
-
-    def write(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                seq = r.seq or ""
-                under = bytearray(len(seq))
-                for p in r.places if r.places is not None else []:
-                    under[p : p + k] = b"\1" * (len(seq[p : p + k]))
-                quals = ["%c" % (QUAL_BASE + (top if u else 0)) for u in under]
-                text, qual, at = [], [], 0
-                for s in r.steps if r.steps is not None else []:
-                    a, b = s["a"], s["b"]
-                    if a < at:  # starts in the anchor where the last path ended
-                        skip = at - a
-                    else:
-                        skip = 0
-                        text.append(seq[at:a])
-                        qual += quals[at:a]
-                    mid = "%c" % (QUAL_BASE + max(1, int(s["score"] * top)))
-                    path = s["path"]
-                    before, after = k * (s["kind"] != "head"), k * (s["kind"] != "tail")
-                    under_path = quals[b - 1 if s["kind"] == "head" else a]
-                    own = [under_path] * before + [mid] * (len(path) - before - after) + [under_path] * after if len(path) >= before + after else [under_path] * len(path)
-                    text.append(path[skip:])
-                    qual += own[skip:]
-                    at = b
-                text.append(seq[at:])
-                qual += quals[at:]
-                out.append((r.read_id, r.name, "".join(text), "".join(qual)))
-            yield pd.DataFrame(out, columns=["read_id", "name", "seq", "qual"])
-
-    kind = reads.schema["read_id"].dataType.simpleString()
-    return rows.select("read_id", "name", "seq", "steps", "places").mapInPandas(write, f"read_id {kind}, name string, seq string, qual string")
-
-
 def trimmed(reads: DataFrame, key: list[str], least_qual: int, k: int) -> DataFrame:
     """(key, name, seq, part): maximal runs of bases of at least 33 + least_qual, k or longer, numbered from 1 as name/i."""
     place = reads.where("length(seq) > 0").select(*key, "name", "seq", F.posexplode(F.filter(F.split("qual", ""), lambda c: c != "")).alias("i", "q"))
@@ -153,7 +35,3 @@ def masked(reads: DataFrame, least: int) -> DataFrame:
     """Bases under a quality become N."""
     letters = F.zip_with(F.filter(F.split("seq", ""), lambda c: c != ""), F.filter(F.split("qual", ""), lambda c: c != ""), lambda s, q: F.when(F.ascii(q) >= least, s).otherwise("N"))
     return reads.withColumn("seq", F.array_join(letters, ""))
-
-
-def both_strands(reads: DataFrame) -> DataFrame:
-    return reads.withColumn("rev", revcomp(F.col("seq")))

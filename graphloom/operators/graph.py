@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.align import EQUAL
 from graphloom.functions.dna import revcomp
 from graphloom.storage import stored
 
@@ -167,3 +168,64 @@ def short_cycles(links: DataFrame, longest: int) -> DataFrame:
 def ranked_hits(found: DataFrame, read: str) -> DataFrame:
     """Hits of a read by place, equal ones once."""
     return found.dropDuplicates([read, "pos", "unitig_id", "dist", "strand"]).withColumn("ord", F.row_number().over(Window.partitionBy(read).orderBy("pos", "unitig_id", "dist")))
+
+
+def valid_candidates(candidates: DataFrame, links: DataFrame, readings: DataFrame, pairs: DataFrame, least: int = 2, most: int = 1 << 16) -> DataFrame:
+    """The rows (a, b) of candidates from whose a b's reads are reached both ways.
+
+    From both readings of a one goes along links (u, v) to unitigs that share ``least`` colours with a; one of those reached is to share as many with b.
+    a itself doesn't count. A walk that has met ``most`` readings stands for having reached everything. readings: (v, unitig_id, fwd); pairs: (unitig_id, color).
+    All candidates are walked at once, a link a round; colours are compared by joins, once for each pair of unitigs that share any.
+    """
+    wanted = candidates.select(F.col("a").alias("x")).union(candidates.select("b")).distinct()
+    mine = pairs.join(wanted, F.col("unitig_id") == F.col("x"), "left_semi").withColumnRenamed("unitig_id", "x")
+    near = kept(mine.join(pairs, "color").groupBy("x", "unitig_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("x", "unitig_id"))
+    of_a = near.withColumnRenamed("x", "a")
+    start = candidates.select("a").distinct().join(readings.withColumnRenamed("unitig_id", "a"), "a").select("a", "fwd", "v")
+    seen = front = kept(start)
+    met = None
+    while not front.isEmpty():
+        ahead = front.withColumnRenamed("v", "u").join(links, "u").select("a", "fwd", "v").distinct().join(readings.select("v", "unitig_id"), "v")
+        fresh = kept(ahead.join(of_a, ["a", "unitig_id"], "left_semi").join(seen, ["a", "fwd", "v"], "left_anti").select("a", "fwd", "v", "unitig_id"))
+        met = fresh if met is None else met.union(fresh)
+        seen = seen.union(fresh.drop("unitig_id"))
+        full = seen.groupBy("a", "fwd").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+        front = kept(fresh.select("a", "fwd", "v").join(full, ["a", "fwd"], "left_anti"))
+    if met is None:
+        return candidates.limit(0)
+    everything = seen.groupBy("a", "fwd").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).join(candidates, "a").select("a", "b", "fwd")
+    some = met.select("a", "fwd", "unitig_id").distinct().join(candidates, "a").join(near.withColumnRenamed("x", "b"), ["b", "unitig_id"]).select("a", "b", "fwd")
+    both = some.union(everything).groupBy("a", "b").agg(F.countDistinct("fwd").alias("n")).where("n = 2")
+    return candidates.join(both.select("a", "b"), ["a", "b"], "left_semi")
+
+
+def settled_bases(reads: DataFrame, nodes: DataFrame, k: int, key: str, most: int = 64) -> DataFrame:
+    """(key, pos, base): ambiguous letters that only one base of theirs gives a k-mer of the graph, whatever the other ambiguous letters around stand for.
+
+    reads: (key, seq); nodes: (kmer) on both strands. A letter with ``most`` or more readings of the k - 1 letters on both its sides is left alone.
+    """
+    letters = F.filter(F.split("seq", ""), lambda c: c != "")
+    at = reads.where(F.length("seq") >= k).select(key, "seq", F.posexplode(letters).alias("pos", "own")).where(~F.col("own").isin(*"ACGT"))
+    window = at.withColumn("low", F.greatest(F.col("pos") - k + 1, F.lit(0))).withColumn("text", F.expr(f"substring(seq, low + 1, pos + {k} - low)"))
+    codes = F.create_map(*(F.lit(x) for pair in [(c, b) for c, b in EQUAL.items()] for x in pair))
+    size = F.aggregate(F.filter(F.split("text", ""), lambda c: ~c.isin("", *"ACGT")), F.lit(1), lambda n, c: F.least(F.lit(most), n * F.coalesce(F.length(F.element_at(codes, c)), F.lit(most))))
+    few = window.where(size < most).select(key, "pos", (F.col("pos") - F.col("low")).alias("i"), "text")
+    choice = lambda c: F.coalesce(F.filter(F.split(F.element_at(codes, c), ""), lambda x: x != ""), F.array(c))
+    grown = F.aggregate(F.filter(F.split("text", ""), lambda c: c != ""), F.array(F.lit("")), lambda acc, c: F.flatten(F.transform(acc, lambda a: F.transform(choice(c), lambda x: F.concat(a, x)))))
+    each = few.select(key, "pos", "i", F.explode(grown).alias("text"))
+    kmer = each.select(key, "pos", F.expr("substring(text, i + 1, 1)").alias("base"), F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda s: F.substring(F.col("text"), s, k))).alias("kmer"))
+    found = kmer.join(nodes.select("kmer"), "kmer", "left_semi").select(key, "pos", "base").distinct()
+    return found.groupBy(key, "pos").agg(F.count(F.lit(1)).alias("n"), F.min("base").alias("base")).where("n = 1").select(key, "pos", "base")
+
+
+def settled(reads: DataFrame, nodes: DataFrame, k: int, key: str, most: int = 64) -> DataFrame:
+    """reads (key, seq, …) with ambiguous letters replaced by what ``settled_bases`` finds, again and again until none is found."""
+    now = reads
+    while True:
+        fixed = kept(settled_bases(now.select(key, "seq"), nodes, k, key, most))
+        if fixed.isEmpty():
+            return now
+        of = fixed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "base"))).alias("__fixed"))
+        letters = F.filter(F.split("seq", ""), lambda c: c != "")
+        seq = F.array_join(F.transform(letters, lambda c, i: F.coalesce(F.element_at("__fixed", i), c)), "")
+        now = kept(now.join(of, key, "left").withColumn("seq", F.when(F.col("__fixed").isNull(), F.col("seq")).otherwise(seq)).drop("__fixed"))

@@ -34,19 +34,22 @@ def vertex_haplotypes(hits: DataFrame, haps: DataFrame, vertex: str, name: str,
     return visits.join(total.select(vertex), vertex)
 
 
-def incompatible(hits: DataFrame, read: str, insert: int, share: float = 0.85) -> DataFrame:
-    """(read, pos): places whose colours no other place fits that is ``insert`` or farther along the read, though there is one.
+def incompatible(hits: DataFrame, read: str, insert: int, share: float = 0.85, most: int = 1000) -> DataFrame:
+    """(read, pos): places to void, whose colours fit those of no place more than ``insert`` from them along the read.
 
-    hits: (read, pos, colors), colors distinct. Two sets fit if they share ``share`` of both. Only sets of a read that share
-    a colour are joined, each with its first and last place, not all places with all.
+    hits: (read, pos, colors), colors distinct, of vertices that don't branch; sets of over ``most`` colours are left out. Two sets fit if they share
+    ``share`` of both. Places are judged in order and voided ones count no more: a place without a fitting one goes if there is any place far after it,
+    or one far before it that stays. Only sets of a read that share a colour are joined, each with its first and last place, not all places with all.
     """
+    hits = hits.where(F.size("colors") <= most)
     sets = hits.groupBy(read, F.sort_array("colors").alias("colors")).agg(F.min("pos").alias("first"), F.max("pos").alias("last")).withColumn("id", F.xxhash64("colors"))
     each = sets.select(read, "id", F.size("colors").alias("n"), "first", "last", F.explode("colors").alias("color"))
     other = each.select(read, "color", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("first").alias("first2"), F.col("last").alias("last2"))
     shared = each.join(other, [read, "color"]).groupBy(read, "id", "id2").agg(F.count(F.lit(1)).alias("both"), *(F.first(c).alias(c) for c in ("n", "n2", "first2", "last2")))
     fits = shared.where((F.col("both") >= share * F.col("n")) & (F.col("both") >= share * F.col("n2")))
     reach = fits.groupBy(read, "id").agg(F.min("first2").alias("first2"), F.max("last2").alias("last2"))
-    ends = hits.groupBy(read).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    far = lambda a, b: (F.col("pos") - F.col(a) >= insert) | (F.col(b) - F.col("pos") >= insert)
-    places = hits.withColumn("id", F.xxhash64(F.sort_array("colors"))).join(ends, read).where(far("first", "last")).join(reach, [read, "id"], "left")
-    return places.where(~F.coalesce(far("first2", "last2"), F.lit(False))).select(read, "pos").distinct()
+    far = (F.col("pos") - F.col("first2") > insert) | (F.col("last2") - F.col("pos") > insert)
+    places = hits.withColumn("id", F.xxhash64(F.sort_array("colors"))).join(reach, [read, "id"], "left").select(read, "pos", F.coalesce(far, F.lit(False)).alias("fits"))
+    ends = places.groupBy(read).agg(F.max("pos").alias("last"), F.min(F.when(F.col("fits"), F.col("pos"))).alias("stays"))
+    gone = (F.col("last") - F.col("pos") > insert) | F.coalesce(F.col("pos") - F.col("stays") > insert, F.lit(False))
+    return places.join(ends, read).where(~F.col("fits") & gone).select(read, "pos").distinct()

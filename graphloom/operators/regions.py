@@ -1,15 +1,14 @@
-"""Seeds and regions of long reads: pruning, the shortcut along one unitig, colour choice, consensus."""
+"""Seeds and regions of long reads: pruning, the shortcut along one unitig, colour choice, consensus by runs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import align
-from graphloom.functions.dna import QUAL_BASE, revcomp
+from graphloom.functions.dna import revcomp
 
 MAX_EDITS = 0.25
 
@@ -52,17 +51,14 @@ def color_consistent(hits: DataFrame, pairs: DataFrame, links: DataFrame, read:
 def without_overlaps(hits: DataFrame, read: str, k: int) -> DataFrame:
     """Solid hits without the tails of runs that the next run overlaps.
 
-    hits: (read, pos, unitig_id). A run is of consecutive places on one unitig. Where the next run starts
-    within k bases of a place without following on from it, that place goes.
+    hits: (read, pos, …). A run is of consecutive places, whatever unitigs they lie on. Where the next run starts within k
+    bases of a place, that place goes.
     """
     order = Window.partitionBy(read).orderBy("pos")
-    breaks = (F.col("pos") != F.lag("pos").over(order) + 1) | (F.col("unitig_id") != F.lag("unitig_id").over(order))
-    runs = hits.withColumn("run", F.sum(F.coalesce(breaks.cast("int"), F.lit(0))).over(order))
-    ends = runs.groupBy(read, "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    by_run = Window.partitionBy(read).orderBy("run")
-    ends = ends.select(read, "run", "b", F.lead("a").over(by_run).alias("next"))
-    kept = runs.join(ends, [read, "run"]).where("next is null or next = b + 1 or pos + " + str(k) + " <= next")
-    return kept.drop("run", "b", "next")
+    breaks = F.coalesce((F.col("pos") != F.lag("pos").over(order) + 1).cast("int"), F.lit(0))
+    runs = hits.withColumn("fresh", breaks)
+    start = F.min(F.when(F.col("fresh") == 1, F.col("pos"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return runs.withColumn("next", start).where(F.col("next").isNull() | (F.col("pos") + k <= F.col("next"))).drop("fresh", "next")
 
 
 def same_unitig(regions: DataFrame, tigs: DataFrame, k: int, share: float = MAX_EDITS) -> DataFrame:
@@ -79,41 +75,39 @@ def same_unitig(regions: DataFrame, tigs: DataFrame, k: int, share: float = MAX_
     return cut.withColumn("path", path).where((F.length("path") >= n * (1 - share)) & (F.length("path") <= n * (1 + share))).drop("a", "b", "piece", "seq", "n_kmers")
 
 
-def choose_colors(candidates: DataFrame, region: list[str], most: int = 30, branching_sets: int = 5) -> DataFrame:
+def choose_colors(candidates: DataFrame, region: list[str], most: int = 30, least: int = 2) -> DataFrame:
     """(region, colors, weighted, weight): colours to follow through a region, by tiers.
 
-    candidates: (region, vertex, side in left, right, inner, branching, color). Plain vertices come
-    before branching ones; within each, colours found on three sides come before two and one. Every
-    vertex gives at most ``most`` colours, those of small sets first; a side has at most
-    ``branching_sets`` branching vertices. Colours of plain vertices are weighted.
+    candidates: (region, vertex, side in left, right, inner, branching, color). Colours of plain vertices come before those of
+    branching ones alone; within each, colours found on three sides before two and one. A vertex gives colours until ``most`` of its own
+    are chosen, those of small sets first; vertices of fewer than ``least`` colours give none. Colours of plain vertices are weighted.
+    A region's rows are bounded: vertices lie within an insert of it and have no more than the greatest coverage of colours each.
     """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        branching = rows[rows.branching].drop_duplicates(["side", "vertex"]).sort_values(["side", "vertex"])
-        allowed = set(branching.groupby("side").head(branching_sets).vertex)
-        rows = rows[~rows.branching | rows.vertex.isin(allowed)]
-        chosen: list[int] = []
-        weighted: set[int] = set()
-        for is_branching in (False, True):
-            tier_rows = rows[rows.branching == is_branching]
-            sides = tier_rows.groupby("color").side.nunique()
-            sets = tier_rows.groupby("vertex").color.apply(lambda c: sorted(set(c)))
-            order = sorted(sets.index, key=lambda v: (len(sets[v]), v))
-            given = dict.fromkeys(order, 0)
+        plain = set(rows.color[~rows.branching])
+        sides = rows.groupby("color").side.nunique()
+        sets = {v: sorted(set(c)) for v, c in rows.groupby("vertex").color}
+        order = sorted((v for v in sets if len(sets[v]) >= least), key=lambda v: (len(sets[v]), v))
+        left = {v: min(most, len(sets[v])) for v in order}
+        chosen: set[int] = set()
+        for of_plain in (True, False):
             for tier in (3, 2, 1):
+                todo = {c for c, n in sides.items() if (c in plain) == of_plain and n == tier}
                 for v in order:
-                    for c in sets[v]:
-                        if sides[c] == tier and given[v] < min(most, len(sets[v])):
-                            given[v] += 1
-                            if c not in chosen:
-                                chosen.append(c)
-                            if not is_branching:
-                                weighted.add(c)
+                    if not left[v] or not todo.intersection(sets[v]):
+                        continue
+                    left[v] = min(most, len(sets[v])) - min(len(chosen.intersection(sets[v])), min(most, len(sets[v])))
+                    taken = [c for c in sets[v] if c in todo][: left[v]]
+                    chosen.update(taken)
+                    todo.difference_update(taken)
+                    left[v] -= min(len(taken), left[v])
+                if not any(left.values()):
+                    break
+        weighted = chosen & plain
         free = len(chosen) - len(weighted)
         weight = 2.0 * max(free / len(weighted), 1.0) if weighted else 2.0
-        first = rows.iloc[0] if len(rows) else None
-        out = {c: [None if first is None else first[c]] for c in region}
-        return pd.DataFrame(out | {"colors": [sorted(chosen)], "weighted": [sorted(weighted)], "weight": [weight]})
+        return pd.DataFrame({c: [rows[c].iloc[0]] for c in region} | {"colors": [sorted(chosen)], "weighted": [sorted(weighted)], "weight": [weight]})
 
     names = ", ".join(f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in region)
     return candidates.groupBy(*region).applyInPandas(choose, f"{names}, colors array<long>, weighted array<long>, weight double")
@@ -127,35 +121,47 @@ def score_path(path: str, raw: str, anchored: bool) -> float:
     return min(max(1 - align.align(short, long, "HW")["dist"] / max(len(short), 1), 0.0), 1.0)
 
 
-def base_qualities(best: str, second: str | None, raw: str, score: float, runner_up: float, top: int = 40) -> str:
-    """Bases of the best path that the second agrees with or the read has: by the score; others by its lead."""
-    agreed = second if second is not None else raw
-    cigar = align.align(best, agreed)["cigar"]
-    import re
-
-    out = []
-    high = chr(int(min(score, 1) * top) + QUAL_BASE)
-    low = chr(int(min(max(score - runner_up, 0), 1) * (top - 1)) + QUAL_BASE + 1)
-    for n, op in re.findall(r"(\d+)(.)", cigar):
-        if op != "D":
-            out.append((high if op == "=" else low) * int(n))
-    return "".join(out)
-
+def consensus(forward: tuple, backward: tuple, raw: str) -> tuple[str, str] | None:
+    """Of two corrections of a region (seq, qual, which letters of raw are replaced) one, spliced by runs; None if neither is any good.
 
-def consensus(forward: str | None, backward: str | None, raw: str) -> str | None:
-    """Of two corrections of a region: the one there is; none if both are over a quarter of edits; else the closer one.
-
-    Where both stand, the one with fewer edits is taken whole, the forward one on a tie; there is
-    no splice by runs.
+    One that replaced nothing gives way to the other. Of two, one over a quarter of edits gives way, and if both are there is none.
+    Else raw is gone through: at each place the correction with the longer replaced run from there is taken for that run, that of
+    more replaced letters (the forward one on a tie) where they are equal; where neither has one, up to where the first begins. A splice
+    over a quarter of edits gives way to the one of more replaced letters.
     """
     rate = lambda s: align.align(s, raw)["dist"] / max(len(s), len(raw), 1)
-    if not forward or not backward:
-        only = forward or backward
-        return only if only and rate(only) <= MAX_EDITS else None
-    a, b = rate(forward), rate(backward)
-    if min(a, b) > MAX_EDITS:
-        return None
-    return forward if a <= b else backward
+    n_f, n_b = int(forward[2].sum()), int(backward[2].sum())
+    if not n_f or not n_b:
+        return forward[:2] if n_f else backward[:2] if n_b else None
+    if n_b > n_f:
+        forward, backward = backward, forward
+    rates = rate(forward[0]), rate(backward[0])
+    if max(rates) > MAX_EDITS:
+        return None if min(rates) > MAX_EDITS else forward[:2] if rates[0] <= MAX_EDITS else backward[:2]
+    both = forward, backward
+    runs = [_run_lengths(x[2]) for x in both]
+    cigars = [align.align(x[0], raw)["cigar"] for x in both]
+    seq, qual, i = [], [], 0
+    while i < len(raw):
+        n = [int(r[i]) for r in runs]
+        if max(n) > 0:
+            which = 0 if n[0] >= n[1] else 1
+        else:  # letters that neither replaced, up to the first that one did
+            which = 1 if n[1] > n[0] else 0
+        end = min(len(raw), i + abs(n[which]))
+        a, b = align.slice_cigar(cigars[which], i, end)
+        seq.append(both[which][0][a:b])
+        qual.append(both[which][1][a:b])
+        i = end
+    out = "".join(seq)
+    return forward[:2] if rate(out) > MAX_EDITS else (out, "".join(qual))
+
+
+def _run_lengths(flags: np.ndarray) -> np.ndarray:
+    """From each place on, how many letters are set, or, as a negative number, not set."""
+    ends = np.append(np.flatnonzero(np.diff(flags.astype(np.int8))) + 1, len(flags))
+    to_end = ends[np.searchsorted(ends, np.arange(len(flags)), side="right")] - np.arange(len(flags))
+    return np.where(flags, to_end, -to_end)
 
 
 def resolve_ambiguity(seq: Column, raw: Column) -> Column:
@@ -197,14 +203,3 @@ def insert_cycles(path: str, cycles: list[str], raw: str) -> str:
         if scored[0] >= edits:
             return best
         edits, best = scored
-
-
-def corrected(regions: DataFrame, forward: str, backward: str, raw: str) -> DataFrame:
-    """Adds ``path``: the consensus of both directions for each region, or null."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(path=[consensus(f, b, r or "") for f, b, r in zip(pdf[forward], pdf[backward], pdf[raw], strict=True)])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in regions.schema.fields)
-    return regions.mapInPandas(run, f"{fields}, path string")

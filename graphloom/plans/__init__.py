@@ -1,3 +1,3 @@
 """Plans and registered queries; importing the package registers all of them."""
 
-from graphloom.plans import queries, step_queries  # noqa: F401
+from graphloom.plans import correction_queries, queries, step_queries  # noqa: F401

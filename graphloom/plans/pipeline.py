@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import correction, graph, kmers
+from graphloom.functions.dna import QUAL_BASE, all_bases_reach, revcomp
+from graphloom.operators import colors, correction, graph, guided, kmers, ordering, regions, seeding, walks
 
 
 @dataclass(frozen=True)
 class Params:
-    """Names of a run's settings and their limits."""
+    """A run's settings and their limits. collapse: short reads that visit the same unitigs count as copies, with one colour."""
 
     k: int = 31
     k2: int = 63
@@ -22,36 +23,165 @@ class Params:
     longest_gap2: int = 5000
     window: float = 0.25
     trim: int = 0
+    insert: int = 500
+    least_colors: int = 2
+    least_length2: int = 3000
+    color_confidence: float = 0.0
+    top_coverage: float = 128.0
+    beam: int = 512
+    rounds: int = 1
+    collapse: bool = True
 
     def __post_init__(self) -> None:
         if self.k % 2 == 0 or self.k2 % 2 == 0:
             raise ValueError("k-mer lengths are odd")
-        if self.k2 <= self.k and self.k2 != 63:
+        if self.k2 <= self.k:
             raise ValueError("the second length is over the first")
         if not 0 <= self.trim <= self.max_qual:
             raise ValueError("0 <= trim <= max_qual")
         if not 0 < self.window < 1:
             raise ValueError("0 < window < 1")
+        if self.insert <= 0 or self.rounds <= 0:
+            raise ValueError("insert and rounds are over 0")
+        if not 0 <= self.color_confidence <= 1:
+            raise ValueError("0 <= color_confidence <= 1")
 
 
-def correct_pass(short: DataFrame, long: DataFrame, params: Params) -> DataFrame:
-    """(read_id, name, seq, qual). short: (…, seq); long: (read_id, name, seq).
+@dataclass(frozen=True)
+class Pass:
+    """Settings of one pass."""
+
+    k: int
+    longest: int
+    window: float
+    second: bool = False
+
+
+@dataclass(frozen=True)
+class Graph:
+    """Unitigs with what reads say of them. Tables: tigs, index, both readings, supported links, pairs (unitig_id, color), stats (unitig_id, cov, branching)."""
+
+    tigs: DataFrame
+    index: DataFrame
+    both: DataFrame
+    links: DataFrame
+    pairs: DataFrame
+    stats: DataFrame
+    k: int
+
+
+def both_unitigs(short: DataFrame, params: Params) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Unitigs and index of the first and of the second length: the graph of the first is that of the second's unitigs, each k-mer of which counts."""
+    long_tigs = graph.unitigs(kmers.solid(kmers.kmers(short, params.k2, [], strict=True), params.solid), params.k2)
+    inner = kmers.kmers(long_tigs[0].select("seq"), params.k, [])
+    return graph.unitigs(kmers.solid(inner, 1), params.k), long_tigs
+
+
+def colored_graph(tigs: DataFrame, index: DataFrame, reads: DataFrame, k: int, params: Params, once: bool = True) -> Graph:
+    """The graph with the colours of reads (color, seq). once: of reads that visit the same unitigs one gives its colour."""
+    hits = kmers.kmers(reads, k, ["color"]).select("color", "kmer").join(index.select("kmer", "unitig_id"), "kmer").groupBy("unitig_id", "color").agg(F.count(F.lit(1)).alias("n"))
+    hits = graph.kept(hits)
+    pairs = hits.select("unitig_id", "color")
+    if once:
+        prints = pairs.groupBy("color").agg(F.md5(F.array_join(F.sort_array(F.collect_list("unitig_id")), ",")).alias("fingerprint"))
+        pairs = pairs.join(colors.duplicates(prints, "color").where("color = kept_as").select("color"), "color", "left_semi").select("unitig_id", "color")
+    pairs = graph.kept(pairs)
+    both = graph.kept(walks.sides(tigs))
+    links = graph.kept(walks.steps(both, k, 2 * max(params.longest_gap, params.longest_gap2)))
+    out = links.groupBy(F.col("u").alias("v")).agg(F.countDistinct("v").alias("n")).where("n > 1").select("v")
+    branching = both.join(out, "v", "left_semi").select("unitig_id").distinct().withColumn("branching", F.lit(True))
+    cov = hits.groupBy("unitig_id").agg(F.sum("n").alias("n")).join(tigs.select("unitig_id", "n_kmers"), "unitig_id", "right")
+    stats = cov.select("unitig_id", F.round(F.coalesce("n", F.lit(0)) / F.col("n_kmers")).alias("cov")).join(branching, "unitig_id", "left").na.fill(False, ["branching"])
+    supported = graph.kept(walks.supported_steps(links, both, pairs, params.least_colors))
+    return Graph(tigs, index, both, supported, pairs, graph.kept(stats), k)
+
 
-    One pass: solid k-mers of the short reads are the graph, k-mers of the long reads that it has
-    are anchors, the gaps between them and the bases before the first and after the last are walked along it.
+def seeds(g: Graph, reads: DataFrame, params: Params, step: Pass) -> tuple[DataFrame, DataFrame]:
+    """Solid and weak anchors of reads. The second pass has no weak ones, as no stretch is searched for inexact hits."""
+    exact = graph.kept(seeding.exact_hits(reads, g.index, g.k))
+    solid = regions.without_overlaps(exact, "read_id", g.k)
+    of = g.both.select("v", "unitig_id")
+    ends = g.links.join(of.select(F.col("v").alias("u"), F.col("unitig_id").alias("a")), "u").join(of.withColumnRenamed("unitig_id", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    solid = graph.kept(guided.anchors(regions.color_consistent(solid, g.pairs.withColumnRenamed("unitig_id", "v"), ends, "read_id", params.least_colors), g.tigs))
+    if step.second:
+        return solid, solid.limit(0)
+    plain = g.pairs.join(g.stats.where("not branching").select("unitig_id"), "unitig_id", "left_semi")
+    classes = seeding.gap_classes(exact, reads, g.k, params.insert)
+    searched = graph.kept(seeding.searched_stretches(classes, exact, plain, params.insert, params.least_colors))
+    near = graph.kept(seeding.inexact_hits(searched, reads, g.index, g.k))
+    return solid, graph.kept(guided.anchors(regions.non_overlapping_weak(near, "read_id", g.k), g.tigs, "near"))
+
+
+def correct_pass(g: Graph, long: DataFrame, params: Params, step: Pass) -> DataFrame:
+    """(read_id, name, seq, qual): one pass over reads (read_id, name, seq), in the second with their qual.
+
+    Gaps along one unitig are filled from it; the others are walked along links and vertices of their chosen colours. Gaps without two
+    colours, and in the second pass those of the greatest quality throughout, stay as they are.
     """
-    solid = graph.kept(kmers.solid(kmers.kmers(short, params.k, [], strict=True), params.solid))
-    nodes = graph.kept(graph.oriented(solid))
-    index = solid.select(F.col("rep").alias("kmer"))
-    anchors = graph.kept(correction.seeds(long, index, params.k))
-    todo = graph.kept(correction.regions(anchors, long, params.k).union(correction.open_ends(anchors, long, params.k)))
-    paths = correction.bridge(todo, nodes, params.k, params.window, longest=params.longest_gap)
-    return correction.stitch(long, anchors, todo, paths, params.k, params.max_qual)
+    k = g.k
+    reads = long.select("read_id", "name", F.upper("seq").alias("seq"), *(["qual"] if step.second else []))
+    solid, weak = seeds(g, reads, params, step)
+    gaps = guided.stretches(solid, reads, k)
+    nexts = solid.select("read_id", F.col("pos").alias("at"), "rv", "roff", F.col("kmer").alias("n_kmer"))
+    right = gaps.where("kind = 'middle'").join(nexts.withColumnRenamed("at", "stop"), ["read_id", "stop"]).select("gap", F.col("rv").alias("r_u"), F.col("roff").alias("r_off"), revcomp(F.col("n_kmer")).alias("r_kmer"))
+    left = gaps.where("kind = 'middle'").join(nexts.withColumnRenamed("at", "start"), ["read_id", "start"]).select("gap", F.col("rv").alias("r_w"), F.col("roff").alias("r_w_off"))
+    gaps = gaps.join(right, "gap", "left").join(left, "gap", "left")
+    if step.second:
+        gaps = gaps.join(reads.select("read_id", "qual"), "read_id").withColumn("raw_qual", F.expr(f"substring(qual, start + 1, stop - start + {k})")).drop("qual")
+        gaps = gaps.withColumn("raw_qual", F.when(F.col("kind") == "head", F.reverse("raw_qual")).otherwise(F.col("raw_qual"))).where(~all_bases_reach(F.col("raw"), F.col("raw_qual"), QUAL_BASE + params.max_qual))
+    else:
+        gaps = gaps.withColumn("raw_qual", F.lit(None).cast("string"))
+    gaps = graph.kept(gaps)
+    on_one = graph.kept(guided.along_unitig(gaps, g.both, k, step.window))
+    todo = gaps.join(on_one.select("gap"), "gap", "left_anti").where((F.col("kind") != "middle") | (F.col("stop") - F.col("start") >= k))
+    top = ordering.value_at(g.stats, "cov", ["unitig_id"], 0.001).first()
+    candidates = guided.color_candidates(todo, solid, weak, g.stats, params.insert, max(params.top_coverage, top.value if top else 0.0))
+    chosen = graph.kept(guided.chosen_colors(candidates, g.pairs, params.least_colors))
+    todo = graph.kept(todo.join(chosen.select("gap").distinct(), "gap", "left_semi"))
+    allowed = graph.kept(walks.allowed(chosen, g.both, g.pairs, params.least_colors))
+    fixed = guided.corrected_gaps(todo, guided.in_gaps(todo, weak, k), g.both, g.links, allowed, k, step.longest, params.max_qual, step.window, params.beam)
+    best = chr(QUAL_BASE + params.max_qual)
+    filled = on_one.where("path is not null").select("gap", F.col("path").alias("seq"), F.expr(f"repeat('{best}', length(path))").alias("qual"))
+    return guided.stitched(reads, solid, gaps, fixed.union(filled), k, params.max_qual)
+
+
+def round_limits(params: Params) -> list[tuple[float, int]]:
+    """(share of length, longest gap) of each round of the first pass: both grow to the run's own, the share from a tenth on."""
+    n = params.rounds
+    step = 0.0 if n == 1 else (params.window - 0.10) / (n - 1)
+    return [(params.window - (n - j - 1) * step, (j + 1) * (params.longest_gap // n)) for j in range(n)]
+
+
+def read_colors(reads: DataFrame) -> DataFrame:
+    """(color, seq): a colour for each name, so that mates have one; without names for each row."""
+    if "name" in reads.columns:
+        return reads.select(F.xxhash64("name").alias("color"), F.upper("seq").alias("seq"))
+    return reads.select(F.monotonically_increasing_id().alias("color"), F.upper("seq").alias("seq"))
+
+
+def correct_once(short: DataFrame, long: DataFrame, params: Params) -> DataFrame:
+    """One pass at the first length, on the graph of the short reads' own k-mers."""
+    short = graph.kept(read_colors(short))
+    tigs, index = graph.unitigs(kmers.solid(kmers.kmers(short, params.k, [], strict=True), params.solid), params.k)
+    return correct_pass(colored_graph(tigs, index, short, params.k, params, params.collapse), long, params, Pass(params.k, params.longest_gap, params.window))
 
 
 def correct(short: DataFrame, long: DataFrame, params: Params) -> DataFrame:
-    """Both passes: the second one's graph also has the reads of the first, at the greater length."""
-    first = graph.kept(correct_pass(short, long, params))
-    second = Params(k=params.k2, k2=params.k2, solid=params.solid, max_qual=params.max_qual, longest_gap=params.longest_gap2, longest_gap2=params.longest_gap2, window=params.window)
-    out = correct_pass(short.select("seq").union(first.select("seq")), first.select("read_id", "name", "seq"), second)
+    """(read_id, name, seq, qual) of long reads (read_id, name, seq) by short ones (seq, and name where mates are to share a colour).
+
+    The first pass has the graph of the first length with the colours of the short reads; the second that of the second length with the
+    colours of the first pass's reads of ``least_length2`` or more, bases without confidence left out. With ``trim`` only runs of that quality and
+    of k2 or more come out, numbered (read_id, name, seq, part). Reads without any anchor come out as they are; no short reads correct nothing.
+    """
+    short = graph.kept(read_colors(short))
+    (tigs, index), (tigs2, index2) = both_unitigs(short, params)
+    g = colored_graph(tigs, index, short, params.k, params, params.collapse)
+    now = long
+    for share, longest in round_limits(params):
+        now = graph.kept(correct_pass(g, now, params, Pass(params.k, longest, share)))
+    sure = QUAL_BASE + 1 + int(params.color_confidence * (params.max_qual - 1))
+    sources = correction.masked(now.where(F.length("seq") >= params.least_length2), sure).select(F.col("read_id").alias("color"), "seq")
+    sources = sources if sources.schema["color"].dataType.simpleString() == "bigint" else sources.withColumn("color", F.xxhash64("color"))
+    g2 = colored_graph(tigs2, index2, graph.kept(sources), params.k2, params, once=False)
+    out = correct_pass(g2, now, params, Pass(params.k2, params.longest_gap2, params.window, second=True))
     return correction.trimmed(out, ["read_id"], params.trim, params.k2) if params.trim else out

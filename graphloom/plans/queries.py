@@ -421,10 +421,10 @@ def inexact_hits(spark, sf):
 @query()
 def corrected_reads(spark, sf):
     """Benchmark items, with every 37th base changed, corrected along the documents' graph."""
-    from graphloom.plans.pipeline import Params, correct_pass
+    from graphloom.plans.pipeline import Params, correct_once
 
     long = reads(spark, sf, "benchmark", "item_id").select(F.col("item_id").alias("read_id"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("name"), "seq")
     letters = F.filter(F.split("seq", ""), lambda c: c != "")
     noisy = long.withColumn("seq", F.array_join(F.transform(letters, lambda c, i: F.when(i % 37 == 36, F.translate(c, "ACGT", "CGTA")).otherwise(c)), ""))
-    out = correct_pass(reads(spark, sf), noisy, Params(k=15))
+    out = correct_once(reads(spark, sf), noisy, Params(k=15, insert=100))
     return out.select("read_id", "name", "seq", "qual")

@@ -113,8 +113,8 @@ def vertex_haplotypes(spark, sf):
 
 
 @query("""WITH h AS (SELECT o_custkey AS read, o_orderkey AS pos, list_distinct([o_orderkey % 3, o_orderkey % 5, o_orderkey % 7]) AS c FROM orders),
-p AS (SELECT a.read, a.pos, max(CASE WHEN len(list_intersect(a.c, b.c)) >= 0.85 * len(a.c) AND len(list_intersect(a.c, b.c)) >= 0.85 * len(b.c) THEN 1 ELSE 0 END) AS fits FROM h a JOIN h b ON a.read = b.read AND abs(a.pos - b.pos) >= 2000 GROUP BY a.read, a.pos)
-SELECT read, pos FROM p WHERE fits = 0""")
+p AS (SELECT a.read, a.pos, max(CASE WHEN abs(a.pos - b.pos) > 2000 AND len(list_intersect(a.c, b.c)) >= 0.85 * len(a.c) AND len(list_intersect(a.c, b.c)) >= 0.85 * len(b.c) THEN 1 ELSE 0 END) AS fits FROM h a JOIN h b ON a.read = b.read GROUP BY a.read, a.pos)
+SELECT read, pos FROM p WHERE fits = 0 AND (EXISTS (SELECT 1 FROM p q WHERE q.read = p.read AND q.pos > p.pos + 2000) OR EXISTS (SELECT 1 FROM p q WHERE q.read = p.read AND q.pos < p.pos - 2000 AND q.fits = 1))""")
 def phase_conflicts(spark, sf):
     """Places of a read with no place of fitting colours far along it."""
     key = F.col("o_orderkey")
@@ -133,10 +133,10 @@ _PLACED = """h AS (SELECT read, pos, (pos + read % 3) // {step} * 5 % {n} AS uni
 
 
 @query(f"""WITH {_PLACED.format(n=7, step=4)}
-b AS (SELECT *, CASE WHEN pos != lag(pos) OVER w + 1 OR unitig_id != lag(unitig_id) OVER w THEN 1 ELSE 0 END AS fresh FROM h WINDOW w AS (PARTITION BY read ORDER BY pos)),
+b AS (SELECT *, CASE WHEN pos != lag(pos) OVER w + 1 THEN 1 ELSE 0 END AS fresh FROM h WINDOW w AS (PARTITION BY read ORDER BY pos)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY read ORDER BY pos) AS run FROM b), e AS (SELECT read, run, min(pos) AS a, max(pos) AS b FROM r GROUP BY read, run),
-x AS (SELECT read, run, b, lead(a) OVER (PARTITION BY read ORDER BY run) AS following FROM e)
-SELECT r.read, CAST(pos AS INT) AS pos, CAST(unitig_id AS BIGINT) AS unitig_id FROM r JOIN x ON x.read = r.read AND x.run = r.run WHERE following IS NULL OR following = b + 1 OR pos + 3 <= following""")
+x AS (SELECT read, run, lead(a) OVER (PARTITION BY read ORDER BY run) AS following FROM e)
+SELECT r.read, CAST(pos AS INT) AS pos, CAST(unitig_id AS BIGINT) AS unitig_id FROM r JOIN x ON x.read = r.read AND x.run = r.run WHERE following IS NULL OR pos + 3 <= following""")
 def overlaps_voided(spark, sf):
     """Hits without the tails that the next run overlaps by three places."""
     return regions.without_overlaps(_placed(spark, sf, 7, 4), "read", 3)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import colors, correction, graph, kmers, ordering, phasing
-from graphloom.plans.pipeline import Params, correct_pass
+from graphloom.plans.pipeline import Params, correct_once
 from graphloom.sources import fastx
 
 
@@ -90,12 +90,12 @@ def test_reads_are_corrected(spark):
     del noisy[gone]
     noisy = "".join(noisy)
     long = spark.createDataFrame([(1, "a", noisy), (2, "b", genome(200, 9)), (3, "c", g[100:400])], "read_id long, name string, seq string")
-    got = {r.read_id: r for r in correct_pass(reads(spark, short), long, Params(k=15)).collect()}
+    got = {r.read_id: r for r in correct_once(reads(spark, short), long, Params(k=15)).collect()}
     assert all(len(r.seq) == len(r.qual) for r in got.values())
     assert got[1].seq == g
     assert got[2].seq == genome(200, 9) and set(got[2].qual) == {"!"}
     assert got[3].seq == g[100:400] and set(got[3].qual) == {"I"}
-    again = correct_pass(reads(spark, short).repartition(7), long.repartition(3), Params(k=15)).collect()
+    again = correct_once(reads(spark, short).repartition(7), long.repartition(3), Params(k=15)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got.values()))
 
 

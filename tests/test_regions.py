@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import cli
-from graphloom.operators import regions
+from graphloom.operators import phasing, regions
 
 
 def test_weak_hits_that_contradict(spark):
@@ -39,14 +40,41 @@ def test_colors_of_three_sides_first(spark):
     assert got.weighted == [5, 6] and len(got.colors) == 32 and got.weight == 30.0
 
 
-def test_consensus_and_qualities():
-    raw = "ACGTACGTAC"
-    assert regions.consensus("ACGTACGTAC", None, raw) == "ACGTACGTAC"
-    assert regions.consensus("ACGTACGTAG", "ACGTACGTAC", raw) == "ACGTACGTAC"
-    assert regions.consensus("TTTTTTTTTT", "GGGGGGGGGG", raw) is None and regions.consensus(None, "", raw) is None
+def flags(text):
+    return np.array([c == "x" for c in text])
+
+
+def test_consensus_takes_the_longer_run():
+    raw = "ACGTTGCAAGGCTAATCGCA"
+    none = flags("." * 20)
+    f, b = ("AAGTTGCAAGGCTAATCGCA", "f" * 20, flags("xxxxxxxx............")), ("ACGTTGCAAGGCTAATCGTT", "b" * 20, flags("............xxxxxxxx"))
+    assert regions.consensus(f, b, raw) == ("AAGTTGCAAGGCTAATCGTT", "f" * 8 + "b" * 12)  # good at its start one way, at its end the other
+    assert regions.consensus((*f[:2], none), b, raw) == b[:2] and regions.consensus(f, (*b[:2], none), raw) == f[:2]
+    assert regions.consensus((*f[:2], none), (*b[:2], none), raw) is None
+    far = ("T" * 20, "t" * 20, flags("x" * 20))
+    assert regions.consensus(far, b, raw) == b[:2] and regions.consensus(far, far, raw) is None
+    longer = ("ACGTTGCAAGGCTAATCGCA", "l" * 20, flags("xxxxxxxxxxxx........"))
+    assert regions.consensus(f, longer, raw)[1] == "l" * 20  # that of more replaced letters where neither has a run
+    assert regions._run_lengths(flags("xx.x..")).tolist() == [2, 1, -1, 1, -2, -1]
+
+
+def test_scores():
     assert regions.score_path("ACGT", "ACGT", True) == 1 and 0 <= regions.score_path("ACG", "ACGTACGT", False) <= 1
-    qual = regions.base_qualities("ACGT", "ACCT", "ACGT", 1.0, 0.9)
-    assert len(qual) == 4 and qual[0] == "I" and qual[2] < "I"
+
+
+def test_overlaps_go_by_place_alone(spark):
+    rows = [(1, p, 7) for p in range(5)] + [(1, 5, 8), (1, 6, 8), (1, 9, 9)] + [(2, 0, 1), (2, 1, 1), (2, 12, 1)]
+    hits = spark.createDataFrame(rows, "read long, pos int, unitig_id long")
+    assert sorted((r.read, r.pos) for r in regions.without_overlaps(hits, "read", 10).collect()) == [(1, 9), (2, 0), (2, 1), (2, 12)]
+
+
+def test_phases_that_fit_nowhere(spark):
+    a, b, c = [1, 2, 3], [7, 8, 9], [4, 5]
+    rows = [(1, 0, a), (1, 500, b), (1, 501, b), (1, 900, a)]  # b has no place over 500 off but the void ones
+    rows += [(2, 0, a), (2, 501, b)] + [(3, 0, a), (3, 500, b)] + [(4, 0, a), (4, 600, a), (4, 601, c), (4, 1200, list(range(2000)))]
+    hits = spark.createDataFrame(rows, "read long, pos int, colors array<long>")
+    got = sorted((r.read, r.pos) for r in phasing.incompatible(hits, "read", 500).collect())
+    assert got == [(1, 501), (2, 0), (4, 601)]
 
 
 def test_ambiguity_takes_the_reads_base(spark):
