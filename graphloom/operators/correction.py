@@ -20,18 +20,19 @@ def regions(anchors: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     return pairs.join(reads.select("read_id", "seq"), "read_id").select("read_id", F.lit("middle").alias("kind"), F.col("pos").alias("start"), "stop", F.col("kmer").alias("left"), "right", "seq").withColumn("raw", raw).drop("seq")
 
 
-def trimmed(reads: DataFrame, key: list[str], least_qual: int, k: int) -> DataFrame:
-    """(key, name, seq, part): maximal runs of bases of at least 33 + least_qual, k or longer, numbered from 1 as name/i."""
-    place = reads.where("length(seq) > 0").select(*key, "name", "seq", F.posexplode(F.filter(F.split("qual", ""), lambda c: c != "")).alias("i", "q"))
+def trimmed(reads: DataFrame, key: list[str], least_qual: int, k: int, with_qual: bool = False) -> DataFrame:
+    """(key, name, seq, part): maximal runs of bases of at least 33 + least_qual, k or longer, numbered from 1 as name/i; on demand with their qual."""
+    place = reads.where("length(seq) > 0").select(*key, "name", "seq", "qual", F.posexplode(F.filter(F.split("qual", ""), lambda c: c != "")).alias("i", "q"))
     good = place.where(F.ascii("q") >= QUAL_BASE + least_qual)
     run = good.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*key).orderBy("i")))
-    runs = run.groupBy(*key, "name", "run").agg(F.first("seq").alias("seq"), F.min("i").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    runs = run.groupBy(*key, "name", "run").agg(F.first("seq").alias("seq"), F.first("qual").alias("qual"), F.min("i").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     part = F.row_number().over(Window.partitionBy(*key).orderBy("a"))
     cut = runs.withColumn("part", part)
-    return cut.select(*key, F.concat_ws("/", "name", "part").alias("name"), F.expr("substring(seq, a + 1, n)").alias("seq"), "part")
+    own = [F.expr("substring(qual, a + 1, n)").alias("qual")] if with_qual else []
+    return cut.select(*key, F.concat_ws("/", "name", "part").alias("name"), F.expr("substring(seq, a + 1, n)").alias("seq"), *own, "part")
 
 
 def masked(reads: DataFrame, least: int) -> DataFrame:
-    """Bases under a quality become N."""
+    """Bases under a quality become N; reads without qualities stay."""
     letters = F.zip_with(F.filter(F.split("seq", ""), lambda c: c != ""), F.filter(F.split("qual", ""), lambda c: c != ""), lambda s, q: F.when(F.ascii(q) >= least, s).otherwise("N"))
-    return reads.withColumn("seq", F.array_join(letters, ""))
+    return reads.withColumn("seq", F.when(F.col("qual").isNull(), F.col("seq")).otherwise(F.array_join(letters, "")))

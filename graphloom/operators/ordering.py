@@ -36,8 +36,8 @@ def value_at(df: DataFrame, by: str, ties: list[str], share: float) -> DataFrame
     return global_rank(df, by, ties, descending=True).where(F.col("rank") == int(n * share) + 1).select(F.col(by).alias("value"))
 
 
-def ordered(df: DataFrame, by: Column) -> DataFrame:
-    return df.orderBy(by)
+def ordered(df: DataFrame, *by: Column) -> DataFrame:
+    return df.orderBy(*by)
 
 
 def paired(raw: DataFrame, corrected: DataFrame, ord_col: str = "ord") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.dna import QUAL_BASE, all_bases_reach, revcomp
 from graphloom.operators import colors, correction, graph, guided, kmers, ordering, regions, seeding, walks
+from graphloom.sources import store
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ class Params:
     beam: int = 512
     rounds: int = 1
     collapse: bool = True
+    settle: bool = False
 
     def __post_init__(self) -> None:
         if self.k % 2 == 0 or self.k2 % 2 == 0:
@@ -166,22 +168,65 @@ def correct_once(short: DataFrame, long: DataFrame, params: Params) -> DataFrame
     return correct_pass(colored_graph(tigs, index, short, params.k, params, params.collapse), long, params, Pass(params.k, params.longest_gap, params.window))
 
 
-def correct(short: DataFrame, long: DataFrame, params: Params) -> DataFrame:
+def first_graph(short: DataFrame, params: Params) -> tuple[Graph, DataFrame]:
+    """The coloured graph of the first length, and the unitigs of the second."""
+    short = graph.kept(read_colors(short))
+    (tigs, index), (long_tigs, _) = both_unitigs(short, params)
+    return colored_graph(tigs, index, short, params.k, params, params.collapse), long_tigs
+
+
+def second_graph(tigs: DataFrame, corrected: DataFrame, params: Params, accurate: DataFrame | None = None) -> Graph:
+    """The graph of the second length with the colours of reads of ``least_length2`` or more.
+
+    corrected: (read_id, seq, qual) of the first pass, whose bases under the confidence are left out; accurate: (name, seq) of other long reads.
+    """
+    sure = QUAL_BASE + 1 + int(params.color_confidence * (params.max_qual - 1))
+    sources = correction.masked(corrected, sure).select(F.xxhash64(F.lit(1), "read_id").alias("color"), "seq")
+    if accurate is not None:
+        sources = sources.union(accurate.select(F.xxhash64(F.lit(2), "name"), F.upper("seq")))
+    sources = graph.kept(sources.where(F.length("seq") >= params.least_length2))
+    return colored_graph(tigs, graph.kept(store.index_of(tigs, params.k2)), sources, params.k2, params, once=False)
+
+
+def first_pass(g: Graph, long: DataFrame, params: Params) -> DataFrame:
+    """All rounds of the first pass."""
+    for share, longest in round_limits(params):
+        long = graph.kept(correct_pass(g, long, params, Pass(g.k, longest, share)))
+    return long
+
+
+def second_pass(g: Graph, corrected: DataFrame, params: Params) -> DataFrame:
+    """The second pass over (read_id, name, seq, qual); with ``settle`` ambiguous letters that the graph tells are replaced first."""
+    if params.settle:
+        corrected = graph.settled(corrected, g.index.select("kmer"), g.k, "read_id")
+    out = correct_pass(g, corrected, params, Pass(g.k, params.longest_gap2, params.window, second=True))
+    return correction.trimmed(out, ["read_id"], params.trim, g.k, with_qual=True) if params.trim else out
+
+
+def rescued_reads(unmapped: DataFrame, short: DataFrame, long: DataFrame, params: Params) -> DataFrame:
+    """The unmapped short reads (name, seq) with 31 or more k-mers that long reads have and that aren't repeated in the short ones."""
+    of = lambda df: kmers.kmers(df.select(F.upper("seq").alias("seq")), params.k, [], strict=True)
+    rows = graph.kept(unmapped.select("name", F.upper("seq").alias("seq")).withColumn("row", F.monotonically_increasing_id()))
+    found = colors.rescued(kmers.kmers(rows, params.k, ["row"], strict=True), of(long), kmers.solid(of(short), 2), "row")
+    return rows.join(found.select("row"), "row", "left_semi").select("name", "seq")
+
+
+def save_graph(g: Graph, path: str) -> None:
+    store.write_store(g.tigs, g.links, g.k, path, pairs=g.pairs, stats=g.stats)
+
+
+def load_graph(spark: SparkSession, path: str) -> Graph:
+    k, tigs, links, parts = store.read_store(spark, path)
+    return Graph(tigs, graph.kept(store.index_of(tigs, k)), graph.kept(walks.sides(tigs)), links, parts["pairs"], parts["stats"], k)
+
+
+def correct(short: DataFrame, long: DataFrame, params: Params, accurate: DataFrame | None = None) -> DataFrame:
     """(read_id, name, seq, qual) of long reads (read_id, name, seq) by short ones (seq, and name where mates are to share a colour).
 
     The first pass has the graph of the first length with the colours of the short reads; the second that of the second length with the
     colours of the first pass's reads of ``least_length2`` or more, bases without confidence left out. With ``trim`` only runs of that quality and
-    of k2 or more come out, numbered (read_id, name, seq, part). Reads without any anchor come out as they are; no short reads correct nothing.
+    of k2 or more come out, numbered (read_id, name, seq, qual, part). Reads without any anchor come out as they are; no short reads correct nothing.
     """
-    short = graph.kept(read_colors(short))
-    (tigs, index), (tigs2, index2) = both_unitigs(short, params)
-    g = colored_graph(tigs, index, short, params.k, params, params.collapse)
-    now = long
-    for share, longest in round_limits(params):
-        now = graph.kept(correct_pass(g, now, params, Pass(params.k, longest, share)))
-    sure = QUAL_BASE + 1 + int(params.color_confidence * (params.max_qual - 1))
-    sources = correction.masked(now.where(F.length("seq") >= params.least_length2), sure).select(F.col("read_id").alias("color"), "seq")
-    sources = sources if sources.schema["color"].dataType.simpleString() == "bigint" else sources.withColumn("color", F.xxhash64("color"))
-    g2 = colored_graph(tigs2, index2, graph.kept(sources), params.k2, params, once=False)
-    out = correct_pass(g2, now, params, Pass(params.k2, params.longest_gap2, params.window, second=True))
-    return correction.trimmed(out, ["read_id"], params.trim, params.k2) if params.trim else out
+    g, long_tigs = first_graph(short, params)
+    now = first_pass(g, long, params)
+    return second_pass(second_graph(long_tigs, now, params, accurate), now, params)

@@ -1,8 +1,6 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from graphloom import cli
 from graphloom.operators import phasing, regions
 
 
@@ -85,12 +83,3 @@ def test_ambiguity_takes_the_reads_base(spark):
 def test_cycles_are_put_in_while_edits_fall():
     assert regions.insert_cycles("XABY", ["ABA"], "XABABABY".replace("X", "X")) == "XABABABY"
     assert regions.insert_cycles("XABY", ["ACA"], "XABY") == "XABY"
-
-
-def test_command_line(spark, tmp_path):
-    (tmp_path / "s.fasta").write_text("".join(f">r{i}\n{'ACGTTGCAAGGCTAATCGCATTGACCA' * 3}\n" for i in range(3)))
-    for bad in (["correct", "-s", "x", "-o", "y"], ["index", "-s", "x", "-o", "y", "-k", "30"], ["index", "-s", "x", "-o", "y", "-S", "0"]):
-        with pytest.raises(SystemExit):
-            cli.main(bad)
-    cli.main(["index", "-s", f"{tmp_path}/s.fasta", "-o", f"{tmp_path}/g", "-k", "15"])
-    assert spark.read.parquet(f"{tmp_path}/g/unitigs").count() == 1
