@@ -122,13 +122,19 @@ def bubble_coverage(links: DataFrame, coverage: DataFrame) -> DataFrame:
 def snp_candidates(nodes: DataFrame, k: int) -> DataFrame:
     """(v, pos, bases): k-mers that stand with others which differ at one place, and the bases there as bits.
 
-    Every k-mer is joined on itself with one letter left out, at each place; places far from the ends too.
+    Two such k-mers have their first or their second half in common: each is dealt twice, by its halves, and letters are left out
+    of the other half where it lies, so the k masks of a k-mer are never shuffled.
     """
-    place = nodes.select("v", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("pos"))
-    masked = place.select("v", "pos", F.concat(F.substring("v", F.lit(1), F.col("pos") - 1), F.substring("v", F.col("pos") + 1, F.lit(k))).alias("rest"))
+    h = k // 2
+    half = F.array(F.struct(F.lit(True).alias("first"), F.substring("v", 1, h).alias("half")), F.struct(F.lit(False).alias("first"), F.substring("v", h + 1, k).alias("half")))
+    dealt = nodes.select("v", F.explode(half).alias("x")).select("v", "x.first", "x.half").repartition("half")
+    place = F.explode(F.when(F.col("first"), F.sequence(F.lit(h + 1), F.lit(k))).otherwise(F.sequence(F.lit(1), F.lit(h))))
+    masked = dealt.select("v", "first", "half", place.alias("pos"))
+    rest = F.concat(F.substring("v", F.lit(1), F.col("pos") - 1), F.substring("v", F.col("pos") + 1, F.lit(k)))
+    alike = Window.partitionBy("half", "first", "pos", "rest")
     bit = F.expr("shiftleft(1, instr('ACGT', substring(v, pos, 1)) - 1)")
-    groups = masked.groupBy("pos", "rest").agg(F.bit_or(bit).alias("bases"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return masked.join(groups, ["pos", "rest"]).select("v", (F.col("pos") - 1).alias("pos"), "bases")
+    found = masked.withColumn("rest", rest).select("v", "pos", F.bit_or(bit).over(alike).alias("bases"), F.count(F.lit(1)).over(alike).alias("n"))
+    return found.where("n > 1").select("v", (F.col("pos") - 1).alias("pos"), "bases")
 
 
 def mapped_ambiguity(snps: DataFrame, mappings: DataFrame, vertex: str) -> DataFrame:

@@ -247,14 +247,14 @@ def color_jaccard(spark, sf):
     return pairs.select("v", n.alias("both_n"), m.alias("either_n"), F.size(colors.without(a, b)).cast("long").alias("only_n"), F.round(n / m, 6).alias("jaccard"))
 
 
-@query(f"WITH {_SOLID}, vis AS (SELECT DISTINCT kmer AS v, doc_id FROM km UNION SELECT DISTINCT {RC.format('kmer')}, doc_id FROM km), sh AS (SELECT u, edge.v, count(*) AS n FROM edge JOIN vis a ON a.v = edge.u JOIN vis b ON b.v = edge.v AND a.doc_id = b.doc_id GROUP BY u, edge.v) SELECT coalesce(sh.n, 0) >= 2 AS supported, count(*) AS n FROM edge LEFT JOIN sh USING (u, v) GROUP BY 1")
+@query(f"WITH {_SOLID}, vis AS (SELECT DISTINCT kmer AS v, doc_id FROM km UNION SELECT DISTINCT {RC.format('kmer')}, doc_id FROM km), sh AS (SELECT u, edge.v, count(*) AS n FROM edge JOIN vis a ON a.v = edge.u JOIN vis b ON b.v = edge.v AND a.doc_id = b.doc_id GROUP BY u, edge.v) SELECT coalesce(sh.n, 0) >= 2 AS supported, count(*) AS n, bit_xor(CAST(('0x' || substr(md5(u || v), 1, 15)) AS BIGINT)) AS all_links FROM edge LEFT JOIN sh USING (u, v) GROUP BY 1")
 def edge_support(spark, sf):
     """Links of the graph whose ends share two documents or more."""
     km = doc_kmers(spark, sf)
-    solid = kmers.solid(km)
-    nodes = graph.oriented(solid)
+    solid = graph.kept(kmers.solid(km))
+    nodes = graph.kept(graph.oriented(solid))
     visits = km.join(solid.select("rep"), "rep").select(F.explode(F.array("rep", dna.revcomp(F.col("rep")))).alias("v"), "doc_id").distinct()
-    return colors.supported(graph.edges(nodes, K), visits, "doc_id").groupBy("supported").agg(F.count(F.lit(1)).alias("n"))
+    return colors.supported(graph.edges(nodes, K), visits, "doc_id").groupBy("supported").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.md5(F.concat("u", "v")), 1, 15), 16, 10).cast("long")).alias("all_links"))
 
 
 @query(f"WITH {_SOLID} SELECT doc_id, count(*) AS n_solid, CAST(round(sum(n) * 1.0 / count(*)) AS BIGINT) AS coverage FROM km JOIN solid USING (rep) GROUP BY doc_id")
@@ -272,8 +272,8 @@ g AS (SELECT f.u FROM f JOIN deg ON deg.v = f.v LEFT JOIN edge e ON e.u = f.v GR
 x AS (SELECT DISTINCT f.v, cov.n FROM f JOIN g USING (u) JOIN cov ON cov.v = f.v)
 SELECT CAST(CASE WHEN count(*) > 0 THEN sum(n) // count(*) ELSE 0 END AS BIGINT) AS coverage FROM x""")
 def bubble_coverage(spark, sf):
-    solid = kmers.solid(doc_kmers(spark, sf))
-    nodes = graph.oriented(solid)
+    solid = graph.kept(kmers.solid(doc_kmers(spark, sf)))
+    nodes = graph.kept(graph.oriented(solid))
     links = graph.edges(nodes, K)
     cov = solid.select(F.explode(F.array("rep", dna.revcomp(F.col("rep")))).alias("v"), "n").distinct()
     stats = graph.degrees(nodes, links).join(cov, "v").select("v", F.col("n").alias("cov"), F.lit(1).cast("long").alias("len"), "branching")
@@ -426,5 +426,5 @@ def corrected_reads(spark, sf):
     long = reads(spark, sf, "benchmark", "item_id").select(F.col("item_id").alias("read_id"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("name"), "seq")
     letters = F.filter(F.split("seq", ""), lambda c: c != "")
     noisy = long.withColumn("seq", F.array_join(F.transform(letters, lambda c, i: F.when(i % 37 == 36, F.translate(c, "ACGT", "CGTA")).otherwise(c)), ""))
-    out = correct_once(reads(spark, sf), noisy, Params(k=15, insert=100))
+    out = correct_once(reads(spark, sf), noisy, Params(insert=100))
     return out.select("read_id", "name", "seq", "qual")
