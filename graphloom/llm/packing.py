@@ -99,7 +99,8 @@ def best_fit_pack(lengths: DataFrame, shards: int, capacity: int = CAPACITY, id_
     """
     kind = lengths.schema[id_col].dataType.simpleString()
     cols = [F.col(id_col).alias("id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), F.col(source_col).alias("source"), F.col(cluster_col).alias("cluster")]
-    dealt = lengths.select(*cols, F.pmod(F.xxhash64(F.col(id_col), F.col(source_col), F.col(cluster_col)), F.lit(max(1, shards))).cast("long").alias("shard"))
+    apart = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # rows of null ids go to all shards
+    dealt = lengths.select(*cols, F.pmod(F.xxhash64(F.col(id_col), F.col(source_col), F.col(cluster_col), apart), F.lit(max(1, shards))).cast("long").alias("shard"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         hold()

@@ -150,10 +150,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(text, label) of at most ``limit`` labelled rows outside the held-out fifth: those of least hash of the id."""
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "label").limit(limit)  # bounded, so it can be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    """(text, label) of at most ``limit`` documents with a label outside the held-out fifth: those of least hash of the id, then of the text.
+
+    An id that is labelled both ways has no label; rows that repeat an id are documents of their own, and count to the limit.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
+    chosen = rows.where("label = other").select("doc_id", "label").orderBy(F.xxhash64("doc_id")).limit(limit)  # bounded, so it can be broadcast
+    both = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return both.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(limit).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> np.ndarray:

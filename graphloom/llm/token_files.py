@@ -186,7 +186,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield flush()
 
     fields = f"part long, seq long, n_before long, n_ids long, n_terminals long, doc_ids array<{kind}>, n_tokens array<long>, n_symbols array<long>, rules binary, lengths binary, symbols binary"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     rows.mapInArrow(shards, fields).write.option("compression", "zstd").parquet(path)
 
 
