@@ -137,7 +137,7 @@ def path_qualities(path: Column, raw: Column, score: Column, second: Column, top
     return run(path, raw, score, second)
 
 
-def attempt(gaps: DataFrame, weak: DataFrame, both: DataFrame, links: DataFrame, colors: DataFrame | None, k: int, longest: int, top: int = 40, share: float = walks.SHARE, beam: int = 512) -> DataFrame:
+def attempt(gaps: DataFrame, weak: DataFrame, both: DataFrame, links: DataFrame, colors: tuple[DataFrame, DataFrame, int] | None, k: int, longest: int, top: int = 40, share: float = walks.SHARE, beam: int = 512) -> DataFrame:
     """(gap, seq, qual, runs, complete): one direction of each gap.
 
     gaps: (gap, raw, u, off, w, w_off, kmer); weak: (gap, at, kmer, v, off). All hops of all gaps are walked at once. What a chain reaches before its first
@@ -229,7 +229,7 @@ def _covered(runs: str, n: int) -> np.ndarray:
     return out
 
 
-def corrected_gaps(gaps: DataFrame, weak: DataFrame, both: DataFrame, links: DataFrame, colors: DataFrame | None, k: int, longest: int, top: int = 40, share: float = walks.SHARE, beam: int = 512) -> DataFrame:
+def corrected_gaps(gaps: DataFrame, weak: DataFrame, both: DataFrame, links: DataFrame, colors: tuple[DataFrame, DataFrame, int] | None, k: int, longest: int, top: int = 40, share: float = walks.SHARE, beam: int = 512) -> DataFrame:
     """(gap, seq, qual): each gap's correction along itself, where there is one.
 
     Gaps that the forward direction doesn't complete are tried from the other end, if they have an anchor there; a complete result stands, of two incomplete

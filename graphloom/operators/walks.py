@@ -51,10 +51,23 @@ def supported_steps(links: DataFrame, both: DataFrame, pairs: DataFrame, least:
     return named.join(good.select("a", "b"), ["a", "b"], "left_semi").select(*links.columns)
 
 
-def allowed(chosen: DataFrame, both: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
-    """(gap, v): readings of unitigs that carry ``least`` of a gap's chosen colours. chosen: (gap, color)."""
-    good = chosen.join(pairs, "color").groupBy("gap", "unitig_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return good.select("gap", "unitig_id").join(both.select("unitig_id", "v"), "unitig_id").select("gap", "v")
+def unitig_links(links: DataFrame, both: DataFrame) -> DataFrame:
+    """(u, v) of unitigs, each once, for links of readings."""
+    of = both.select("v", "unitig_id")
+    named = links.join(of.select(F.col("v").alias("u"), F.col("unitig_id").alias("a")), "u").join(of.withColumnRenamed("unitig_id", "b"), "v")
+    return named.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
+def allowed(chosen: DataFrame, both: DataFrame, pairs: DataFrame, least: int = 2, wanted: DataFrame | None = None) -> DataFrame:
+    """(gap, v): readings of unitigs that carry ``least`` of a gap's chosen colours. chosen: (gap, color), pairs: (unitig_id, color), each once.
+
+    wanted: the (gap, v) that are asked for. With it the rows are those times a unitig's colours; without it every unitig of each chosen colour is met.
+    """
+    if wanted is None:
+        good = chosen.join(pairs, "color").groupBy("gap", "unitig_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        return good.select("gap", "unitig_id").join(both.select("unitig_id", "v"), "unitig_id").select("gap", "v")
+    own = wanted.distinct().join(both.select("v", "unitig_id"), "v").join(pairs, "unitig_id").join(chosen, ["gap", "color"])
+    return own.groupBy("gap", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("gap", "v")
 
 
 def length_window(n: Column, k: int, share: float = SHARE) -> tuple[Column, Column]:
@@ -91,11 +104,12 @@ def reached(row: pd.Series, ext: pd.Series, raw: pd.Series, had: pd.Series, leas
     return pd.DataFrame(out, columns=["row", "low", "cut", "dist"]).astype({"cut": "Int32", "dist": "Int32"})
 
 
-def walk(gaps: DataFrame, both: DataFrame, links: DataFrame, k: int, colors: DataFrame | None = None, share: float = SHARE, edits: float | None = EDITS, beam: int = 512) -> DataFrame:
+def walk(gaps: DataFrame, both: DataFrame, links: DataFrame, k: int, colors: tuple[DataFrame, DataFrame, int] | None = None, share: float = SHARE, edits: float | None = EDITS, beam: int = 512) -> DataFrame:
     """(hop, path, score, second, other): the closest path of each gap that has one, and the score and path of the next closest.
 
     gaps: (hop, gap, raw, u, off, w, w_off): raw from anchor to anchor, both included; u, w: readings that the anchors
-    lie on and where; w null for a gap without a right anchor, which may end anywhere. colors: (gap, v) that a step may lead to; null for any.
+    lie on and where; w null for a gap without a right anchor, which may end anywhere. colors: (chosen, pairs, least) as
+    ``allowed`` takes them, looked up for the unitigs that a round reaches; None for any step.
     A path ends in the right anchor with a length within ``share`` of the read's; paths over ``edits`` of their length to all of the read's
     prefixes go, which takes none that would be close enough at its end. A gap keeps its ``beam`` closest open paths a round.
     score = 1 - distance / the greater length. Of equally close paths the shortest, then the least.
@@ -121,7 +135,8 @@ def walk(gaps: DataFrame, both: DataFrame, links: DataFrame, k: int, colors: Dat
             break
         onward = ahead.select("hop", "gap", "path", F.col("v").alias("u"), "row").join(links, "u").drop("u")
         if colors is not None:
-            onward = onward.join(colors, ["gap", "v"], "left_semi")
+            chosen, pairs, need = colors
+            onward = onward.join(allowed(chosen, both, pairs, need, onward.select("gap", "v")), ["gap", "v"], "left_semi")
         now = onward.join(todo.drop("gap"), "hop").withColumns({"had": F.length("path"), "stop": F.when(F.col("v") == F.col("w"), F.col("w_off") + 1)})
         number += 1
     done = spark.read.parquet(folder).where("cut is not null").select("hop", F.expr("left(path, cut)").alias("path"), (1 - F.col("dist") / F.greatest("cut", "n")).alias("score")).distinct()

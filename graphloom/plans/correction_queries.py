@@ -36,6 +36,13 @@ def benchmark_unitigs(spark, sf):
     return _tigs(spark, sf)[0].select("seq", "n_kmers")
 
 
+@query(f"WITH RECURSIVE {_TIGS} SELECT v AS kmer, least(seq, {RC.format('seq')}) AS seq, CAST(CASE WHEN seq <= {RC.format('seq')} THEN i ELSE n_kmers - 1 - i END AS INT) AS dist, seq <= {RC.format('seq')} AS strand FROM ch JOIN en USING (start)")
+def kmer_places(spark, sf):
+    """Each k-mer of the benchmark items, on both strands, with its unitig, place and strand."""
+    tigs, index = _tigs(spark, sf)
+    return index.join(tigs.select("unitig_id", "seq"), "unitig_id").select("kmer", "seq", F.col("dist").cast("int").alias("dist"), "strand")
+
+
 @query(f"""WITH RECURSIVE {_TIGS}, k2 AS (SELECT DISTINCT v FROM (SELECT unnest([substr(seq, i, 9), {RC.format('substr(seq, i, 9)')}]) AS v FROM (SELECT seq, unnest(generate_series(1, length(seq) - 8)) AS i FROM en))),
 l2 AS (SELECT a.v AS u, count(b.v) AS n FROM k2 a LEFT JOIN k2 b ON substr(a.v, 2) = substr(b.v, 1, 8) GROUP BY a.v)
 SELECT n AS n_next, count(*) AS n_nodes, bit_xor(CAST(('0x' || substr(md5(u), 1, 15)) AS BIGINT)) AS all_nodes FROM l2 GROUP BY n""")
@@ -105,7 +112,7 @@ def guided_paths(spark, sf):
     pairs = graph.kept(kmers.kmers(tiles, KG, ["color"]).join(index, "kmer").select("unitig_id", "color").distinct())
     links = graph.kept(walks.supported_steps(walks.steps(both, KG, 1000), both, pairs))
     chosen = gaps.select("gap", "item_id", "a").join(tiles, "item_id").where(f"tile < a + {WIDTH} and a < tile + {TILE}").select("gap", "color")
-    return _closest(walks.walk(gaps, both, links, KG, graph.kept(walks.allowed(chosen, both, pairs))))
+    return _closest(walks.walk(gaps, both, links, KG, (graph.kept(chosen), pairs, 2)))
 
 
 @query("""WITH RECURSIVE g AS (SELECT o_custkey AS gap, max(200 + o_orderkey % 400) AS n FROM orders GROUP BY 1), w AS (SELECT DISTINCT o_custkey AS gap, o_orderkey * 7 % 400 AS p FROM orders),

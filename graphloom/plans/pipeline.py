@@ -79,8 +79,19 @@ def both_unitigs(short: DataFrame, params: Params) -> tuple[tuple[DataFrame, Dat
     return graph.unitigs(kmers.solid(inner, 1), params.k), long_tigs
 
 
-def colored_graph(tigs: DataFrame, index: DataFrame, reads: DataFrame, k: int, params: Params, once: bool = True) -> Graph:
-    """The graph with the colours of reads (color, seq). once: of reads that visit the same unitigs one gives its colour."""
+def side_by_side(long_tigs: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(u, v): unitigs that follow one another in the unitigs of a greater length, both ways round."""
+    hits = kmers.kmers(long_tigs, k, ["unitig_id"]).select("kmer", F.col("unitig_id").alias("whole"), "pos").join(index.select("kmer", "unitig_id"), "kmer").select("whole", "pos", F.col("unitig_id").alias("u"))
+    after = hits.select("whole", (F.col("pos") - 1).alias("pos"), F.col("u").alias("v"))
+    pairs = hits.join(after, ["whole", "pos"]).where("u != v").select("u", "v")
+    return pairs.union(pairs.select("v", "u")).distinct()
+
+
+def colored_graph(tigs: DataFrame, index: DataFrame, reads: DataFrame, k: int, params: Params, once: bool = True, adjacent: DataFrame | None = None) -> Graph:
+    """The graph with the colours of reads (color, seq). once: of reads that visit the same unitigs one gives its colour.
+
+    adjacent: (u, v) of unitigs whose link gets two colours of its own where it has too few; it isn't a supported one for that.
+    """
     hits = kmers.kmers(reads, k, ["color"]).select("color", "kmer").join(index.select("kmer", "unitig_id"), "kmer").groupBy("unitig_id", "color").agg(F.count(F.lit(1)).alias("n"))
     hits = graph.kept(hits)
     pairs = hits.select("unitig_id", "color")
@@ -95,6 +106,9 @@ def colored_graph(tigs: DataFrame, index: DataFrame, reads: DataFrame, k: int, p
     cov = hits.groupBy("unitig_id").agg(F.sum("n").alias("n")).join(tigs.select("unitig_id", "n_kmers"), "unitig_id", "right")
     stats = cov.select("unitig_id", F.round(F.coalesce("n", F.lit(0)) / F.col("n_kmers")).alias("cov")).join(branching, "unitig_id", "left").na.fill(False, ["branching"])
     supported = graph.kept(walks.supported_steps(links, both, pairs, params.least_colors))
+    if adjacent is not None:
+        made = colors.synthetic_links(walks.unitig_links(links, both).join(walks.unitig_links(supported, both), ["u", "v"], "left_anti"), adjacent)
+        pairs = graph.kept(pairs.union(made.select("v", "color")).distinct())
     return Graph(tigs, index, both, supported, pairs, graph.kept(stats), k)
 
 
@@ -102,8 +116,7 @@ def seeds(g: Graph, reads: DataFrame, params: Params, step: Pass) -> tuple[DataF
     """Solid and weak anchors of reads. The second pass has no weak ones, as no stretch is searched for inexact hits."""
     exact = graph.kept(seeding.exact_hits(reads, g.index, g.k))
     solid = regions.without_overlaps(exact, "read_id", g.k)
-    of = g.both.select("v", "unitig_id")
-    ends = g.links.join(of.select(F.col("v").alias("u"), F.col("unitig_id").alias("a")), "u").join(of.withColumnRenamed("unitig_id", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    ends = walks.unitig_links(g.links, g.both)
     solid = graph.kept(guided.anchors(regions.color_consistent(solid, g.pairs.withColumnRenamed("unitig_id", "v"), ends, "read_id", params.least_colors), g.tigs))
     if step.second:
         return solid, solid.limit(0)
@@ -140,8 +153,7 @@ def correct_pass(g: Graph, long: DataFrame, params: Params, step: Pass) -> DataF
     candidates = guided.color_candidates(todo, solid, weak, g.stats, params.insert, max(params.top_coverage, top.value if top else 0.0))
     chosen = graph.kept(guided.chosen_colors(candidates, g.pairs, params.least_colors))
     todo = graph.kept(todo.join(chosen.select("gap").distinct(), "gap", "left_semi"))
-    allowed = graph.kept(walks.allowed(chosen, g.both, g.pairs, params.least_colors))
-    fixed = guided.corrected_gaps(todo, guided.in_gaps(todo, weak, k), g.both, g.links, allowed, k, step.longest, params.max_qual, step.window, params.beam)
+    fixed = guided.corrected_gaps(todo, guided.in_gaps(todo, weak, k), g.both, g.links, (chosen, g.pairs, params.least_colors), k, step.longest, params.max_qual, step.window, params.beam)
     best = chr(QUAL_BASE + params.max_qual)
     filled = on_one.where("path is not null").select("gap", F.col("path").alias("seq"), F.expr(f"repeat('{best}', length(path))").alias("qual"))
     return guided.stitched(reads, solid, gaps, fixed.union(filled), k, params.max_qual)
@@ -172,7 +184,7 @@ def first_graph(short: DataFrame, params: Params) -> tuple[Graph, DataFrame]:
     """The coloured graph of the first length, and the unitigs of the second."""
     short = graph.kept(read_colors(short))
     (tigs, index), (long_tigs, _) = both_unitigs(short, params)
-    return colored_graph(tigs, index, short, params.k, params, params.collapse), long_tigs
+    return colored_graph(tigs, index, short, params.k, params, params.collapse, side_by_side(long_tigs, index, params.k)), long_tigs
 
 
 def second_graph(tigs: DataFrame, corrected: DataFrame, params: Params, accurate: DataFrame | None = None) -> Graph:

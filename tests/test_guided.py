@@ -75,10 +75,12 @@ def test_colors_close_the_other_way(spark):
     a, b = at[raw[:K]], at[raw[-K:]]
     gap = spark.createDataFrame([("x", "x", raw, a.v, a.off, b.v, b.off)], GAP)
     assert walks.walk(gap, both, links, K).first().path == raw
-    own = {at[g[i : i + K]].v for i in range(186)}
-    only = spark.createDataFrame([("x", v) for v in own], "gap string, v long")
-    assert walks.walk(gap, both, links, K, only).first().path == g[50:150]
-    assert walks.walk(gap, both, links, K, only.limit(0)).count() == 0
+    own = {at[g[i : i + K]].unitig_id for i in range(186)}
+    pairs = spark.createDataFrame([(u, c) for u in own for c in (1, 2)] + [(at[other[90 : 90 + K]].unitig_id, 2)], "unitig_id long, color long").distinct()
+    chosen = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "gap string, color long")
+    assert walks.walk(gap, both, links, K, (chosen, pairs, 2)).first().path == g[50:150]
+    assert walks.walk(gap, both, links, K, (chosen, pairs, 1)).first().path == raw
+    assert walks.walk(gap, both, links, K, (chosen.where("color = 1"), pairs, 2)).count() == 0
 
 
 def parts(spark, g, raw, start, stop, weak, at):

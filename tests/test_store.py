@@ -86,6 +86,18 @@ def test_command_line(spark, tmp_path):
     assert text[1::4] == [genome, genome[:200]] and text[0::4] == ["@b", "@a"]
 
 
+def test_unitigs_side_by_side(spark):
+    a, r, b, c, d = (drawn(40, i) for i in range(5))
+    r = r[:20]  # longer than k, shorter than k2
+    short = spark.createDataFrame([(x,) for x in (a + r + b, a + r + b, c + r + d, c + r + d)], "seq string")
+    (tigs, index), (long_tigs, _) = pipeline.both_unitigs(short, pipeline.Params(k=15, k2=31))
+    got = {frozenset((x.u, x.v)) for x in pipeline.side_by_side(long_tigs, index, 15).collect()}
+    name = {k.kmer: k.unitig_id for k in index.collect()}
+    tig = lambda s: name[s[:15]]
+    assert long_tigs.count() == 2 and tigs.count() == 5
+    assert got == {frozenset((tig(x), tig(r))) for x in (a, b, c, d)}
+
+
 def test_unmapped_reads_are_rescued(spark):
     long, known = drawn(400, 1), drawn(100, 2)
     short = spark.createDataFrame([("k", known), ("k2", known)], "name string, seq string")
