@@ -155,8 +155,9 @@ def edges(spark, sf):
 
 @query(f"WITH {_SOLID}, i AS (SELECT v, count(*) AS n FROM edge GROUP BY v), o AS (SELECT u AS v, count(*) AS n FROM edge GROUP BY u) SELECT coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) > 1 OR coalesce(o.n, 0) > 1 AS branching, count(*) AS n FROM node LEFT JOIN i USING (v) LEFT JOIN o USING (v) GROUP BY 1, 2, 3")
 def degree_branching(spark, sf):
-    nodes, links = _graph(spark, sf)
-    return graph.degrees(nodes, links).groupBy("n_in", "n_out", "branching").agg(F.count(F.lit(1)).alias("n"))
+    per = junctions.degrees(junctions.junctions(reads(spark, sf), K), K).groupBy("n_in", "n_out").agg(F.count(F.lit(1)).alias("n"))
+    both = per.union(per.select("n_out", "n_in", "n")).select(*(F.col(c).cast("long").alias(c) for c in ("n_in", "n_out")), "n")
+    return both.groupBy("n_in", "n_out", F.expr("n_in > 1 or n_out > 1").alias("branching")).agg(F.sum("n").alias("n"))
 
 
 _LONG = sql_kmers("benchmark", "item_id").replace("s AS", "ls AS", 1).replace("km AS", "lk AS", 1).replace("FROM s ", "FROM ls ")
