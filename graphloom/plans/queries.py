@@ -261,9 +261,7 @@ def edge_support(spark, sf):
 
 @query(f"WITH {_SOLID} SELECT doc_id, count(*) AS n_solid, CAST(round(sum(n) * 1.0 / count(*)) AS BIGINT) AS coverage FROM km JOIN solid USING (rep) GROUP BY doc_id")
 def kmer_coverage(spark, sf):
-    per = doc_kmers(spark, sf).select("doc_id", "rep").repartition("rep").groupBy("doc_id", "rep").agg(F.count(F.lit(1)).alias("c"))  # one exchange for all that follows
-    solid = per.groupBy("rep").agg(F.sum("c").alias("n")).where("n >= 2")
-    found = per.join(solid, "rep").groupBy("doc_id").agg(F.sum("c").alias("n_solid"), F.sum(F.col("c") * F.col("n")).alias("total"))
+    found = packed.coverage(reads(spark, sf), K, "doc_id").where("n_solid > 0").withColumnRenamed("key", "doc_id")
     return found.select("doc_id", "n_solid", dna.rounded_coverage(F.col("total"), F.col("n_solid")).alias("coverage"))
 
 
