@@ -287,8 +287,8 @@ _PAGE = sql_kmers("pages", "page_id", K, "html").replace("s AS", "ps AS", 1).rep
 @query(f"WITH {sql_kmers()}, w AS (SELECT DISTINCT rep FROM km), {_PAGE}, {_LONG}, many AS (SELECT rep FROM lk GROUP BY rep HAVING count(*) >= 2) SELECT page_id, count(*) AS n FROM pk WHERE rep IN (SELECT rep FROM w) AND rep NOT IN (SELECT rep FROM many) GROUP BY page_id HAVING count(*) >= 31")
 def rescue_reads(spark, sf):
     """Pages with 31 or more k-mers of the documents, not counting those that benchmark has twice."""
-    pages = kmers.kmers(reads(spark, sf, "pages", "page_id", "html"), K, ["page_id"])
-    return colors.rescued(pages, doc_kmers(spark, sf), kmers.solid(_long(spark, sf)), "page_id")
+    pages = reads(spark, sf, "pages", "page_id", "html")
+    return packed.rescued(pages, reads(spark, sf), _long(spark, sf), K, "page_id").withColumnRenamed("key", "page_id")
 
 
 @query(f"WITH {_SOLID}, m AS (SELECT v, p, substr(v, 1, p - 1) || substr(v, p + 1) AS rest FROM (SELECT v, unnest(generate_series(1, {K})) AS p FROM node)), g AS (SELECT p, rest, bit_or(1 << (instr('ACGT', substr(v, p, 1)) - 1)) AS bases, count(*) AS n FROM m GROUP BY p, rest HAVING count(*) > 1) SELECT CAST(p - 1 AS INT) AS pos, CAST(bases AS INT) AS bases, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2")
