@@ -293,8 +293,7 @@ def rescue_reads(spark, sf):
 
 @query(f"WITH {_SOLID}, m AS (SELECT v, p, substr(v, 1, p - 1) || substr(v, p + 1) AS rest FROM (SELECT v, unnest(generate_series(1, {K})) AS p FROM node)), g AS (SELECT p, rest, bit_or(1 << (instr('ACGT', substr(v, p, 1)) - 1)) AS bases, count(*) AS n FROM m GROUP BY p, rest HAVING count(*) > 1) SELECT CAST(p - 1 AS INT) AS pos, CAST(bases AS INT) AS bases, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2")
 def snp_candidates(spark, sf):
-    nodes, _ = _graph(spark, sf)
-    return graph.snp_candidates(nodes, K).groupBy("pos", F.col("bases").cast("int").alias("bases")).agg(F.count(F.lit(1)).alias("n"))
+    return junctions.snp_candidates(packed.counts(reads(spark, sf), K, 2), K).groupBy("pos", "bases").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH b AS (SELECT DISTINCT doc_id % 97 AS block, quality AS type FROM labels) SELECT block, type, dense_rank() OVER (ORDER BY block) - 1 AS block_id, dense_rank() OVER (ORDER BY type) - 1 AS type_id, 2 * (dense_rank() OVER (ORDER BY block) - 1) + dense_rank() OVER (ORDER BY type) - 1 AS hap_id FROM b")
