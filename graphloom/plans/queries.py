@@ -61,8 +61,8 @@ def kmer_counts(spark, sf):
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n, count(DISTINCT doc_id) AS d FROM km GROUP BY rep) SELECT least(d, 20) AS n_docs, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n_found FROM c WHERE n >= 2 GROUP BY 1")
 def solid_kmers(spark, sf):
     """Solid k-mers by the number of documents (20 and over together)."""
-    per = doc_kmers(spark, sf).groupBy("rep", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("rep").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
-    return per.where("n >= 2").groupBy(F.least("d", F.lit(20)).alias("n_docs")).agg(F.count(F.lit(1)).alias("n_kmers"), F.sum("n").alias("n_found"))
+    per = packed.counts_by_reads(reads(spark, sf), K, "doc_id", 2)
+    return per.groupBy(F.least("d", F.lit(20)).alias("n_docs")).agg(F.count(F.lit(1)).alias("n_kmers"), F.sum("n").alias("n_found"))
 
 
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n FROM km GROUP BY rep) SELECT n, count(*) AS n_kmers FROM c GROUP BY n")
