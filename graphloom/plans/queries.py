@@ -252,11 +252,9 @@ def color_jaccard(spark, sf):
 @query(f"WITH {_SOLID}, vis AS (SELECT DISTINCT kmer AS v, doc_id FROM km UNION SELECT DISTINCT {RC.format('kmer')}, doc_id FROM km), sh AS (SELECT u, edge.v, count(*) AS n FROM edge JOIN vis a ON a.v = edge.u JOIN vis b ON b.v = edge.v AND a.doc_id = b.doc_id GROUP BY u, edge.v) SELECT coalesce(sh.n, 0) >= 2 AS supported, count(*) AS n, bit_xor(CAST(('0x' || substr(md5(u || v), 1, 15)) AS BIGINT)) AS all_links FROM edge LEFT JOIN sh USING (u, v) GROUP BY 1")
 def edge_support(spark, sf):
     """Links of the graph whose ends share two documents or more."""
-    km = doc_kmers(spark, sf)
-    solid = graph.kept(kmers.solid(km))
-    nodes = graph.kept(graph.oriented(solid))
-    visits = km.join(solid.select("rep"), "rep").select(F.explode(F.array("rep", dna.revcomp(F.col("rep")))).alias("v"), "doc_id").distinct()
-    return colors.supported(graph.edges(nodes, K), visits, "doc_id").groupBy("supported").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.md5(F.concat("u", "v")), 1, 15), 16, 10).cast("long")).alias("all_links"))
+    links = junctions.supported_links(reads(spark, sf), K, "doc_id")
+    both = F.concat(packed.letters(F.col("u"), K), packed.letters(F.col("v"), K))
+    return links.groupBy((F.col("shared") >= 2).alias("supported")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")).alias("all_links"))
 
 
 @query(f"WITH {_SOLID} SELECT doc_id, count(*) AS n_solid, CAST(round(sum(n) * 1.0 / count(*)) AS BIGINT) AS coverage FROM km JOIN solid USING (rep) GROUP BY doc_id")
