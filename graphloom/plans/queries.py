@@ -72,7 +72,8 @@ def kmer_spectrum(spark, sf):
 
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n FROM km GROUP BY rep) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS f0, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS f1 FROM c")
 def distinct_kmers(spark, sf):
-    return kmers.cardinality(kmers.counts(doc_kmers(spark, sf)))
+    per, n = packed.spectrum(reads(spark, sf), K), F.col("n_kmers")
+    return per.agg(F.sum(F.col("n") * n).alias("total"), F.coalesce(F.sum(n), F.lit(0)).alias("f0"), F.sum(F.when(F.col("n") == 1, n).otherwise(0)).alias("f1"))
 
 
 _P = "((length(seq) - length(replace(seq, '{0}', ''))) * 1.0 / length(seq))"
