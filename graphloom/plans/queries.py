@@ -55,7 +55,7 @@ def doc_kmers(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n FROM km GROUP BY rep) SELECT rep, n FROM c WHERE n >= 20")
 def kmer_counts(spark, sf):
     """Canonical k-mers found 20 times or more."""
-    return kmers.solid(doc_kmers(spark, sf), 20)
+    return packed.counts(reads(spark, sf), K, 20).select(packed.letters(F.col("rep"), K).alias("rep"), "n")
 
 
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n, count(DISTINCT doc_id) AS d FROM km GROUP BY rep) SELECT least(d, 20) AS n_docs, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n_found FROM c WHERE n >= 2 GROUP BY 1")
