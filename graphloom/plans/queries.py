@@ -67,7 +67,7 @@ def solid_kmers(spark, sf):
 
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n FROM km GROUP BY rep) SELECT n, count(*) AS n_kmers FROM c GROUP BY n")
 def kmer_spectrum(spark, sf):
-    return kmers.spectrum(kmers.counts(doc_kmers(spark, sf)))
+    return packed.spectrum(reads(spark, sf), K)
 
 
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n FROM km GROUP BY rep) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS f0, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS f1 FROM c")
