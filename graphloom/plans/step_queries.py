@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import align, dna
-from graphloom.operators import colors, correction, graph, kmers, ordering, phasing, regions
-from graphloom.plans.queries import _IN_REFERENCE, _NOISY, ENC, K, RC, _called, _in_reference, _noisy_reads, doc_kmers, query, reads, sql_kmers, table
+from graphloom.operators import colors, correction, graph, kmers, ordering, packed, phasing, regions
+from graphloom.plans.queries import _IN_REFERENCE, _NOISY, ENC, K, RC, _called, _in_reference, _noisy_reads, query, reads, sql_kmers, table
 from graphloom.sources import fastx
 
 
@@ -221,11 +221,12 @@ p AS (SELECT g.*, substr(s.seq, x + 1, y - x + {K}) AS piece FROM g JOIN s USING
 SELECT item_id, start, stop, CASE WHEN strand THEN piece ELSE {RC.format('piece')} END AS path FROM p WHERE length(piece) >= n_raw * 0.75 AND length(piece) <= n_raw * 1.25""")
 def same_vertex_paths(spark, sf):
     """Gaps of noisy long reads whose anchors lie on one document, at k-mers of one place, and the document between them."""
-    one = doc_kmers(spark, sf).groupBy("rep").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("doc_id", "pos", "kmer"))).where("n = 1")
-    one = one.select("rep", "doc_id", F.col("pos").alias("dist"), F.col("kmer").alias("own"))
     long = _noisy_reads(spark, sf).withColumnRenamed("item_id", "read_id")
-    found = graph.kept(kmers.kmers(long, K, ["read_id"]).join(one, "rep"))  # read for the gaps and for both ends
-    at = found.select("read_id", "pos", "doc_id", "dist", (F.col("own") == F.col("kmer")).alias("strand"))
+    one = packed.places(reads(spark, sf), long, K, "doc_id", 1)
+    one = one.select("rep", F.col("key").alias("doc_id"), F.col("pos").alias("dist"), "fwd")
+    own = kmers.kmers(long, K, ["read_id"]).select("read_id", "pos", "kmer", (F.col("kmer") == F.col("rep")).alias("own"), packed.packed(F.col("rep")).alias("rep"))
+    found = graph.kept(own.join(one, "rep"))  # read for the gaps and for both ends
+    at = found.select("read_id", "pos", "doc_id", "dist", (F.col("own") == F.col("fwd")).alias("strand"))
     gaps = correction.regions(found.select("read_id", "pos", "kmer"), long, K)
     side = lambda name, place: at.select("read_id", F.col("pos").alias(place), F.col("doc_id").alias(f"{name}_id"), F.col("dist").alias(f"{name}_dist"), F.col("strand").alias(f"{name}_strand"))
     known = gaps.join(side("left", "start"), ["read_id", "start"]).join(side("right", "stop"), ["read_id", "stop"])
