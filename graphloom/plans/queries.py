@@ -166,12 +166,17 @@ _LONG = sql_kmers("benchmark", "item_id").replace("s AS", "ls AS", 1).replace("k
 
 
 def _long(spark, sf):
-    return kmers.kmers(reads(spark, sf, "benchmark", "item_id"), K, ["item_id"])
+    return reads(spark, sf, "benchmark", "item_id")
+
+
+def _long_kmers(long):
+    """Their k-mers by place, the canonical ones packed."""
+    return kmers.kmers(long, K, ["item_id"]).withColumn("rep", packed.packed(F.col("rep")))
 
 
 def _of_long(spark, sf, long):
-    """Occurrences in the documents of k-mers that the long reads have; all others needn't be counted."""
-    return doc_kmers(spark, sf).join(long.select("rep").distinct(), "rep", "left_semi")
+    """(rep, n): k-mers of the long reads that the documents have, packed, and how often."""
+    return packed.shared(reads(spark, sf), long, K).where("n > 0").select("rep", "n")
 
 
 def _noisy_reads(spark, sf):
@@ -191,7 +196,7 @@ lk AS (SELECT *, least(kmer, {RC.format("kmer")}) AS rep FROM (
 @query(f"WITH {sql_kmers()}, c AS (SELECT rep, count(*) AS n FROM km GROUP BY rep), {_LONG} SELECT item_id, count(*) AS n_kmers, count(c.rep) AS n_hit, CAST(sum(CASE WHEN c.n >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_solid FROM lk LEFT JOIN c USING (rep) GROUP BY item_id")
 def read_kmer_hits(spark, sf):
     long = _long(spark, sf)
-    found = long.join(kmers.counts(_of_long(spark, sf, long)), "rep", "left")
+    found = _long_kmers(long).join(_of_long(spark, sf, long), "rep", "left")
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_kmers"), F.count("n").alias("n_hit"), F.sum((F.coalesce("n", F.lit(0)) >= 2).cast("long")).alias("n_solid"))
 
 
@@ -199,8 +204,8 @@ _RUNS = f"WITH {sql_kmers()}, c AS (SELECT DISTINCT rep FROM km), {_NOISY}, h AS
 
 
 def _runs(spark, sf):
-    long = kmers.kmers(_noisy_reads(spark, sf), K, ["item_id"])
-    return kmers.islands(kmers.hits(long, _of_long(spark, sf, long).select("rep").distinct()), "item_id")  # a passage may stand in one document alone
+    long = _noisy_reads(spark, sf)
+    return kmers.islands(kmers.hits(_long_kmers(long), _of_long(spark, sf, long).select("rep")), "item_id")  # a passage may stand in one document alone
 
 
 @query(f"{_RUNS} SELECT item_id, start, stop, n FROM r")
@@ -405,10 +410,10 @@ n AS (SELECT item_id, pos, kmer, substr(kmer, 1, i - 1) || b || substr(kmer, i +
 SELECT item_id, pos, count(DISTINCT near) AS n FROM n JOIN solid ON solid.rep = least(near, {RC.format("near")}) WHERE near != kmer GROUP BY item_id, pos""")
 def inexact_hits(spark, sf):
     """Places of noisy long reads whose k-mer the documents don't have but is one edit from one that they have."""
-    solid = graph.kept(doc_kmers(spark, sf).select("rep").distinct())  # read twice
-    weak = kmers.kmers(_noisy_reads(spark, sf), K, ["item_id"]).join(solid, "rep", "left_anti")
-    near = kmers.neighbourhood(weak, K, ["item_id"])
-    return kmers.hits(near, solid).groupBy("item_id", F.col("pos").cast("long").alias("pos")).agg(F.countDistinct("near").alias("n"))
+    long, docs = _noisy_reads(spark, sf), reads(spark, sf)
+    weak = _long_kmers(long).join(_of_long(spark, sf, long), "rep", "left_anti")
+    near = packed.near_hits(weak.select((F.col("item_id") * (1 << 32) + F.col("pos")).alias("key"), "kmer"), docs, K)
+    return near.select(F.shiftright("key", 32).alias("item_id"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "n")
 
 
 @query()
