@@ -329,7 +329,8 @@ def _in_reference(spark, sf):
     """Names of the parts of a size as DNA, beside that of the first part of the size."""
     p = table(spark, sf, "part").select("p_size", "p_partkey", dna.encode_seq(F.col("p_name")).alias("seq"))
     first = p.groupBy("p_size").agg(F.min(F.struct("p_partkey", "seq")).alias("f")).select("p_size", F.col("f.p_partkey").alias("first"), F.col("f.seq").alias("reference"))
-    return p.join(first, "p_size").where("p_partkey != first")
+    # one small file is one split; alignment wants more
+    return p.join(first, "p_size").where("p_partkey != first").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
 
 
 _IN_REFERENCE = f"""p AS (SELECT p_size, p_partkey, {ENC.format('p_name')} AS seq FROM part), f AS (SELECT p_size, min(p_partkey) AS first FROM p GROUP BY p_size),

@@ -70,3 +70,22 @@ def test_best_aligned_cuts_and_takes_the_first(spark):
     df = spark.createDataFrame(rows, "g int, o int, t string, r string")
     assert sorted((r.g, r.score, r.order) for r in align.best_aligned(df, ["g"], "t", "r", "o", "SHW", 0.5).collect()) == [(1, 0.0, 3)]
     assert sorted((r.g, r.score, r.order) for r in align.best_aligned(df, ["g"], "t", "r", "o", "HW", 0.5).collect()) == [(1, 0.0, 3), (3, 0.0, 1)]
+
+
+def test_many_alignments_at_once(spark):
+    import random
+
+    from graphloom.functions import align
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("ACGTN", k=n))
+    pairs = [(word(rng.randrange(30)), word(rng.randrange(40))) for _ in range(300)] + [("ACGT", "é"), ("A" * 500, "C" * 700), (None, "A"), ("A", None)]
+    some = [p for p in pairs if p[0] and p[1]]
+    assert all((a == align.matrix(*p, True)).all() for p, a in zip(some, align.matrices(some, True, 5000), strict=True))
+    df = spark.createDataFrame(pairs, "q string, t string").repartition(2)
+    for mode in ("NW", "SHW", "HW"):
+        for r in df.select("q", "t", align.alignment(F.col("q"), F.col("t"), mode).alias("x"), align.distance(F.col("q"), F.col("t"), mode).alias("y")).collect():
+            if r.q is None or r.t is None:
+                assert r.x.dist is None and r.y.dist is None
+            else:
+                assert r.x.asDict() == align.align(r.q, r.t, mode) and (r.y.dist, r.y.ends) == (r.x.dist, r.x.ends)
