@@ -193,7 +193,7 @@ def path_snps(spark, sf):
 @query(f"WITH {_IN_REFERENCE}, d AS (SELECT p_partkey, j, levenshtein(seq, substr(reference, 1, j)) AS n FROM (SELECT *, unnest(generate_series(0, length(reference))) AS j FROM c)), m AS (SELECT p_partkey, min(n) AS least FROM d GROUP BY p_partkey) SELECT p_partkey, CAST(least AS INT) AS dist, string_agg(CAST(j - 1 AS VARCHAR), ',' ORDER BY j) AS ends FROM d JOIN m USING (p_partkey) WHERE n = least GROUP BY 1, 2")
 def prefix_alignments(spark, sf):
     """Distances of names to starts of a reference, and all ends of the best ones."""
-    x = align.alignment(F.col("seq"), F.col("reference"), "SHW")
+    x = align.distance(F.col("seq"), F.col("reference"), "SHW")
     return _in_reference(spark, sf).where("length(seq) > 0").select("p_partkey", x.alias("x")).select("p_partkey", "x.dist", F.array_join("x.ends", ",").alias("ends"))
 
 
