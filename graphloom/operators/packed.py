@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 SLOTS = 1 << 16
 NO_KEY = -(1 << 63)  # stands for null
-SLICE = 1_000_000  # letters, or k-mers, that are worked on together
+SLICE = 1 << 17  # letters, or k-mers, that are worked on together
 _CODE = np.full(256, 4, np.uint8)
 _CODE[list(b"ACGT")] = range(4)
 _U = np.uint64
