@@ -39,17 +39,27 @@ def incompatible(hits: DataFrame, read: str, insert: int, share: float = 0.85, m
 
     hits: (read, pos, colors), colors distinct, of vertices that don't branch; sets of over ``most`` colours are left out. Two sets fit if they share
     ``share`` of both. Places are judged in order and voided ones count no more: a place without a fitting one goes if there is any place far after it,
-    or one far before it that stays. Only sets of a read that share a colour are joined, each with its first and last place, not all places with all.
+    or one far before it that stays. Hits are dealt once, by read, and what follows stays in the read's row: its distinct sets with their places.
     """
-    hits = hits.where(F.size("colors") <= most)
-    sets = hits.groupBy(read, F.sort_array("colors").alias("colors")).agg(F.min("pos").alias("first"), F.max("pos").alias("last")).withColumn("id", F.xxhash64("colors"))
-    each = sets.select(read, "id", F.size("colors").alias("n"), "first", "last", F.explode("colors").alias("color"))
-    other = each.select(read, "color", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("first").alias("first2"), F.col("last").alias("last2"))
-    shared = each.join(other, [read, "color"]).groupBy(read, "id", "id2").agg(F.count(F.lit(1)).alias("both"), *(F.first(c).alias(c) for c in ("n", "n2", "first2", "last2")))
-    fits = shared.where((F.col("both") >= share * F.col("n")) & (F.col("both") >= share * F.col("n2")))
-    reach = fits.groupBy(read, "id").agg(F.min("first2").alias("first2"), F.max("last2").alias("last2"))
-    far = (F.col("pos") - F.col("first2") > insert) | (F.col("last2") - F.col("pos") > insert)
-    places = hits.withColumn("id", F.xxhash64(F.sort_array("colors"))).join(reach, [read, "id"], "left").select(read, "pos", F.coalesce(far, F.lit(False)).alias("fits"))
-    ends = places.groupBy(read).agg(F.max("pos").alias("last"), F.min(F.when(F.col("fits"), F.col("pos"))).alias("stays"))
+    own = hits.where(F.size("colors") <= most).select(read, "pos", F.sort_array("colors").alias("colors")).where(F.col(read).isNotNull()).repartition(read)
+    sets = own.groupBy(read, "colors").agg(F.collect_list("pos").alias("at"))
+    one = F.struct(F.col("colors").alias("c"), F.array_min("at").alias("first"), F.array_max("at").alias("last"), "at")
+    rows = sets.groupBy(read).agg(F.collect_list(one).alias("sets"))
+
+    def fit(s, t):
+        n, m = F.size(s.c), F.size(t.c)
+        both = F.size(F.array_intersect(s.c, t.c))
+        # sizes first: they tell most pairs without looking at the colours
+        return (m >= share * n) & (n >= share * m) & (both > 0) & (both >= share * n) & (both >= share * m)
+
+    kind = sets.schema["at"].dataType.elementType
+    none = F.struct(F.lit(None).cast(kind).alias("first"), F.lit(None).cast(kind).alias("last"))
+    reach = lambda s: F.aggregate("sets", none, lambda x, t: F.when(fit(s, t), F.struct(F.least(x.first, t.first).alias("first"), F.greatest(x.last, t.last).alias("last"))).otherwise(x))
+    reached = rows.select(read, F.transform("sets", lambda s: F.struct(s["at"].alias("at"), reach(s).alias("r"))).alias("sets"))
+    far = lambda p, r: F.coalesce((p - r.first > insert) | (r.last - p > insert), F.lit(False))
+    places = reached.select(read, F.flatten(F.transform("sets", lambda s: F.transform(s["at"], lambda p: F.struct(p.alias("pos"), far(p, s.r).alias("fits"))))).alias("places"))
+    of = lambda x: F.transform(x, lambda p: p.pos)
+    ends = places.select(read, "places", F.array_max(of("places")).alias("last"), F.array_min(of(F.filter("places", lambda p: p.fits))).alias("stays"))
+    each = ends.select(read, "last", "stays", F.explode("places").alias("p")).select(read, "p.*", "last", "stays")
     gone = (F.col("last") - F.col("pos") > insert) | F.coalesce(F.col("pos") - F.col("stays") > insert, F.lit(False))
-    return places.join(ends, read).where(~F.col("fits") & gone).select(read, "pos").distinct()
+    return each.where(~F.col("fits") & gone).select(read, "pos").distinct()

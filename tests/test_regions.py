@@ -83,3 +83,9 @@ def test_ambiguity_takes_the_reads_base(spark):
 def test_cycles_are_put_in_while_edits_fall():
     assert regions.insert_cycles("XABY", ["ABA"], "XABABABY".replace("X", "X")) == "XABABABY"
     assert regions.insert_cycles("XABY", ["ACA"], "XABY") == "XABY"
+
+
+def test_incompatible_deals_hits_once(spark):
+    hits = spark.range(100).selectExpr("id % 7 AS read", "id AS pos", "array(id % 3, id % 2 + 5) AS colors")
+    plan = phasing.incompatible(hits, "read", 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
