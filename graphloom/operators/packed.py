@@ -292,6 +292,44 @@ def counts(reads: DataFrame, k: int, least: int = 1, seq_col: str = "seq") -> Da
     return by_slots(super_kmers(reads, k, seq_col=seq_col).drop("key", "pos"), k, fold, "rep long, n long")
 
 
+def least_kmers(reads: DataFrame, k: int, keep: list[str], seq_col: str = "seq") -> DataFrame:
+    """(keep, head): the least canonical k-mer of each read, packed; reads without any have no row. Nothing is shuffled."""
+    if k > 31:
+        raise ValueError("k-mers of over 31 letters don't fit in a long")
+
+    def least(flat: np.ndarray) -> np.ndarray:
+        """At each place the canonical k-mer, the greatest number where there is none."""
+        code = _CODE[flat]
+        wrong = np.concatenate([[0], np.cumsum(code > 3)])
+        one = np.where(code > 3, 0, code).astype(np.uint64)
+        x = np.minimum(_windows(one, k, _forward(np.uint64)), _windows(one ^ _U(3), k, _backward(np.uint64)))[: len(flat) - k + 1]
+        return np.where(wrong[k:] == wrong[:-k], x, ~_U(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq = b.column("seq").cast(pa.large_binary())
+            offsets = np.frombuffer(seq.buffers()[1], np.int64)[seq.offset : seq.offset + len(seq) + 1]
+            data = np.frombuffer(seq.buffers()[2] or b"", np.uint8)
+            head = np.full(len(seq), ~_U(0))
+            a = 0
+            while a < len(seq):
+                z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+                for start in range(offsets[a], offsets[z], SLICE):  # a read of over a slice is gone through in stretches
+                    flat = data[start : min(start + SLICE + k - 1, offsets[z])]
+                    if len(flat) < k:
+                        continue
+                    x, own = least(flat), offsets[a : z + 1] - start
+                    of = np.repeat(np.arange(a, z), np.diff(np.clip(own, 0, len(x))))
+                    whole = np.arange(len(x)) + k <= own[of - a + 1]
+                    np.minimum.at(head, of[whole], x[whole])
+                a = z
+            some = pa.array(head != ~_U(0))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(some) for c in keep), pa.array(head[head != ~_U(0)].view(np.int64))], [*keep, "head"])
+
+    fields = ", ".join(f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in keep)
+    return reads.where(F.length(seq_col) >= k).select(*keep, F.col(seq_col).alias("seq")).mapInArrow(run, f"{fields}, head long")
+
+
 def spectrum(reads: DataFrame, k: int) -> DataFrame:
     """(n, n_kmers): how many canonical k-mers are found n times."""
 

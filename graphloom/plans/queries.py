@@ -225,7 +225,10 @@ def weak_gaps(spark, sf):
 f AS (SELECT conv_id, md5(string_agg(head, ',' ORDER BY head)) AS fingerprint FROM h GROUP BY conv_id)
 SELECT conv_id, min(conv_id) OVER (PARTITION BY fingerprint) AS kept_as FROM f""")
 def pair_fingerprint_dups(spark, sf):
-    heads = kmers.kmers(reads(spark, sf, "conversations", ["conv_id", "turn"]), K, ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.min("rep").alias("head"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", dna.encode_seq(F.col("text")).alias("seq"))
+    turns = turns.repartition("conv_id", "turn")  # as many tasks as the input takes, not one to a core
+    heads = packed.least_kmers(turns, K, ["conv_id", "turn"]).repartition("conv_id").groupBy("conv_id", "turn").agg(F.min("head").alias("head"))
+    heads = heads.withColumn("head", packed.letters(F.col("head"), K))
     return colors.duplicates(colors.pair_fingerprints(heads, "conv_id", "turn", "head"), "conv_id")
 
 

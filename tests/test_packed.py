@@ -131,3 +131,15 @@ def test_near_hits(spark, reads, rows):
             want[key] = n
     got = packed.near_hits(spark.createDataFrame(weak, "key long, kmer string"), reads, K).collect()
     assert want and {r.key: r.n for r in got} == want
+
+
+def test_least_kmers_of_odd_reads(spark, reads, rows):
+    want = sorted((str(key), min(rep(x) for _, x in kmers_of(seq))) for key, seq in rows if kmers_of(seq))
+    got = packed.least_kmers(reads, K, ["id"])
+    assert sorted((str(r.id), r.head) for r in got.select("id", packed.letters(F.col("head"), K).alias("head")).collect()) == want
+    assert "Exchange" not in packed.least_kmers(spark.range(9).selectExpr("id", "'ACGT' AS seq"), K, ["id"])._jdf.queryExecution().toString()
+    rng = random.Random(8)
+    long = "".join(rng.choices("ACGT", k=2 * packed.SLICE + 500))  # more than two stretches
+    df = spark.createDataFrame([(1, "ACGT" * 20), (2, long), (3, long[::-1])], "id int, seq string").coalesce(1)
+    got = {r.id: r.head for r in packed.least_kmers(df, K, ["id"]).select("id", packed.letters(F.col("head"), K).alias("head")).collect()}
+    assert got == {1: min(rep(x) for _, x in kmers_of("ACGT" * 20)), 2: min(rep(x) for _, x in kmers_of(long)), 3: min(rep(x) for _, x in kmers_of(long[::-1]))}
