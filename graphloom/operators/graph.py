@@ -15,6 +15,11 @@ def kept(df: DataFrame) -> DataFrame:
     return stored(df, "graph")
 
 
+def dealt(rows: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """The rows by key, about ``most`` in a partition: for what grows manifold before it is grouped by the key again, in a task's memory."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most)), key)
+
+
 def oriented(solid: DataFrame) -> DataFrame:
     """(v): both strands of each solid k-mer (rep)."""
     return solid.select(F.explode(F.array("rep", revcomp(F.col("rep")))).alias("v")).distinct()
@@ -153,9 +158,10 @@ def mapped_ambiguity(snps: DataFrame, mappings: DataFrame, vertex: str) -> DataF
 def path_ambiguity(steps: DataFrame, snps: DataFrame, path: str, vertex: str, length: str, inner: int = 0) -> DataFrame:
     """(path, pos, bases): ambiguous places along paths, sets of bases united where vertices overlap.
 
-    steps: (path, vertex, offset). Places within ``inner`` of either end of a path of ``length`` go.
+    steps: (path, vertex, offset). Places within ``inner`` of either end of a path of ``length`` go. Steps are dealt by path before they
+    meet the places of their vertices; where these are broadcast, nothing but steps is shuffled.
     """
-    each = steps.join(snps, vertex).select(path, (F.col("offset") + F.col("pos")).alias("pos"), "bases", length)
+    each = dealt(steps, path).join(snps, vertex).select(path, (F.col("offset") + F.col("pos")).alias("pos"), "bases", length)
     kept = each.where((F.col("pos") >= inner) & (F.col("pos") < F.col(length) - inner))
     return kept.groupBy(path, "pos").agg(F.bit_or("bases").alias("bases"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import align
 from graphloom.functions.dna import revcomp
+from graphloom.operators.graph import dealt
 from graphloom.storage import fresh_path
 
 SHARE = 0.25
@@ -59,15 +60,16 @@ def unitig_links(links: DataFrame, both: DataFrame) -> DataFrame:
 
 
 def allowed(chosen: DataFrame, both: DataFrame, pairs: DataFrame, least: int = 2, wanted: DataFrame | None = None) -> DataFrame:
-    """(gap, v): readings of unitigs that carry ``least`` of a gap's chosen colours. chosen: (gap, color), pairs: (unitig_id, color), each once.
+    """(gap, v, n): readings of unitigs that carry n, ``least`` or more, of a gap's chosen colours. chosen: (gap, color), pairs: (unitig_id, color), each once.
 
-    wanted: the (gap, v) that are asked for. With it the rows are those times a unitig's colours; without it every unitig of each chosen colour is met.
+    wanted: the (gap, v) that are asked for. With it the rows are those times a unitig's colours; without it every unitig of each chosen colour is met,
+    after the colours are dealt by gap: where pairs are broadcast, nothing but them is shuffled.
     """
     if wanted is None:
-        good = chosen.join(pairs, "color").groupBy("gap", "unitig_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        return good.select("gap", "unitig_id").join(both.select("unitig_id", "v"), "unitig_id").select("gap", "v")
+        good = dealt(chosen, "gap", 50_000).join(pairs, "color").groupBy("gap", "unitig_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        return good.join(both.select("unitig_id", "v"), "unitig_id").select("gap", "v", "n")
     own = wanted.distinct().join(both.select("v", "unitig_id"), "v").join(pairs, "unitig_id").join(chosen, ["gap", "color"])
-    return own.groupBy("gap", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("gap", "v")
+    return own.groupBy("gap", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def length_window(n: Column, k: int, share: float = SHARE) -> tuple[Column, Column]:

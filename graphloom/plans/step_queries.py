@@ -187,7 +187,7 @@ def path_snps(spark, sf):
     part = table(spark, sf, "part")
     snps = part.groupBy((F.col("p_partkey") % 200).alias("v"), F.col("p_size").cast("int").alias("pos")).agg(F.bit_or(F.expr("shiftleft(1, int(p_partkey % 4))")).alias("bases"))
     steps = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("v"), (F.col("l_linenumber") * 20).cast("int").alias("offset"), F.lit(160).alias("length"))
-    return graph.path_ambiguity(steps, snps, "l_orderkey", "v", "length", 31)
+    return graph.path_ambiguity(steps, F.broadcast(snps), "l_orderkey", "v", "length", 31)  # 200 vertices of 50 places at most
 
 
 @query(f"WITH {_IN_REFERENCE}, d AS (SELECT p_partkey, j, levenshtein(seq, substr(reference, 1, j)) AS n FROM (SELECT *, unnest(generate_series(0, length(reference))) AS j FROM c)), m AS (SELECT p_partkey, min(n) AS least FROM d GROUP BY p_partkey) SELECT p_partkey, CAST(least AS INT) AS dist, string_agg(CAST(j - 1 AS VARCHAR), ',' ORDER BY j) AS ends FROM d JOIN m USING (p_partkey) WHERE n = least GROUP BY 1, 2")

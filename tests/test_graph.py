@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import colors, correction, graph, kmers, ordering, phasing
+from graphloom.operators import colors, correction, graph, kmers, ordering, phasing, walks
 from graphloom.plans.pipeline import Params, correct_once
 from graphloom.sources import fastx
 
@@ -142,3 +142,15 @@ def test_files(spark, tmp_path):
     assert "@q1\nACGT\n+\n@III" in "".join(r.value + "\n" for r in spark.read.text(f"{tmp_path}/out.fastq").collect())
     (tmp_path / "p.tsv").write_text("#c\nr1\tH1\tb1\nr2\tnone\tb1\nbad\n")
     assert [(r.name, r.type) for r in fastx.read_phasing(spark, f"{tmp_path}/p.tsv").collect()] == [("r1", "H1")]
+
+
+def test_places_and_colours_of_broadcast_sides_are_not_shuffled(spark):
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    steps = spark.range(50).selectExpr("id % 9 AS path", "id % 4 AS v", "int(id) AS offset", "60 AS length")
+    snps = spark.range(40).selectExpr("id % 4 AS v", "int(id) AS pos", "1 AS bases")
+    assert shuffles(graph.path_ambiguity(steps, F.broadcast(snps), "path", "v", "length")) == 1
+    chosen = spark.range(50).selectExpr("id % 9 AS gap", "id AS color")
+    pairs = spark.range(400).selectExpr("id % 8 AS unitig_id", "id % 50 AS color")
+    both = spark.range(8).selectExpr("id AS unitig_id", "id AS v")
+    found = walks.allowed(chosen, F.broadcast(both), F.broadcast(pairs))
+    assert shuffles(found) == 1 and found.columns == ["gap", "v", "n"]
