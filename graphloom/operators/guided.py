@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import align
 from graphloom.functions.dna import QUAL_BASE, revcomp
 from graphloom.operators import walks
-from graphloom.operators.regions import MAX_EDITS, choose_colors, consensus
+from graphloom.operators.regions import MAX_EDITS, choose_colors_of, consensus
 from graphloom.operators.seeding import around
 from graphloom.storage import stored
 
@@ -65,8 +65,7 @@ def color_candidates(gaps: DataFrame, solid: DataFrame, weak: DataFrame, stats:
 
 def chosen_colors(candidates: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
     """(gap, color): the colours to follow through each gap; gaps with fewer than ``least`` have none. pairs: (unitig_id, color)."""
-    each = candidates.join(pairs, "unitig_id").withColumnRenamed("unitig_id", "vertex")
-    picked = choose_colors(each, ["gap"]).where(F.size("colors") >= least)
+    picked = choose_colors_of(candidates.withColumnRenamed("unitig_id", "vertex"), pairs.withColumnRenamed("unitig_id", "vertex"), "gap").where(F.size("colors") >= least)
     return picked.select("gap", F.explode("colors").alias("color"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import align
 from graphloom.functions.dna import revcomp
+from graphloom.storage import stored
 
 MAX_EDITS = 0.25
 
@@ -86,33 +87,85 @@ def choose_colors(candidates: DataFrame, region: list[str], most: int = 30, leas
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         plain = set(rows.color[~rows.branching])
-        sides = rows.groupby("color").side.nunique()
+        sides = rows.groupby("color").side.nunique().to_dict()
         sets = {v: sorted(set(c)) for v, c in rows.groupby("vertex").color}
-        order = sorted((v for v in sets if len(sets[v]) >= least), key=lambda v: (len(sets[v]), v))
-        left = {v: min(most, len(sets[v])) for v in order}
-        chosen: set[int] = set()
-        for of_plain in (True, False):
-            for tier in (3, 2, 1):
-                todo = {c for c, n in sides.items() if (c in plain) == of_plain and n == tier}
-                for v in order:
-                    if not left[v] or not todo.intersection(sets[v]):
-                        continue
-                    left[v] = min(most, len(sets[v])) - min(len(chosen.intersection(sets[v])), min(most, len(sets[v])))
-                    taken = [c for c in sets[v] if c in todo][: left[v]]
-                    chosen.update(taken)
-                    todo.difference_update(taken)
-                    left[v] -= min(len(taken), left[v])
-                if not any(left.values()):
-                    break
-        weighted = chosen & plain
-        free = len(chosen) - len(weighted)
-        weight = 2.0 * max(free / len(weighted), 1.0) if weighted else 2.0
-        return pd.DataFrame({c: [rows[c].iloc[0]] for c in region} | {"colors": [sorted(chosen)], "weighted": [sorted(weighted)], "weight": [weight]})
+        chosen, weighted, weight = _chosen(plain, sides, sets, {v: len(c) for v, c in sets.items()}, most, least)
+        return pd.DataFrame({c: [rows[c].iloc[0]] for c in region} | {"colors": [chosen], "weighted": [weighted], "weight": [weight]})
 
     names = ", ".join(f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in region)
     return candidates.groupBy(*region).applyInPandas(choose, f"{names}, colors array<long>, weighted array<long>, weight double")
 
 
+def _chosen(plain: set[int], sides: dict[int, int], sets: dict[int, list[int]], sizes: dict[int, int], most: int, least: int) -> tuple[list[int], list[int], float]:
+    """(colors, weighted, weight) by tiers. sets: colours of each vertex in order; sizes: how many it has, those not listed included."""
+    order = sorted((v for v in sets if sizes[v] >= least), key=lambda v: (sizes[v], v))
+    left = {v: min(most, sizes[v]) for v in order}
+    chosen: set[int] = set()
+    for of_plain in (True, False):
+        for tier in (3, 2, 1):
+            todo = {c for c, n in sides.items() if (c in plain) == of_plain and n == tier}
+            for v in order:
+                if not left[v] or not todo.intersection(sets[v]):
+                    continue
+                left[v] = min(most, sizes[v]) - min(len(chosen.intersection(sets[v])), min(most, sizes[v]))
+                taken = [c for c in sets[v] if c in todo][: left[v]]
+                chosen.update(taken)
+                todo.difference_update(taken)
+                left[v] -= min(len(taken), left[v])
+            if not any(left.values()):
+                break
+    weighted = chosen & plain
+    free = len(chosen) - len(weighted)
+    return sorted(chosen), sorted(weighted), 2.0 * max(free / len(weighted), 1.0) if weighted else 2.0
+
+
+def choose_colors_of(candidates: DataFrame, pairs: DataFrame, region: str, most: int = 30, least: int = 2) -> DataFrame:
+    """As ``choose_colors`` of candidates (region, vertex, side, branching) joined with pairs (vertex, color), each once, without that join's rows.
+
+    Regions with the same vertices on the same sides have the same colours, so each such pattern is worked on once. Colours that lie on the
+    same of a pattern's vertices stand in one tier, and of these none is chosen but the ``most`` least: a vertex takes its colours in order and has no more than
+    ``most`` chosen. So a pattern's row has so many colours of each kind at most, and the number that each vertex has in all.
+    """
+    name = lambda c: F.struct(F.xxhash64(c).alias("h"), F.xxhash64(F.lit(1), c).alias("g"))
+    mark = F.struct("vertex", "side", "branching")
+    marks = candidates.groupBy(region).agg(F.sort_array(F.collect_set(mark)).alias("marks"))
+    regions = stored(marks.withColumn("on", F.sort_array(F.array_distinct(F.transform("marks", lambda m: m.vertex)))).withColumns({"pattern": name("marks"), "area": name("on")}), "regions")
+    patterns = regions.groupBy("pattern").agg(F.first("marks").alias("marks"), F.first("area").alias("area"))
+    areas = stored(regions.groupBy("area").agg(F.first("on").alias("on")).select("area", F.explode("on").alias("vertex")), "areas")
+    # colours by the vertices that they lie on, of which an area cuts out its own
+    wanted = pairs.join(areas.select("vertex").distinct(), "vertex", "left_semi")
+    kinds = wanted.groupBy("color").agg(F.sort_array(F.collect_list("vertex")).alias("on")).withColumn("kind", name("on"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("color"))
+    kinds = stored(kinds.withColumn("place", place).where(F.col("place") <= most).drop("place"), "kinds")  # the least colours of a kind
+    of = kinds.groupBy("kind").agg(F.first("on").alias("on")).select("kind", F.explode("on").alias("vertex"))
+    cut = areas.join(of, "vertex").groupBy("area", "kind").agg(F.sort_array(F.collect_list("vertex")).alias("on"))
+    place = F.row_number().over(Window.partitionBy("area", "on").orderBy("color"))
+    some = cut.join(kinds.select("kind", "color"), "kind").withColumn("place", place).where(F.col("place") <= most)
+    same = some.groupBy("area", "on").agg(F.collect_list("color").alias("colors"))
+    same = same.groupBy("area").agg(F.collect_list(F.struct("on", "colors")).alias("same"))
+    size = wanted.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"))
+    sizes = areas.join(size, "vertex").groupBy("area").agg(F.map_from_entries(F.collect_list(F.struct("vertex", "n"))).alias("sizes"))
+
+    @F.pandas_udf("colors array<long>, weighted array<long>, weight double")
+    def choose(marks: pd.Series, same: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        out = []
+        for own, alike, n in zip(marks, same, sizes, strict=True):
+            plain, sides, sets = set(), {}, {}
+            for x in alike:
+                on, cs = set(x["on"]), list(x["colors"])
+                here = [m for m in own if m["vertex"] in on]
+                sides.update(dict.fromkeys(cs, len({m["side"] for m in here})))
+                if any(not m["branching"] for m in here):
+                    plain.update(cs)
+                for v in on:
+                    sets.setdefault(v, []).extend(cs)
+            out.append(_chosen(plain, sides, {v: sorted(c) for v, c in sets.items()}, dict(n), most, least))
+        return pd.DataFrame(out, columns=["colors", "weighted", "weight"])
+
+    done = patterns.join(same, "area").join(sizes, "area").select("pattern", choose("marks", "same", "sizes").alias("x"))
+    return regions.select(region, "pattern").join(done, "pattern").select(region, "x.colors", "x.weighted", "x.weight")
+
+
 def score_path(path: str, raw: str, anchored: bool) -> float:
     """1 - edits / length of a whole path; of an open one, of the read's start against it."""
     if anchored:

@@ -164,8 +164,8 @@ def region_colors(spark, sf):
     """The colours chosen from them, by tiers of sides; colours are customers that share a vertex."""
     gaps, solid, weak, stats = _stands(spark, sf)
     pairs = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select((F.col("o_orderkey") % 9).alias("unitig_id"), F.col("o_custkey").alias("color")).distinct()
-    each = guided.color_candidates(gaps, solid, weak, stats, 6, 6, 2).join(pairs, "unitig_id").withColumnRenamed("unitig_id", "vertex")
-    out = regions.choose_colors(each, ["gap"])
+    found = guided.color_candidates(gaps, solid, weak, stats, 6, 6, 2).withColumnRenamed("unitig_id", "vertex")
+    out = regions.choose_colors_of(found, pairs.withColumnRenamed("unitig_id", "vertex"), "gap")
     return out.select("gap", F.array_join("colors", ",").alias("colors"), F.size("weighted").alias("n_weighted"), F.round("weight", 6).alias("weight"))
 
 

@@ -159,6 +159,20 @@ def test_chosen_colors_against_plain_version(spark, most):
     assert got == {g: plain_choice([r[1:] for r in rows if r[0] == g], most, 2) for g in range(12)}
 
 
+@pytest.mark.parametrize("most", [2, 5, 30])
+def test_colors_of_crowded_vertices_against_plain_version(spark, most):
+    rng = random.Random(most)
+    pairs = sorted({(rng.randrange(7), c) for c in range(300) for _ in range(rng.choice([1, 1, 2, 3, 5]))} | {(7, 5), (8, 900)})
+    marks = sorted({(g, rng.randrange(9), rng.choice(["left", "right", "inner"])) for g in range(40) for _ in range(rng.choice([1, 2, 4, 8]))} | {(40, 11, "left")})
+    found = spark.createDataFrame([(*m, m[1] % 3 == 0) for m in marks], "gap long, vertex long, side string, branching boolean")
+    got = {r.gap: (r.colors, r.weighted, r.weight) for r in regions.choose_colors_of(found, spark.createDataFrame(pairs, "vertex long, color long"), "gap", most).collect()}
+    each = found.join(spark.createDataFrame(pairs, "vertex long, color long"), "vertex")
+    want = {r.gap: (r.colors, r.weighted, r.weight) for r in regions.choose_colors(each, ["gap"], most).collect()}
+    assert got == want and 40 not in got
+    rows = [(g, v, side, v % 3 == 0, c) for g, v, side in marks for w, c in pairs if w == v]
+    assert all(got[g][:2] == plain_choice([r[1:] for r in rows if r[0] == g], most, 2) for g in got)
+
+
 def test_settled_letters_in_rounds(spark):
     g = drawn(80, 7)
     df = spark.createDataFrame([(1, g)], "id long, seq string")
