@@ -143,3 +143,13 @@ def test_least_kmers_of_odd_reads(spark, reads, rows):
     df = spark.createDataFrame([(1, "ACGT" * 20), (2, long), (3, long[::-1])], "id int, seq string").coalesce(1)
     got = {r.id: r.head for r in packed.least_kmers(df, K, ["id"]).select("id", packed.letters(F.col("head"), K).alias("head")).collect()}
     assert got == {1: min(rep(x) for _, x in kmers_of("ACGT" * 20)), 2: min(rep(x) for _, x in kmers_of(long)), 3: min(rep(x) for _, x in kmers_of(long[::-1]))}
+
+
+def test_unitigs_of_packed_kmers_as_of_text(reads, rows):
+    ring = "".join(random.Random(3).choices("ACGT", k=90))
+    spark = reads.sparkSession
+    more = reads.select("seq").union(spark.createDataFrame([(2 * ring + ring[:40],), (rc(3 * ring),)], "seq string")).repartition(3)
+    want, index = graph.unitigs(kmers.solid(kmers.kmers(more, K, [], strict=True)), K)
+    got, packed_index = graph.unitigs_of(more, K)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, packed_index.collect())) == sorted(map(tuple, index.collect()))
