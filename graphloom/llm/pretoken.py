@@ -134,6 +134,26 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+class Known:
+    """Distinct chunks met so far, numbered as they came: strings of Arrow, of which more fit than objects of Python."""
+
+    def __init__(self):
+        self.chunks = pa.array([], pa.large_string())
+
+    def numbers(self, chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of these distinct chunks, and those that are new, which get the next ones."""
+        at = pc.index_in(chunks, self.chunks).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.chunks) + np.arange(len(new))
+        missing = chunks.take(pa.array(new))
+        self.chunks = pa.concat_arrays([self.chunks, missing])
+        return at, missing
+
+    def size(self) -> int:
+        """Bytes that the strings and a lookup among them take."""
+        return self.chunks.nbytes + 48 * len(self.chunks)
+
+
 class Encoder:
     """ids of whole texts, little-endian unsigned 32-bit integers."""
 
@@ -141,8 +161,11 @@ class Encoder:
         self.pre = Pretokenizer(path)
         self.table = self.pre.table
         self.pieces = pa.array(self.table.pieces, pa.string())
-        self.known: dict[str, bytes] = {}
-        self.size = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Known()
+        self.ids, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids and counts of distinct pre-tokens: "\\n" has none, an added token its own."""
@@ -158,17 +181,18 @@ class Encoder:
             flat = np.insert(flat, at - np.arange(len(at)), own)
         return flat, counts
 
-    def learn(self, chunks: list[str]) -> None:
-        words, code, per_chunk = self.pre.flat(pa.array(chunks, pa.large_string()))
+    def learn(self, chunks: pa.Array) -> None:
+        words, code, per_chunk = self.pre.flat(chunks)
         flat, n = self.words(words)
         counts = n[code]
-        ids = flat[ragged((np.cumsum(n) - n)[code], counts)].astype("<u4").tobytes()
-        ends = 4 * np.concatenate([[0], np.cumsum(counts)])[np.cumsum(per_chunk)]
-        self.size += 4 * int(counts.sum()) + sum(map(len, chunks)) + 160 * len(chunks)
-        ends = ends.tolist()
-        self.known.update(zip(chunks, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-
-    def split(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        ids = flat[ragged((np.cumsum(n) - n)[code], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(per_chunk)]
+        n = np.diff(ends, prepend=0)
+        self.start = np.concatenate([self.start, (len(self.ids) + ends - n).astype(np.int32)])
+        self.n = np.concatenate([self.n, n.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """texts: strings, null: empty. Gives each chunk's code, the distinct chunks, and offsets of texts."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False))
@@ -179,19 +203,19 @@ class Encoder:
             lists = pa.array(rows, pa.large_list(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy()
-        return coded.indices.to_numpy(), listed(coded.dictionary), offsets - offsets[0]
+        return coded.indices.to_numpy(), coded.dictionary, offsets - offsets[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and len(texts) + 1 offsets into them."""
         code, chunks, offsets = self.split(texts)
-        if self.size > KNOWN_BYTES:
-            self.known, self.size = {}, 0
-        if missing := [c for c in chunks if c not in self.known]:
+        if self.known.size() + self.ids.nbytes + self.start.nbytes + self.n.nbytes > KNOWN_BYTES:
+            self.forget()
+        at, missing = self.known.numbers(chunks)
+        if len(missing):
             self.learn(missing)
-        raw = list(map(self.known.__getitem__, chunks))
-        n = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
-        flat, counts = np.frombuffer(b"".join(raw), "<u4"), n[code]
-        ids = flat[ragged((np.cumsum(n) - n).astype(np.int32)[code], counts)]
+        n = self.n[at]
+        counts = n[code]
+        ids = self.ids[ragged(self.start[at][code], counts)]
         return ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[offsets]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:

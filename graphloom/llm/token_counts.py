@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pretoken import encoder, slices
+from graphloom.llm.pretoken import Known, encoder, slices
 from graphloom.llm.workers import task
 
 KNOWN_BYTES = 48_000_000
@@ -29,25 +29,27 @@ class PieceCounts:
 
     def __init__(self, path: str):
         self.e = encoder(path)
-        self.known: dict[str, int] = {}
-        self.size = 0
+        self.forget()
 
-    def learn(self, chunks: list[str]) -> None:
-        words, code, per_chunk = self.e.pre.flat(pa.array(chunks, pa.large_string()))
+    def forget(self) -> None:
+        self.known, self.pieces = Known(), np.zeros(0, np.int32)
+
+    def learn(self, chunks: pa.Array) -> None:
+        words, code, per_chunk = self.e.pre.flat(chunks)
         pieces = self.e.words(words)[1]
         total = np.concatenate([[0], np.cumsum(pieces[code])])[np.cumsum(per_chunk)]
-        self.size += sum(map(len, chunks)) + 130 * len(chunks)
-        self.known.update(zip(chunks, np.diff(total, prepend=0).tolist(), strict=True))
+        self.pieces = np.concatenate([self.pieces, np.diff(total, prepend=0).astype(np.int32)])
 
     def of(self, texts: pa.Array) -> np.ndarray:
         code, chunks, offsets = self.e.split(texts)
-        if not chunks:
+        if not len(chunks):
             return np.zeros(len(texts), np.int64)
-        if self.size > KNOWN_BYTES:
-            self.known, self.size = {}, 0
-        if missing := [c for c in chunks if c not in self.known]:
+        if self.known.size() + self.pieces.nbytes > KNOWN_BYTES:
+            self.forget()
+        at, missing = self.known.numbers(chunks)
+        if len(missing):
             self.learn(missing)
-        pieces = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        pieces = self.pieces[at]
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
         term, frequency = np.unique(doc * len(chunks) + code, return_counts=True)
         sums = np.concatenate([[0], np.cumsum(pieces[term % len(chunks)] * frequency)])

@@ -25,13 +25,12 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slots(code: np.ndarray) -> np.ndarray:
-    return ((code.astype(np.uint64) * _SPREAD) >> np.uint64(44)).astype(np.int32)
+    return ((code.view(np.uint64) * _SPREAD) >> np.uint64(44)).view(np.int64)
 
 
-def _frequent(code: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each place may have a pair found ``min_count`` times; the pairs that are, and their counts."""
-    slot = _slots(code)
-    may = np.bincount(slot, minlength=1 << 20)[slot] >= min_count
+def _frequent(code: np.ndarray, slot: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that may have a pair found ``min_count`` times; the pairs that are, and their counts."""
+    may = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= min_count)[slot])
     ordered = np.sort(code[may])  # a slot may hold several pairs, so they are counted themselves
     at = np.flatnonzero(np.diff(ordered, prepend=-1))
     counts = np.diff(at, append=len(ordered))
@@ -39,32 +38,52 @@ def _frequent(code: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray,
     return may, ordered[at[often]], counts[often]
 
 
-def _found(code: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _found(code: np.ndarray, slot: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places whose pair is in the table, and which it is; the table's pairs have different slots."""
-    number = np.full(1 << 20, -1, np.int32)
-    number[_slots(table)] = np.arange(len(table))
-    which = number[_slots(code)]
-    hit = np.flatnonzero(which >= 0)
-    hit = hit[table[which[hit]] == code[hit]]
-    return hit, which[hit]
+    own = _slots(table)
+    some = np.zeros(1 << 20, bool)
+    some[own] = True
+    hit = np.flatnonzero(some[slot])
+    number = np.zeros(1 << 20, np.int32)
+    number[own] = np.arange(len(table))
+    which = number[slot[hit]]
+    same = table[which] == code[hit]
+    return hit[same], which[same]
+
+
+def _first(symbols: np.ndarray, size: int) -> np.ndarray:
+    """Of each symbol below ``size``, its first place among these; their number if none."""
+    out = np.full(size, len(symbols), np.int32)
+    out[symbols[::-1]] = np.arange(len(symbols) - 1, -1, -1, dtype=np.int32)
+    return out
 
 
 def _without_overlap(pairs: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
-    """The most frequent pairs none of which can overlap with another, at most ``limit``, ascending."""
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    chosen: list[int] = []
+    """The most frequent pairs none of which can overlap with another, at most ``limit``, ascending.
+
+    A pair is taken if no pair taken before it ends in its left or starts with its right symbol. All pairs that no
+    undecided one before them can hinder are taken at once, and those that they hinder go, until all are decided.
+    """
     pairs = pairs[np.lexsort((pairs, -counts))]
     pairs = pairs[np.sort(np.unique(_slots(pairs), return_index=True)[1])]  # one of each slot; another's turn is next round
-    for p in pairs.tolist():
-        a, b = p >> 32, p & 0xFFFFFFFF
-        if (a not in rights and b not in lefts) if a != b else (a not in lefts and a not in rights):
-            chosen.append(p)
-            lefts.add(a)
-            rights.add(b)
-            if len(chosen) == limit:
-                break
-    return np.array(sorted(chosen), np.int64)
+    left, right = pairs >> 32, pairs & 0xFFFFFFFF
+    size = 1 + int(max(left.max(), right.max())) if len(pairs) else 0
+    starts, ends = np.zeros(size, bool), np.zeros(size, bool)  # symbols that start or end a pair taken
+    taken = np.zeros(len(pairs), bool)
+    for some in np.array_split(np.arange(len(pairs)), max(1, len(pairs) // (2 * limit))):
+        while len(some):
+            a, b = left[some], right[some]
+            some = some[~(ends[a] | starts[b] | ((a == b) & (starts[a] | ends[b])))]
+            a, b = left[some], right[some]
+            place = np.arange(len(some))
+            sure = (_first(b, size)[a] >= place) & (_first(a, size)[b] >= place)
+            taken[some[sure]] = True
+            starts[a[sure]] = True
+            ends[b[sure]] = True
+            some = some[~sure]
+        if taken.sum() >= limit:
+            break
+    return np.sort(pairs[np.flatnonzero(taken)[:limit]])
 
 
 def compress(seq: np.ndarray, end_id: int, first: int, min_count: int = MIN_COUNT, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,20 +94,21 @@ def compress(seq: np.ndarray, end_id: int, first: int, min_count: int = MIN_COUN
     may be frequent are counted again: those of frequent pairs that were not replaced, and those
     beside a new nonterminal. A pair never starts with a symbol that ends in ``end_id``.
     """
-    seq = seq.astype(np.int64)
+    seq = seq.astype(np.int32)
     rules = [np.zeros((0, 2), np.int64)]
     n_rules = 0
     length, closed = np.ones(first, np.int64), np.zeros(first, bool)
     closed[end_id] = True
     live = np.flatnonzero(~closed[seq[:-1]])
     while len(live):
-        code = (seq[live] << 32) | seq[live + 1]
-        may, pairs, counts = _frequent(code, min_count)
+        code = (seq[live].astype(np.int64) << 32) | seq[live + 1]
+        slot = _slots(code)
+        may, pairs, counts = _frequent(code, slot, min_count)
         table = _without_overlap(pairs, counts, per_round)
         if not len(table):
             break
         live = live[may]
-        hit, which = _found(code[may], table)
+        hit, which = _found(code[may], slot[may], table)
         at = live[hit]
         # in a run of one symbol, every other pair
         new_run = np.diff(at, prepend=-2) != 1
@@ -108,7 +128,8 @@ def compress(seq: np.ndarray, end_id: int, first: int, min_count: int = MIN_COUN
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, again = seq[keep], again[keep]
-        live = np.flatnonzero(again[:-1] & ~closed[seq[:-1]])
+        live = np.flatnonzero(again[:-1])
+        live = live[~closed[seq[live]]]
     return seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32), length[first:]
 
 

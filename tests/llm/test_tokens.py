@@ -117,3 +117,33 @@ def test_token_files(spark):
     shard = next(r for r in spark.read.parquet(path).collect() if 7 in r.doc_ids).asDict()
     assert token_files.document(shard, shard["doc_ids"].index(7)).tolist() == ids_of(texts[0]) + [1]
     assert token_files.document(shard, shard["doc_ids"].index(7), 3, 9).tolist() == ids_of(texts[0])[3:9]
+
+
+def test_chunks_are_learnt_once(monkeypatch):
+    from graphloom.llm.pretoken import Encoder
+
+    e, learnt = Encoder(PATH), []
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda chunks: (learnt.append(len(chunks)), learn(chunks)))
+    slices_ = [pa.array([" ".join(f"{a:x}q{i}" for i in range(40_000))]) for a in range(10)]
+    first = [e.encode(s)[0] for s in slices_]
+    assert learnt == [40_000] * 10
+    assert (e.encode(slices_[0])[0] == first[0]).all() and len(learnt) == 10
+
+
+def test_pairs_without_overlap_are_those_taken_one_by_one():
+    from graphloom.llm.token_files import _slots, _without_overlap
+
+    rng = np.random.default_rng(2)
+    for limit in (1, 3, 50):
+        pairs = np.unique((rng.integers(0, 30, 200) << 32) | rng.integers(0, 30, 200))
+        counts = rng.integers(4, 9, len(pairs))
+        lefts, rights, want, slots = set(), set(), [], set()
+        for i in np.lexsort((pairs, -counts)):
+            a, b, slot = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF, int(_slots(pairs[i : i + 1])[0])
+            if slot not in slots and len(want) < limit and ((a not in rights and b not in lefts) if a != b else (a not in lefts | rights)):
+                want.append(pairs[i])
+                lefts.add(a)
+                rights.add(b)
+            slots.add(slot)
+        assert _without_overlap(pairs, counts, limit).tolist() == sorted(want)
