@@ -1,8 +1,8 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles are alike by 0.8 (Jaccard) or more.
 
-At 0.8 two 64-bit SimHashes differ in ten bits in the mean, which leaves no four bytes alone, so
-the index of operator 2 can't find such pairs. Here a posting is a band: ``ROWS`` of a set's least
-hashes. Two sets share one of ``BANDS`` bands with probability 1 - (1 - J^5)^32, 0.999997 at 0.8.
+For the pipeline, texts that operator 2 links by their SimHashes are candidates. At 0.8 two of these
+64-bit fingerprints differ in ten bits in the mean, which leaves no four bytes alone, so its index can't
+find all such pairs; the rest come from bands. Here a posting is a band: ``ROWS`` of a set's least hashes. Two sets share one of ``BANDS`` bands with probability 1 - (1 - J^5)^32, 0.999997 at 0.8.
 
 Every candidate is verified on its shingles. In a posting all members are first held against the one
 that the most sets meet; only members that this leaves in different groups are then paired, each pair in the
@@ -13,7 +13,8 @@ two groups are looked at. Of these, pairs whose sketches (two bits of each of ``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.components import components
 from graphloom.llm.pretoken import listed, slices
 from graphloom.llm.shared import stored
-from graphloom.llm.simhash import split_words
+from graphloom.llm.simhash import fingerprints_of, links, split_words
 from graphloom.llm.workers import task
 
 SHINGLE = 5
@@ -120,12 +121,33 @@ def text_keys(texts: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(t.as_buffer()) for t in texts), np.uint64, len(texts))
 
 
-def marked(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(keep, node, n, bands, text_key): name, size and postings of the shingle set of each row (none: no postings), and a hash of its text."""
+@dataclass(frozen=True)
+class Measure:
+    """A column ``name`` (long) of what ``of`` gives for ``column``, with the worker's tables that it needs."""
 
-    @task()
+    name: str
+    column: str
+    of: Callable[[pa.Array], np.ndarray]
+    tables: tuple = ()
+
+
+def marked(docs: DataFrame, keep: list[str], text_col: str = "text", measure: Measure | None = None) -> DataFrame:
+    """(keep, node, n, bands, text_key): name, size and postings of the shingle set of each row (none: no postings), and a hash of its text.
+
+    measure: a further column made of another column in the same worker, so that a task keeps one.
+    """
+    more = [measure.name] if measure else []
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for whole in slices(batches, "__text"):
+            own, at = [pa.array(measure.of(whole.column("__measured")))] if measure else [], 0
+            for b in slices([whole], "__text", 1_500_000):
+                yield b, [x.slice(at, b.num_rows) for x in own]
+                at += b.num_rows
+
+    @task(*(measure.tables if measure else ()))
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text", 1_500_000):
+        for b, own in parts(batches):
             rows, node, n, bands = [], [], [], []
             for s in shingle_sets(b.column("__text")):
                 node.append(node_of(s))
@@ -137,10 +159,11 @@ def marked(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
             bands = np.concatenate([*bands, bands_of(rows)])
             held = np.array(n, np.int32) > 0
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(BANDS * held)]), pa.int32()), pa.array(bands[held].ravel()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(node, pa.int64()), pa.array(n, pa.int32()), bands, pa.array(text_keys(b.column("__text")).view(np.int64))], [*keep, "node", "n", "bands", "text_key"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *own, pa.array(node, pa.int64()), pa.array(n, pa.int32()), bands, pa.array(text_keys(b.column("__text")).view(np.int64))], [*keep, *more, "node", "n", "bands", "text_key"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(mark, f"{fields}, node long, n int, bands array<long>, text_key long")
+    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}` long" for c in more)])
+    measured = [F.col(measure.column).alias("__measured")] if measure else []
+    return docs.select(*keep, F.col(text_col).alias("__text"), *measured).mapInArrow(mark, f"{fields}, node long, n int, bands array<long>, text_key long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -178,13 +201,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(5 * F.col("shared") >= 4 * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def groups(docs: DataFrame, keep: list[str], text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
+def linked_by_fingerprint(fingerprints: DataFrame) -> DataFrame:
+    """(a, b): candidates of (node, bits): nodes of one SimHash with the least of them, and the least ones of two that operator 2 links."""
+    least = stored(fingerprints.groupBy("bits").agg(F.min("node").alias("least")), "near-fingerprints")
+    found = links(least.select("bits"))
+    a, b = (least.withColumnsRenamed({"bits": i, "least": f"{i}_node"}) for i in "ab")
+    apart = found.join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = apart.union(fingerprints.join(least, "bits").select("least", "node")).where("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, keep: list[str], text_col: str = "text", fingerprints: bool = False, measure: Measure | None = None) -> DataFrame:
     """(keep, component): one row per input row; rows have one component if verified links lead from one to the other.
 
-    Null and empty texts are one group. ``texts``: the same texts where docs are dear to make twice.
+    Null and empty texts are one group. ``fingerprints``: operator 2's links are candidates too. ``measure``: a column more, after ``keep``.
     """
-    texts = docs if texts is None else texts
-    marks = stored(marked(docs, keep, text_col), "near-marks")
+    keep_, texts = keep, docs
+    if fingerprints:
+        bits = Measure("__bits", text_col, lambda x: fingerprints_of(x).view(np.int64))
+        marks = stored(marked(docs, keep, text_col, bits), "near-marks")
+        near = stored(linked_by_fingerprint(marks.where("n > 0").select("node", F.col("__bits").alias("bits")).distinct()), "near-fingerprints")
+    else:
+        marks = stored(marked(docs, keep, text_col, measure), "near-marks")
+        keep_ = [*keep, *([measure.name] if measure else [])]
     nodes = marks.where("n > 0").select("node", "n", "bands").dropDuplicates(["node"])
     index = nodes.select("node", "n", F.explode("bands").alias("key"))
     size = index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -192,14 +231,19 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text", texts: Data
     # the set that most others meet stands nearest to the middle of its near copies
     met = index.groupBy("node").agg(F.sum("members").alias("met"))
     index = stored(index.join(met, "node"), "near-index")
-    names = marks.groupBy("node").agg(F.min("text_key").alias("text_key")).join(index.select("node"), "node", "left_semi")
+    held = index.select("node")
+    if fingerprints:
+        held = held.union(near.select("a")).union(near.select("b"))
+    names = marks.groupBy("node").agg(F.min("text_key").alias("text_key")).join(held, "node", "left_semi")
     sets = stored(_sets(texts, stored(names, "near-names"), text_col), "near-sets")
     middle = index.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("middle"))
     stars = index.join(middle, "key").where("node != middle.node").where(_long_enough(F.col("n"), F.col("middle.n")))
     stars = stars.select(F.least("node", "middle.node").alias("a"), F.greatest("node", "middle.node").alias("b"))
+    if fingerprints:
+        stars = stars.union(near)
     stars = stored(stars.distinct(), "near-stars")
-    links = stored(verified(stars, sets), "near-links")
-    of = stored(components(links), "near-groups")
+    alike = stored(verified(stars, sets), "near-links")
+    of = stored(components(alike), "near-groups")
 
     rooted = index.join(of, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
@@ -211,5 +255,5 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text", texts: Data
     pairs = pairs.where("key = array_min(array_intersect(a_keys, b_keys))").select("a", "b")
     pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     if not pairs.isEmpty():
-        of = stored(components(links.union(verified(pairs, sets))), "near-groups")
-    return marks.join(of, "node", "left").select(*keep, F.coalesce("component", "node").alias("component"))
+        of = stored(components(alike.union(verified(pairs, sets))), "near-groups")
+    return marks.join(of, "node", "left").select(*keep_, F.coalesce("component", "node").alias("component"))

@@ -10,36 +10,20 @@ documents in the mean, whatever sources or clusters they come from.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import near_copies
-from graphloom.llm.pretoken import encoder, slices
+from graphloom.llm.pretoken import encoder
 from graphloom.llm.token_counts import piece_counts
-from graphloom.llm.workers import hold, task
+from graphloom.llm.workers import hold
 
 CAPACITY = 2048
 DOCS_PER_SHARD = 2048
 
 
-def token_lengths(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and n_tokens (long) of each text; null: 0."""
-
-    @task(encoder, piece_counts)
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            n = piece_counts(path).of(b.column("__text"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n)], [*keep, "n_tokens"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(count, f"{fields}, n_tokens long")
-
-
 def place(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """Bin and offset of each piece, in the order given; a negative source or cluster conflicts with none."""
     order: list[int] = []  # residual << 32 | bin
@@ -117,8 +101,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, docs_pe
     """
     n = docs.count()
     rows = docs.select("doc_id", "source", "text", F.lower("text").alias("lower"))
-    lengths = token_lengths(rows, path, ["doc_id", "source", "lower"])
-    marked = lengths.select("doc_id", "source", "n_tokens", "lower", F.col("lower").isNull().alias("none"))
-    near = near_copies.groups(marked, ["doc_id", "source", "n_tokens", "none"], "lower", rows.select("lower"))
+    rows = rows.withColumn("none", F.col("lower").isNull())
+    lengths = near_copies.Measure("n_tokens", "text", lambda texts: piece_counts(path).of(texts), (encoder, piece_counts))
+    near = near_copies.groups(rows, ["doc_id", "source", "none"], "lower", measure=lengths)
     clusters = near.select("doc_id", "source", "n_tokens", F.when(~F.col("none"), F.col("component")).alias("cluster"))
     return best_fit_pack(clusters, -(-n // docs_per_shard), capacity)

@@ -2,9 +2,13 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import near_copies, packing, queries
+from graphloom.llm import near_copies, packing, queries, token_counts
+from graphloom.llm.pretoken import encoder
+from graphloom.llm.simhash import fingerprints_of
+from graphloom.llm.token_counts import piece_counts
 from tests.llm.brute import partition, shingles
 
 
@@ -62,3 +66,33 @@ def test_packing_parts_near_copies(spark, texts):
         held = [group[i] for i in rows.doc_id if texts[i] is not None]
         assert len(held) == len(set(held))
     assert got.groupby(["shard", "bin"]).doc_id.count().max() > 1
+
+
+def test_stage_takes_the_links_of_operator_2(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(4000)]
+    copies = [" ".join([*base[:-1], f"end{i}"]) for i in range(60)]
+    bits = fingerprints_of(pa.array(copies)).tolist()
+    near = next(i for i in range(1, 60) if 0 < (bits[0] ^ bits[i]).bit_count() <= 2)
+    docs = spark.createDataFrame([(0, copies[0]), (1, copies[near]), (2, "another text of some words")], "doc_id long, text string")
+    marked = near_copies.marked
+
+    def apart(*args):
+        """No two rows share a band."""
+        return marked(*args).withColumn("bands", F.transform("bands", lambda _, i: F.col("node") + i))
+
+    monkeypatch.setattr(near_copies, "marked", apart)
+    alone = [r.component for r in near_copies.groups(docs, ["doc_id"]).orderBy("doc_id").collect()]
+    linked = [r.component for r in near_copies.groups(docs, ["doc_id"], fingerprints=True).orderBy("doc_id").collect()]
+    assert len(set(alone)) == 3 and linked[0] == linked[1] != linked[2]
+    rows = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, rows, "").collect()) == [0, 2]
+
+
+def test_packing_counts_and_marks_in_one_worker(spark, texts):
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    length = near_copies.Measure("n_tokens", "text", lambda x: piece_counts(queries.TOKENIZER).of(x), (encoder, piece_counts))
+    marks = near_copies.marked(docs, ["doc_id"], "text", length)
+    assert marks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, queries.TOKENIZER).collect()}
+    assert {r.doc_id: r.n_tokens for r in marks.collect()} == want
