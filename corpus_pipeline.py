@@ -34,8 +34,11 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least id of each near-duplicate group (null ids last, then by key); one of rows equal in all columns."""
-    groups = near_copies.groups(spread(docs).withColumn("key", _key()), ["doc_id", "key"])
+    """The row of least id of each near-duplicate group (null ids last, then by key); one of rows equal in all columns.
+
+    Links are operator 2's, each held against the texts, and those of bands for what differs in more bits.
+    """
+    groups = near_copies.groups(spread(docs).withColumn("key", _key()), ["doc_id", "key"], fingerprints=True)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     first = first.select("first.key.h", "first.key.g")
     rows = docs.withColumn("key", _key()).select(*COLUMNS, "key.h", "key.g")
