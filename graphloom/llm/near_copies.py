@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.pretoken import listed, slices
+from graphloom.llm.pretoken import SLICE_BYTES, listed, slices
 from graphloom.llm.shared import stored
 from graphloom.llm.simhash import fingerprints_of, links, split_words
 from graphloom.llm.workers import task
@@ -129,6 +129,7 @@ class Measure:
     column: str
     of: Callable[[pa.Array], np.ndarray]
     tables: tuple = ()
+    size: int = SLICE_BYTES
 
 
 def marked(docs: DataFrame, keep: list[str], text_col: str = "text", measure: Measure | None = None) -> DataFrame:
@@ -139,7 +140,7 @@ def marked(docs: DataFrame, keep: list[str], text_col: str = "text", measure: Me
     more = [measure.name] if measure else []
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        for whole in slices(batches, "__text"):
+        for whole in slices(batches, "__text", measure.size if measure else 1_500_000):
             own, at = [pa.array(measure.of(whole.column("__measured")))] if measure else [], 0
             for b in slices([whole], "__text", 1_500_000):
                 yield b, [x.slice(at, b.num_rows) for x in own]
@@ -218,7 +219,7 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text", fingerprint
     """
     keep_, texts = keep, docs
     if fingerprints:
-        bits = Measure("__bits", text_col, lambda x: fingerprints_of(x).view(np.int64))
+        bits = Measure("__bits", text_col, lambda x: fingerprints_of(x).view(np.int64), size=1_500_000)
         marks = stored(marked(docs, keep, text_col, bits), "near-marks")
         near = stored(linked_by_fingerprint(marks.where("n > 0").select("node", F.col("__bits").alias("bits")).distinct()), "near-fingerprints")
     else:
