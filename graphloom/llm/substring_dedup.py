@@ -20,7 +20,8 @@ Texts are shuffled once (one exchange that steps 1, 3 and 4 read) and anchors as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.suffixes import common_prefixes, deep_shallow
+from graphloom.llm.workers import give_back, hold
 
 LENGTH = 50
 PIECE = 20
@@ -37,6 +39,7 @@ BEFORE = LENGTH - PIECE
 BLOCK_BYTES = 6_000_000
 BUCKET_BYTES = 32_000_000
 PART_BYTES = 400_000
+JUDGED, COMPARED = 200_000, 50_000
 NULL_ID = np.iinfo(np.int64).max
 WHOLE, COMPARE = 1, 2
 _BASE = 0x9E3779B97F4A7C15
@@ -178,11 +181,43 @@ def _send_anchors(buckets: int):
     return send
 
 
-def _judge(key: tuple, anchors: pa.Table) -> pa.Table:
-    """Step 2: a mark for each anchor of a bucket, sent back to its block."""
-    rows = [(r["block"], *(np.frombuffer(r[n], t) for n, t in (("doc_ids", "<i8"), ("counts", "<u4"), ("pieces", "<u4"), ("around", "<u8")))) for r in anchors.to_pylist()]
-    doc = np.concatenate([np.repeat(ids, counts) for _, ids, counts, _, _ in rows])
-    piece, around = (np.concatenate([r[i] for r in rows]) for i in (3, 4))
+def _lean(f: Callable) -> Callable:
+    """f of a group (of two tables, if it takes three arguments), which gives the worker's memory back when it ends."""
+
+    def run(*given) -> pa.Table:
+        hold()
+        try:
+            return f(*given)
+        finally:
+            give_back()
+
+    two = len(inspect.signature(f).parameters) == 2
+    return (lambda key, rows: run(key, rows)) if two else (lambda key, left, right: run(key, left, right))  # Spark counts arguments
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all rows of a binary column, one after another, and how many each row has."""
+    column = column.combine_chunks().cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]].view(kind)
+    return data, np.diff(bounds) // data.itemsize
+
+
+def _parts(piece: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The places of the anchors in runs of about ``most``, those of a piece in one."""
+    parts = -(-len(piece) // most)
+    if parts < 2:
+        yield np.arange(len(piece))
+        return
+    part = ((piece >> piece.dtype.type(1)) % piece.dtype.type(parts)).astype(np.int32)  # the last bit is always set
+    for i in range(parts):
+        yield np.flatnonzero(part == i)
+
+
+def _marked(doc: np.ndarray, piece: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Step 2: a mark for each anchor. Anchors of a piece are all there."""
+    if not len(doc):
+        return np.zeros(0, np.uint8)
     order = np.lexsort((doc, around, piece))
     d, p, a = doc[order], piece[order], around[order]
     new_piece = np.concatenate([[True], p[1:] != p[:-1]])
@@ -191,11 +226,20 @@ def _judge(key: tuple, anchors: pa.Table) -> pa.Table:
     at = np.flatnonzero(new_piece)
     several = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)) & (np.add.reduceat(new_around.astype(np.int64), at) > 1)
     first = d[np.flatnonzero(new_around)][around_of]
-    mark = np.where(d > first, WHOLE, np.where(several[piece_of], COMPARE, 0))
-    back = np.empty(len(mark), np.uint8)
-    back[order] = mark
-    cut = np.cumsum([0, *(len(r[3]) for r in rows)])
-    return _rows([{"bucket": key[0].as_py(), "block": r[0], "kind": 0, "at": back[cut[i] : cut[i + 1]].tobytes()} for i, r in enumerate(rows)])
+    back = np.empty(len(d), np.uint8)
+    back[order] = np.where(d > first, WHOLE, np.where(several[piece_of], COMPARE, 0))
+    return back
+
+
+def _judge(key: tuple, anchors: pa.Table) -> pa.Table:
+    """Step 2 on a bucket, some pieces at a time; the marks go back to the anchors' blocks."""
+    ids, (counts, _), (piece, n), (around, _) = _joined(anchors.column("doc_ids"), "<i8")[0], *(_joined(anchors.column(c), t) for c, t in (("counts", "<u4"), ("pieces", "<u4"), ("around", "<u8")))
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    back = np.empty(len(piece), np.uint8)
+    for some in _parts(piece, JUDGED):
+        back[some] = _marked(ids[doc[some]], piece[some], around[some])
+    cut = np.cumsum([0, *n])
+    return _rows([{"bucket": key[0].as_py(), "block": r, "kind": 0, "at": back[cut[i] : cut[i + 1]].tobytes()} for i, r in enumerate(anchors.column("block").to_pylist())])
 
 
 def _marks(block: Block, table: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,38 +314,54 @@ def equal_windows(piece: np.ndarray, doc: np.ndarray, rows: np.ndarray, before:
 
 
 def _compare(key: tuple, near: pa.Table) -> pa.Table:
-    rows = near.to_pylist()
-    own = [r for r in rows if r["kind"] == 1]
-    out = [{"bucket": r["bucket"], "block": r["block"], "kind": 0, "at": r["at"]} for r in rows if r["kind"] == 0]
+    told = near.select(["bucket", "block", "kind", "at"]).to_pylist()
+    own = [r for r in told if r["kind"] == 1]  # each with an anchor at least
+    out = [r for r in told if r["kind"] == 0]
     if own:
-        joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in own), kind)
-        lens = joined("lens", np.uint8).reshape(-1, 2).astype(np.int64)
-        found = equal_windows(joined("pieces", "<u8"), joined("doc_ids", "<i8"), joined("bytes", np.uint8).reshape(-1, BEFORE + LENGTH), lens[:, 0], lens[:, 1])
-        cut = np.cumsum([0, *(len(r["doc_ids"]) // 8 for r in own)])
+        doc, n = _joined(near.column("doc_ids"), "<i8")
+        piece, rows = _joined(near.column("pieces"), "<u8")[0], _joined(near.column("bytes"), "u1")[0].reshape(-1, BEFORE + LENGTH)
+        lens = _joined(near.column("lens"), "u1")[0].reshape(-1, 2)
+        found = np.zeros(len(piece), np.uint64)
+        for some in _parts(piece, COMPARED):
+            if len(some):
+                found[some] = equal_windows(piece[some], doc[some], rows[some], *lens[some].astype(np.int64).T)
+        cut = np.cumsum([0, *n[n > 0]])
         out += [{"bucket": r["bucket"], "block": r["block"], "kind": 1, "at": found[cut[i] : cut[i + 1]].astype("<u8").tobytes()} for i, r in enumerate(own)]
     return _rows(out)
 
 
-def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Whether each byte's UTF-8 character has lost a byte."""
-    character = np.cumsum((data & 0xC0) != 0x80)
-    return np.bincount(character, gone, int(character[-1]) + 1)[character] > 0 if len(data) else gone
+def _covered(first: np.ndarray) -> np.ndarray:
+    """Whether each byte lies in a window; first: whether one starts there."""
+    place = np.arange(len(first), dtype=np.int32)
+    last = np.where(first, place, np.int32(-LENGTH))
+    np.maximum.accumulate(last, out=last)
+    np.subtract(place, last, out=last)
+    return last < LENGTH
+
+
+def _whole_characters(data: np.ndarray, gone: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each byte's UTF-8 character has lost a byte; starts, ends: the runs of lost bytes."""
+    inner, gone = (data & 0xC0) == 0x80, gone.copy()
+    for _ in range(3):
+        starts = starts[inner[starts]] - 1
+        ends = ends[ends < len(data)]
+        ends = ends[inner[ends]]
+        gone[starts] = gone[ends] = True
+        ends = ends + 1
+    return gone
 
 
 def _cut(buckets: int, id_type: pa.DataType, carried: list[str], as_text: bool):
     def cut(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         """Step 4: documents without the bytes of found windows, and the runs that went."""
         block = Block(docs)
-        covered = np.zeros(len(block.data) + 1, np.int64)
+        gone = np.zeros(len(block.data), bool)
         if marks.num_rows:
             mark, found = block.for_all(*_marks(block, marks, buckets))
-            starts = []
             for o in range(BEFORE + 1):
                 able = (block.before >= o) & (block.after >= LENGTH - o)
-                starts.append(block.at[able & ((mark == WHOLE) | ((found >> np.uint64(o)) & np.uint64(1) > 0))] - o)
-            starts = np.concatenate(starts)
-            covered += np.bincount(starts, minlength=len(covered)) - np.bincount(starts + LENGTH, minlength=len(covered))
-        gone = np.cumsum(covered)[:-1] > 0
+                gone[block.at[able & ((mark == WHOLE) | ((found >> np.uint64(o)) & np.uint64(1) > 0))] - o] = True
+            gone = _covered(gone)
         before = np.concatenate([[False], gone[:-1]])[: len(gone)]
         before[block.starts[block.starts < len(gone)]] = False
         after = np.concatenate([gone[1:], [False]])[: len(gone)]
@@ -309,9 +369,9 @@ def _cut(buckets: int, id_type: pa.DataType, carried: list[str], as_text: bool):
         starts, ends = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
         runs = np.searchsorted(starts, np.append(block.starts, len(gone)))
         base = np.repeat(block.starts, np.diff(runs))
-        gone = _whole_characters(block.data, gone) if as_text else gone
-        left = np.concatenate([[0], np.cumsum(~gone)])
-        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(left[np.append(block.starts, len(gone))].astype(np.int64)), pa.py_buffer(block.data[~gone])])
+        gone = _whole_characters(block.data, gone, starts, ends) if as_text else gone
+        left = np.append(np.cumsum(~gone, dtype=np.int32), 0)  # of the bytes up to each; the last place stands for none
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(left[np.append(block.starts, len(gone)) - 1].astype(np.int64)), pa.py_buffer(block.data[~gone])])
         spans = [pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.array(x - base, pa.int64())) for x in (starts, ends)]
         ids = pa.array(np.where(block.null, 0, block.ids), mask=block.null).cast(id_type)
         return pa.Table.from_arrays([ids, pa.array(block.ends - block.starts, pa.int64()), kept.cast(pa.string() if as_text else pa.binary()), *spans, *(docs.column(c).take(pa.array(block.order)) for c in carried)], ["id", "n_bytes", "kept", "starts", "ends", *carried])
@@ -339,10 +399,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     carried = [f"keep_{i}" for i in range(len(keep))]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for n, c in zip(carried, keep, strict=True)))
     texts = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long").alias("block"), "id", "text", *carried)
-    anchors = texts.groupBy("block").applyInArrow(_send_anchors(buckets), ROW)
-    marks = anchors.groupBy("bucket").applyInArrow(_judge, ROW)
-    near = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_send_bytes(buckets), ROW)
-    found = near.groupBy("bucket").applyInArrow(_compare, ROW)
+    anchors = texts.groupBy("block").applyInArrow(_lean(_send_anchors(buckets)), ROW)
+    marks = anchors.groupBy("bucket").applyInArrow(_lean(_judge), ROW)
+    near = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_lean(_send_bytes(buckets)), ROW)
+    found = near.groupBy("bucket").applyInArrow(_lean(_compare), ROW)
     fields = ", ".join([f"id {kind}, n_bytes long, kept {'string' if as_text else 'binary'}, starts array<long>, ends array<long>", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(carried, keep, strict=True))])
-    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(buckets, id_type, carried, as_text), fields)
+    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_lean(_cut(buckets, id_type, carried, as_text)), fields)
     return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "starts", "ends", *(F.col(n).alias(c) for n, c in zip(carried, keep, strict=True)))

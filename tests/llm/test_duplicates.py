@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -137,3 +139,41 @@ def test_repeats_as_brute_force(spark, size):
     rows += [(50, "ha" * 200), (51, "ha" * 100), (52, "a" * 49), (53, "a" * 50), (54, "a" * 51), (None, "a" * 80), (None, None), (3, "ha" * 60), (3, "ha" * 60), (60, None), (61, "")]
     got = substring_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int"), size, 2 * size).collect()
     assert sorted(map(str, ((r.doc_id, r.n_bytes, bytes(r.kept), r.starts, r.ends) for r in got))) == sorted(map(str, cut(rows)))
+
+
+def _peak(f, *given) -> float:
+    tracemalloc.start()
+    try:
+        f(*given)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_is_judged_and_a_block_cut_in_little_memory():
+    rng = np.random.default_rng(5)
+    rows = []
+    for block in range(20):
+        n = 50_000
+        rows.append({"bucket": 0, "block": block, "kind": 0, "doc_ids": np.arange(block, 20 * 500, 20).astype("<i8").tobytes(), "counts": np.full(500, n // 500, "<u4").tobytes(), "pieces": (rng.integers(0, 1 << 30, n) * 2 + 1).astype("<u4").tobytes(), "around": rng.integers(0, 1 << 62, n).astype("<u8").tobytes()})
+    assert _peak(substring_dedup._judge, (pa.scalar(0),), substring_dedup._rows(rows)) < 60  # 12 MB of anchors
+    letters = rng.integers(97, 123, 6_000_000).astype(np.uint8).tobytes().decode()
+    docs = pa.table({"block": [0] * 100, "id": list(range(100)), "text": [letters[i * 60_000 : (i + 1) * 60_000] for i in range(100)]})
+    marks = substring_dedup._rows([])
+    cut = substring_dedup._cut(1, pa.int64(), [], True)
+    assert _peak(cut, (pa.scalar(0),), docs, marks) < 140  # before: covered bytes, lost characters and places in eight bytes each
+
+
+def test_characters_that_lost_a_byte_go():
+    data = np.frombuffer("aé中𝟘bß".encode(), np.uint8)
+    for a in range(len(data)):
+        for b in range(a + 1, len(data) + 1):
+            gone = np.zeros(len(data), bool)
+            gone[a:b] = True
+            got = substring_dedup._whole_characters(data, gone, np.array([a]), np.array([b]))
+            want, at = [], 0
+            for c in "aé中𝟘bß":
+                n = len(c.encode())
+                want += [bool(gone[at : at + n].any())] * n
+                at += n
+            assert got.tolist() == want
