@@ -7,8 +7,10 @@ find all such pairs; the rest come from bands. Here a posting is a band: ``ROWS`
 Every candidate is verified on its shingles. In a posting all members are first held against the one
 that the most sets meet; only members that this leaves in different groups are then paired, each pair in the
 least posting that it shares, so a group of near copies costs its size, and all candidate pairs that could join
-two groups are looked at. Of these, pairs whose sketches (two bits of each of ``DRAWS`` least hashes) differ in over
-``MAX_APART`` places are not verified: at 0.8 a pair differs in 77 +- 8, so one in a million of such pairs is lost.
+two groups are looked at. Of these, pairs whose sketches differ in too many bits are not verified. A sketch has a bit for each of
+``SKETCH_BITS`` cells, set if an odd number of shingles lie there, so sets differ in as many shingles as sketches in bits, or more: at 0.8
+sets of n and m shingles differ in (n + m) / 9 at most, and a pair beyond that is surely no link. Of large sets, which fill the cells, fewer bits
+differ; there the limit is five deviations over the mean at 0.8, so of such pairs one in a million is lost.
 """
 
 from __future__ import annotations
@@ -31,15 +33,14 @@ from graphloom.llm.workers import task
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
-DRAWS = 512
-MAX_APART = 117
-SKETCH = [f"s{i}" for i in range(DRAWS // 32)]
+SKETCH_BITS = 1024
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 SIEVE_LOG2 = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(11)
-_TIMES = _rng.integers(0, 1 << 32, DRAWS, np.uint32) | np.uint32(1)
-_PLUS = _rng.integers(0, 1 << 32, DRAWS, np.uint32)
+_TIMES = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_PLUS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -96,18 +97,21 @@ def bands_of(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(rows: list[np.ndarray]) -> np.ndarray:
-    """Two bits of each least hash, 32 of them in a long; a row per set."""
-    two = (least_hashes(rows, DRAWS) & np.uint32(3)).astype(np.uint64).reshape(-1, len(SKETCH), 32) << (2 * np.arange(32, dtype=np.uint64))
-    return np.bitwise_or.reduce(two, axis=2).view(np.int64)
+    """Whether an odd number of shingles lies in each cell, 64 cells in a long; a row per set."""
+    out = np.zeros((len(rows), len(SKETCH)), np.int64)
+    for own, shingles in zip(out, rows, strict=True):
+        odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).view(np.int64), minlength=SKETCH_BITS) & 1
+        own[:] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+    return out
 
 
-def _apart(a: str, b: str) -> Column:
-    """In how many of the least hashes two sketches differ."""
-    apart = F.lit(0)
-    for s in SKETCH:
-        x = F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))
-        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return apart
+def _near_enough(a: str, b: str) -> Column:
+    """Whether the sketches of two sets differ in no more bits than those of sets alike by 0.8."""
+    apart = sum((F.bit_count(F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))) for s in SKETCH), F.lit(0))
+    most = (F.col(f"{a}_n") + F.col(f"{b}_n")) / 9
+    mean = SKETCH_BITS / 2 * (1 - F.exp(-2 * most / SKETCH_BITS))
+    deviation = F.sqrt(SKETCH_BITS / 4 * (1 - F.exp(-4 * most / SKETCH_BITS)))
+    return (9 * apart <= F.col(f"{a}_n") + F.col(f"{b}_n")) & (apart <= mean + 5 * deviation + 1)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -252,7 +256,7 @@ def groups(docs: DataFrame, keep: list[str], text_col: str = "text", fingerprint
     own = rest.groupBy("node").agg(F.collect_list("key").alias("keys")).join(sets.drop("shingles"), "node")  # BANDS keys at most
     rest = rest.join(own, "node")
     x, y = (rest.select("key", F.col("node").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in ("n", "root", "keys", *SKETCH))) for i in "ab")
-    pairs = x.join(y, "key").where("a < b and a_root != b_root").where(_long_enough(F.col("a_n"), F.col("b_n"))).where(_apart("a", "b") <= MAX_APART)
+    pairs = x.join(y, "key").where("a < b and a_root != b_root").where(_long_enough(F.col("a_n"), F.col("b_n"))).where(_near_enough("a", "b"))
     pairs = pairs.where("key = array_min(array_intersect(a_keys, b_keys))").select("a", "b")
     pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     if not pairs.isEmpty():

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,24 @@ def test_packing_counts_and_marks_in_one_worker(spark, texts):
     assert marks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     want = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, queries.TOKENIZER).collect()}
     assert {r.doc_id: r.n_tokens for r in marks.collect()} == want
+
+
+def test_pairs_that_are_no_links_are_told_by_their_sketches(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(400)]
+    docs = [" ".join(edited(rng, base, 6)) for _ in range(60)] + [" ".join(edited(rng, base, 1)) for _ in range(4)]  # most alike by 0.74
+    made, stored = {}, near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda df, name: made.setdefault(name, stored(df, name)) if name == "near-pairs" else stored(df, name))
+    got = [r.component for r in near_copies.groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()]
+    want = partition(docs)
+    assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
+    assert made["near-pairs"].count() < 200  # of 1770 pairs
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 300, 5000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in "ab")
+        whole = np.unique(np.concatenate([a, b[: n // 4]]))
+        x, y, z = near_copies.sketches([a, whole, a]).view(np.uint64)
+        assert np.bitwise_count(x ^ y).sum() <= len(whole) - len(a) and (x == z).all()
