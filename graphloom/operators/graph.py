@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.align import EQUAL
 from graphloom.functions.dna import revcomp
 from graphloom.operators import junctions, kmers, packed
-from graphloom.storage import stored
+from graphloom.storage import discard, stored
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def _compacted(nodes: DataFrame, plain: DataFrame, k: int, turned: Callable, tex
     seen = None
     while True:
         far = state.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("hops").alias("n2"), F.col("least").alias("l2"))
-        state = kept(state.join(far, "head").select("v", F.col("h2").alias("head"), (F.col("hops") + F.col("n2")).alias("hops"), F.least("least", "l2").alias("least")))
+        before, state = state, kept(state.join(far, "head").select("v", F.col("h2").alias("head"), (F.col("hops") + F.col("n2")).alias("hops"), F.least("least", "l2").alias("least")))
+        discard(before)
         starts = nodes.join(plain.select("v"), "v", "left_anti").select(F.col("v").alias("head"))
         unsettled = state.join(starts, "head", "left_anti")
         # on rings heads go round for ever, but their least k-mers settle
@@ -117,7 +118,8 @@ def _walk(nodes: DataFrame, plain: DataFrame) -> DataFrame:
     seen = None
     while True:
         far = state.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("hops").alias("n2"))
-        state = kept(state.join(far, "head").select("v", F.col("h2").alias("head"), (F.col("hops") + F.col("n2")).alias("hops")))
+        before, state = state, kept(state.join(far, "head").select("v", F.col("h2").alias("head"), (F.col("hops") + F.col("n2")).alias("hops")))
+        discard(before)
         total = state.agg(F.sum("hops")).first()[0]
         if total == seen:
             return state

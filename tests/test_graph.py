@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -154,3 +155,14 @@ def test_places_and_colours_of_broadcast_sides_are_not_shuffled(spark):
     both = spark.range(8).selectExpr("id AS unitig_id", "id AS v")
     found = walks.allowed(chosen, F.broadcast(both), F.broadcast(pairs))
     assert shuffles(found) == 1 and found.columns == ["gap", "v", "n"]
+
+
+def test_rounds_leave_only_their_last_table(spark, monkeypatch):
+    rng = random.Random(12)
+    text = "".join(rng.choice("ACGT") for _ in range(300))
+    made, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: made.append(kept(df)) or made[-1])
+    tigs, _ = graph.unitigs_of(spark.createDataFrame([(text,), (text,)], "seq string"), 21)
+    assert [r.n_kmers for r in tigs.collect()] == [280]
+    states = [t for t in made if "hops" in t.columns]
+    assert len(states) > 8 and sum(os.path.exists(t.stored_at.removeprefix("file:")) for t in states) == 1
