@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.align import EQUAL
 from graphloom.functions.dna import revcomp
 from graphloom.operators import junctions, kmers, packed
+from graphloom.sources import store
 from graphloom.storage import discard, stored
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, so that rounds don't pile up plans."""
-    return stored(df, "graph")
+    """Written to the shared folder, so that rounds don't pile up plans; what the write shuffled is deleted, as nothing else reads it."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return stored(df, "graph")
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def dealt(rows: DataFrame, key: str, most: int = 100_000) -> DataFrame:
@@ -73,6 +81,84 @@ def unitigs_of(reads: DataFrame, k: int, least: int = 2) -> tuple[DataFrame, Dat
     return _compacted(nodes, plain, k, turned, lambda v: packed.letters(v, k), lambda v: F.substring(F.lit("ACGT"), (v.bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)))
 
 
+def unitigs_by_slots(reads: DataFrame, k: int, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """As ``unitigs_of``, with the links of a lot of slots followed where its junctions are, so that rounds go over what is left of paths, not over k-mers."""
+    if k > 31:
+        return unitigs_of(reads, k, least)
+    found = kept(junctions.stretches(reads, k, least))
+    tigs = kept(_glued(found, k))
+    return tigs, store.index_of(tigs, k)
+
+
+def _glued(found: DataFrame, k: int) -> DataFrame:
+    """(unitig_id, seq, n_kmers) of ``junctions.stretches``: one that ends in a k-mer and the one that begins with it have that k-mer in common.
+
+    Pointer doubling goes over stretches, not over k-mers; those that are led back to an open begin are not taken further.
+    """
+    opens = lambda c: F.col(c) >= junctions.OPENS
+    name = lambda seq: F.xxhash64(seq).alias("unitig_id")
+    part = found.where("not whole")
+    state = kept(part.where("not shut").select(F.col("last").alias("v"), F.col("id").alias("head"), (F.col("n") - 1).alias("hops")))
+    seen = None
+    while True:
+        active = state.where(~opens("head"))
+        n = active.count()
+        if n == 0 or n == seen:  # each round settles some of every path, so what is left then lies on rings
+            break
+        seen = n
+        far = state.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("hops").alias("n2"))
+        further = active.join(far, "head").select("v", F.col("h2").alias("head"), (F.col("hops") + F.col("n2")).alias("hops"))
+        before, state = state, kept(state.where(opens("head")).union(further))
+        discard(before)
+    led = part.select("id", "last", "shut", "n", "seq").join(state.select(F.col("v").alias("id"), "head", "hops"), "id", "left")
+    chain = led.where(opens("id") | opens("head")).withColumns({"head": F.coalesce("head", "id"), "hops": F.coalesce("hops", F.lit(0))})
+    # a head of one k-mer has the hops of what follows it
+    joined = chain.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("hops", (~opens("id")).alias("later"), "seq"))).alias("all"), F.max(F.when(F.col("shut"), F.col("last"))).alias("last"), F.max(F.col("hops") + F.col("n")).alias("n_kmers"))
+    lesser = joined.where(F.col("head") - junctions.OPENS < packed.rc(F.col("last"), k))
+    out = found.where("whole").select("seq", F.col("n").alias("n_kmers")).union(lesser.select(F.array_join("all.seq", ""), "n_kmers"))
+    if n:
+        out = out.union(_rings(part.join(active.select(F.col("v").alias("id")), "id", "left_semi")).groupBy("ring").applyInArrow(_ring(k), "seq string, n_kmers int"))
+    return out.select(name("seq"), "seq", "n_kmers")
+
+
+def _rings(part: DataFrame) -> DataFrame:
+    """(ring, id, last, seq) of the stretches on rings, of both strands of a ring that of the lesser k-mer; ring: the least k-mer on it."""
+    part = kept(part)
+    state = kept(part.select("id", F.col("last").alias("to"), "low", "back"))
+    seen = None
+    while True:  # to: as many stretches on as low and back are the least of
+        now = state.agg(F.sum(F.xxhash64("id", "low", "back").cast("decimal(38,0)"))).first()[0]
+        if now == seen:
+            break
+        seen = now
+        far = state.select(F.col("id").alias("to"), F.col("to").alias("t2"), F.col("low").alias("l2"), F.col("back").alias("b2"))
+        before, state = state, kept(state.join(far, "to").select("id", F.col("t2").alias("to"), F.least("low", "l2").alias("low"), F.least("back", "b2").alias("back")))
+        discard(before)
+    return part.drop("low", "back").join(state.where("low < back").select("id", F.col("low").alias("ring")), "id").select("ring", "id", "last", "seq")
+
+
+def _ring(k: int) -> Callable:
+    """(seq, n_kmers) of the stretches (ring, id, last, seq) of a ring, from its least k-mer on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        own = {i: (z, s) for i, z, s in zip(*(t.column(c).to_pylist() for c in ("id", "last", "seq")), strict=True)}
+        least = t.column("ring")[0].as_py()
+        first = at = next(iter(own))
+        pieces = []
+        while True:
+            at, piece = own[at]
+            pieces.append(piece)
+            if at == first:
+                break
+        text = "".join(pieces)
+        n = len(text)
+        wide = text * (2 + -(-2 * k // n))
+        a = wide.index("".join("ACGT"[least >> 2 * i & 3] for i in range(k - 1, -1, -1)))
+        return pa.table({"seq": [wide[a : a + n + k - 1]], "n_kmers": pa.array([n], pa.int32())})
+
+    return run
+
+
 def _compacted(nodes: DataFrame, plain: DataFrame, k: int, turned: Callable, text: Callable, last: Callable) -> tuple[DataFrame, DataFrame]:
     """``unitigs`` of nodes (v) and the links (u, v) to follow. turned, text, last: the reverse complement of a k-mer, it as text, its last letter."""
     # head: farthest known predecessor; hops: its distance; least: smallest k-mer on the stretch (for rings)

@@ -142,6 +142,86 @@ def supported_links(reads: DataFrame, k: int, key: str, least: int = 2) -> DataF
     return _both(by_slots(_pieces(reads, k, key).drop("pos"), k - 1, fold, "x long, a long, b long, shared long", True), k)
 
 
+def stretches(reads: DataFrame, k: int, least: int = 2) -> DataFrame:
+    """(id, last, shut, whole, n, low, back, seq): paths of k-mers found ``least`` times or more as far as a slot follows them.
+
+    A slot has all about its junctions, so links with one way in and one way out, not from a k-mer to itself or its reverse complement, are
+    followed there, on both strands. A k-mer whose two junctions lie in two slots ends a path in one and begins one in the other. id: the first
+    k-mer; with OPENS added if nothing leads to it, and seq begins with it, else seq has what follows it. last: the last k-mer; shut: nothing
+    follows it. low, back: the least k-mer, and the least on the other strand. whole: a unitig, with the lesser seq of its
+    strands, or a ring, cut at its least k-mer.
+    """
+
+    def fold(s: Slots) -> Iterator[list]:
+        x, _ = _whole(s, least)
+        if len(x):
+            yield _paths(x, k)
+
+    return by_slots(_pieces(reads, k).drop("key", "pos"), k - 1, fold, "id long, last long, shut boolean, whole boolean, n int, low long, back long, seq string")
+
+
+OPENS = 1 << 62
+
+
+def _paths(sides: np.ndarray, k: int) -> list:
+    """The columns of ``stretches`` of a slot's solid sides, in order."""
+    own, code = sides >> _U(3), sides & _U(7)
+    before = code < _U(4)
+    w = np.where(before, (code << _U(2 * (k - 1))) | own, (own << _U(2)) | (code & _U(3)))
+    turned = reverse_complement(w, k)
+    ends, begins = np.where(before, w, turned), np.where(before, turned, w)  # k-mers with their right, their left junction here
+    v = np.unique(np.concatenate([ends, begins]))
+    at = lambda y: np.searchsorted(v, y)
+    has_left, has_right = np.zeros(len(v), bool), np.zeros(len(v), bool)
+    has_left[at(begins)] = has_right[at(ends)] = True
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    first = first[np.diff(np.append(first, len(own))) == 2]
+    first = first[before[first] & ~before[first + 1]]
+    a, b = w[first], w[first + 1]
+    plain = (a != b) & (b != turned[first])
+    a, b = a[plain], b[plain]
+    prior = np.full(len(v), -1)
+    prior[np.concatenate([at(b), at(reverse_complement(a, k))])] = np.concatenate([at(a), at(reverse_complement(b, k))])
+    head, hops, _ = _led(prior)
+    cut = np.zeros(len(v), bool)
+    if (prior[head] >= 0).any():  # rings: each is cut at its least k-mer
+        on = np.flatnonzero(prior[head] >= 0)
+        cut[on[_led(prior)[2][on] == on]] = True
+        prior[cut] = -1
+        head, hops, _ = _led(prior)
+    order = np.lexsort((hops, head))
+    start = np.flatnonzero(np.concatenate([[True], head[order][1:] != head[order][:-1]]))
+    n = np.diff(np.append(start, len(order)))
+    f, z = order[start], order[start + n - 1]
+    low, back = v[np.minimum.reduceat(order, start)], np.minimum.reduceat(reverse_complement(v[order], k), start)
+    ring, opens, shut = cut[f], has_left[f], has_right[z]
+    opens, shut = opens | ring, shut | ring
+    whole = opens & shut
+    some = ~whole | np.where(ring, low < back, v[f] < reverse_complement(v[z], k))  # of both strands of a unitig the lesser
+    # letters: of each k-mer the last one, of a first one all or none
+    width = np.ones(len(order), np.int64)
+    width[start] = np.where(opens, k, 0)
+    width[~np.repeat(some, n)] = 0
+    of = np.repeat(np.arange(len(order)), width)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+    text = np.frombuffer(b"ACGT", np.uint8)[(v[order][of] >> ((width[of] - 1 - place) * 2).astype(np.uint64) & _U(3)).astype(np.int64)]
+    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(width, start)[some])])
+    seq = pa.LargeStringArray.from_buffers(int(some.sum()), pa.py_buffer(offsets), pa.py_buffer(text)).cast(pa.string())
+    signed = lambda y: y[some].view(np.int64)
+    return [signed(v[f] | np.where(opens, _U(OPENS), _U(0))), signed(v[z]), shut[some], whole[some], n[some].astype(np.int32), signed(low), signed(back), seq]
+
+
+def _led(prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head, hops, least): where each place comes from by ``prior`` (-1: nowhere), by doubling, and the least place on the way; on a ring, of all of it."""
+    head = np.where(prior >= 0, prior, np.arange(len(prior)))
+    hops, least = (prior >= 0).astype(np.int64), np.minimum(head, np.arange(len(prior)))
+    for _ in range(len(prior).bit_length()):
+        if (prior[head] < 0).all():
+            break
+        hops, least, head = hops + hops[head], np.minimum(least, least[head]), head[head]
+    return head, hops, least
+
+
 def bubble_coverage(found: DataFrame, k: int) -> DataFrame:
     """(coverage): of vertices with several successors, none of which branches, that all lead on to one vertex at most.
 

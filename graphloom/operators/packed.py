@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SLOTS = 1 << 16
 NO_KEY = -(1 << 63)  # stands for null
 SLICE = 1 << 17  # letters, or k-mers, that are worked on together
+LOT = SLICE // 16  # super-k-mers of whole slots that are worked on together
 _CODE = np.full(256, 4, np.uint8)
 _CODE[list(b"ACGT")] = range(4)
 _U = np.uint64
@@ -266,10 +267,10 @@ def by_slots(pieces: DataFrame, k: int, fold: Callable[[Slots], Iterator[list]],
             slot = b.column("slot").to_numpy()
             change = np.flatnonzero(slot[1:] != slot[:-1]) + 1
             cut = int(change[-1]) if len(change) else 0
-            if rows and slot[0] != held[-1].column("slot")[held[-1].num_rows - 1].as_py() and rows >= SLICE // 16:
+            if rows and slot[0] != held[-1].column("slot")[held[-1].num_rows - 1].as_py() and rows >= LOT:
                 yield from done(held)
                 held, rows = [], 0
-            if cut and rows + cut >= SLICE // 16:
+            if cut and rows + cut >= LOT:
                 yield from done([*held, b.slice(0, cut)])
                 held, rows = [b.slice(cut)], b.num_rows - cut
             else:

@@ -176,7 +176,7 @@ def read_colors(reads: DataFrame) -> DataFrame:
 def correct_once(short: DataFrame, long: DataFrame, params: Params) -> DataFrame:
     """One pass at the first length, on the graph of the short reads' own k-mers."""
     short = graph.kept(read_colors(short))
-    tigs, index = graph.unitigs_of(short, params.k, params.solid)
+    tigs, index = graph.unitigs_by_slots(short, params.k, params.solid)
     return correct_pass(colored_graph(tigs, graph.kept(index), short, params.k, params, params.collapse), long, params, Pass(params.k, params.longest_gap, params.window))
 
 

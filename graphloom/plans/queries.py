@@ -386,7 +386,7 @@ def wf_group_join_combine(spark, sf):
 @query()
 def unitigs(spark, sf):
     """Lengths of unitigs of the documents' solid k-mers."""
-    tigs, _ = graph.unitigs_of(reads(spark, sf), K)
+    tigs, _ = graph.unitigs_by_slots(reads(spark, sf), K)
     return tigs.groupBy("n_kmers").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("least"))
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -153,3 +154,30 @@ def test_unitigs_of_packed_kmers_as_of_text(reads, rows):
     got, packed_index = graph.unitigs_of(more, K)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, packed_index.collect())) == sorted(map(tuple, index.collect()))
+
+
+@pytest.mark.parametrize("k, lot", [(31, packed.LOT), (31, 0), (9, 0)])
+def test_unitigs_by_slots_as_of_text(spark, reads, monkeypatch, k, lot):
+    rng = random.Random(3)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    rings = [s for n in (1, 2, 3, 7, 90, 400, 500) for x in [dna(n)] for s in ((x * 100)[: n + 60], rc((x * 100)[: 2 * n + 70]))]
+    long, loop = dna(900), dna(60)
+    more = [*rings, long, long, loop + rc(loop), rc(loop) + loop[:50], loop + dna(5) + rc(loop), 2 * (loop[:20] + dna(300) + rc(loop[:20]))]
+    texts = reads.select("seq").union(spark.createDataFrame([(s,) for s in more], "seq string")).repartition(3)
+    made, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: made.append(kept(df)) or made[-1])
+    want, index = graph.unitigs(kmers.solid(kmers.kmers(texts, k, [], strict=True)), k)
+    del made[:]
+    monkeypatch.setattr(packed, "LOT", lot)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "10000" if lot else "3")  # small lots: paths are cut wherever the minimizer changes
+    try:
+        got, packed_index = graph.unitigs_by_slots(texts, k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(map(tuple, packed_index.collect())) == sorted(map(tuple, index.collect()))
+    finally:
+        spark.conf.set(batch, before)
+    states = [t for t in made if "hops" in t.columns]
+    assert sum(os.path.exists(t.stored_at.removeprefix("file:")) for t in states) == 1 and (lot or len(states) > 2)
+    assert states[-1].count() < index.count() / 3  # rounds don't go over k-mers
