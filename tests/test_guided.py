@@ -57,6 +57,35 @@ def test_walk_finds_the_closest_of_all_paths(spark):
     assert {r.hop: (r.path, round(r.score, 9)) for r in got} == want and len(want) > 10
 
 
+def test_no_number_of_open_paths_takes_the_closest_from_a_gap(spark):
+    start, rest = drawn(20, 31), drawn(40, 32)
+    raw, way = start + "AAAAA" + rest, start + "TTTTT" + rest
+    closer = [start + "".join(x) + rest[:8] for x in itertools.product("ACGT", repeat=5)]  # 1023 others, which lead nowhere
+    fork = way[:34] + ("A" if way[34] != "A" else "C")
+    both, links, at = graph_of(spark, [way, fork, *closer])
+    u, w = at[start[:K]], at[rest[-K:]]
+    gaps = spark.createDataFrame([("0", "0", raw, u.v, u.off, w.v, w.off)], GAP)
+    score = 1 - int(align.last_row(way, raw)[-1]) / len(raw)
+    assert [(r.path, round(r.score, 9), r.other) for r in walks.walk(gaps, both, links, K).collect()] == [(way, round(score, 9), None)]
+    assert walks.walk(gaps, both, links, K, beam=512).isEmpty()
+
+
+def test_paths_that_cannot_be_closest_end(spark):
+    rng = random.Random(5)
+    rows = []
+    for v, n in itertools.product(range(3), (30, 31)):
+        rows += [("h", v, "".join(rng.choices("ACGT", k=n)), [rng.randrange(9) for _ in range(6)]) for _ in range(60)]
+    table = [(h, v, p, bytearray(b"".join(x.to_bytes(4, "little") for x in r)), i % 60 < 58) for i, (h, v, p, r) in enumerate(rows)]
+    df = spark.createDataFrame(table, "hop string, v long, path string, row binary, goes_on boolean").repartition(5)
+    got = walks.leading(df).collect()
+    assert sorted(r.path for r in got) == sorted(r[2] for r in rows)
+    on = {}
+    for h, v, p, r in (x for i, x in enumerate(rows) if i % 60 < 58):
+        on.setdefault((v, len(p)), []).append((r, p))
+    want = {p for own in on.values() for x in range(6) for _, p in sorted((r[x], p) for r, p in own)[:2]}
+    assert {r.path for r in got if r.goes_on} == want
+
+
 def test_long_gap_on_a_branching_graph(spark):
     g = drawn(1000, 6)
     other = worn(g, set(range(44, 800, 90)))
