@@ -423,6 +423,62 @@ def places(reads: DataFrame, other: DataFrame, k: int, key: str, most: int | Non
     return by_slots(both, k, fold, "rep long, key long, pos int, fwd boolean").withColumn("key", named())
 
 
+def colored(reads: DataFrame, tigs: DataFrame, k: int, key: str) -> DataFrame:
+    """(unitig_id, key, n): how many places of a read have a k-mer of a unitig, where any. tigs: (unitig_id, seq), no k-mer in two of them."""
+
+    def fold(s: Slots) -> Iterator[list]:
+        x, there = _owned(s, lambda row, i, fwd: (s.cols["key"][row],))
+        if x is None:
+            return
+        tig = there[0]
+        for r in s.stretches(0):
+            row, _, y, _ = s.canonical(r)
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            some = x[at] == y
+            own, key = tig[at[some]], s.cols["key"][row[some]]
+            order = np.lexsort((own, key))
+            own, key = own[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])) if len(own) else np.zeros(0, np.int64)
+            yield [own[first], key[first], np.diff(np.append(first, len(own)))]
+
+    both = super_kmers(reads, k, key).union(super_kmers(tigs, k, "unitig_id", side=1)).drop("pos")
+    parts = by_slots(both, k, fold, "unitig_id long, key long, n long", True)
+    return parts.groupBy("unitig_id", named()).agg(F.sum("n").alias("n"))
+
+
+def located(wanted: DataFrame, tigs: DataFrame, k: int) -> DataFrame:
+    """(kmer, unitig_id, dist, strand): where the k-mers (kmer, as text, each once) lie that unitigs have. tigs: (unitig_id, seq), no k-mer in two places."""
+
+    def fold(s: Slots) -> Iterator[list]:
+        x, there = _owned(s, lambda row, i, fwd: (s.cols["key"][row], s.cols["pos"][row] + i, fwd))
+        if x is None:
+            return
+        for r in s.stretches(0):
+            _, _, y, fwd = s.canonical(r)
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            some = x[at] == y
+            at, fwd = at[some], fwd[some]
+            own = np.where(fwd, x[at], reverse_complement(x[at], k))
+            yield [own.view(np.int64), there[0][at], there[1][at].astype(np.int32), there[2][at] == fwd]
+
+    both = super_kmers(wanted, k, seq_col="kmer").union(super_kmers(tigs, k, "unitig_id", side=1))
+    found = by_slots(both, k, fold, "kmer long, unitig_id long, dist int, strand boolean")
+    return found.withColumn("kmer", letters(F.col("kmer"), k))
+
+
+def _owned(s: Slots, of: Callable) -> tuple[np.ndarray | None, tuple]:
+    """The k-mers of side 1 in order, each once, and what ``of(row, place, whether it stands as it is)`` says of them."""
+    x, there = None, ()
+    for r in s.stretches(1):
+        row, i, y, fwd = s.canonical(r)
+        new = of(row, i, fwd)
+        if x is not None:
+            y, new = np.concatenate([x, y]), tuple(np.concatenate(c) for c in zip(there, new, strict=True))
+        x, at = np.unique(y, return_index=True)
+        there = tuple(c[at] for c in new)
+    return x, there
+
+
 def rescued(reads: DataFrame, wanted: DataFrame, common: DataFrame, k: int, key: str, least: int = 31, often: int = 2) -> DataFrame:
     """(key, n): reads with ``least`` or more k-mers that ``wanted`` has and ``common`` hasn't ``often`` times. key: a whole number."""
 

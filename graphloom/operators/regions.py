@@ -43,7 +43,9 @@ def color_consistent(hits: DataFrame, pairs: DataFrame, links: DataFrame, read:
     by_run = Window.partitionBy(read).orderBy("run")
     steps = ends.select(read, "run", "u", F.lead("u").over(by_run).alias("v"), "b", F.lead("a").over(by_run).alias("next"))
     steps = steps.where(F.col("next") == F.col("b") + 1)
-    common = pairs.select(F.col("v").alias("u"), "color").join(links.select("u", "v"), "u").join(pairs.select("v", "color"), ["v", "color"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
+    # colours are compared for the links that a read takes, not for all of the graph
+    taken = links.select("u", "v").join(steps.select("u", "v").distinct(), ["u", "v"], "left_semi")
+    common = pairs.select(F.col("v").alias("u"), "color").join(taken, "u").join(pairs.select("v", "color"), ["v", "color"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
     broken = steps.join(common.where(F.col("shared") >= least), ["u", "v"], "left_anti")
     gone = broken.select(read, "run").union(broken.select(read, F.col("run") + 1)).distinct()
     return runs.join(gone, [read, "run"], "left_anti").drop("fresh", "run")

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import kmers
 
 
-def exact_hits(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
+Index = DataFrame | Callable[[DataFrame], DataFrame]  # (kmer, unitig_id, dist, strand) of the graph's k-mers, or what gives those of a table (kmer)
+
+
+def _looked_up(found: DataFrame, index: Index, kmer: str) -> DataFrame:
+    known = index(found.select(F.col(kmer).alias("kmer")).distinct()) if callable(index) else index
+    return found.join(known.withColumnRenamed("kmer", kmer), kmer)
+
+
+def exact_hits(reads: DataFrame, index: Index, k: int) -> DataFrame:
     """(read_id, pos, kmer, unitig_id, dist, strand): places of reads longer than k whose k-mer the graph has."""
     found = kmers.kmers(reads.where(F.length("seq") > k), k, ["read_id"]).select("read_id", "pos", "kmer")
-    return found.join(index, "kmer").select("read_id", "pos", "kmer", "unitig_id", "dist", "strand")
+    return _looked_up(found, index, "kmer").select("read_id", "pos", "kmer", "unitig_id", "dist", "strand")
 
 
 def gap_classes(hits: DataFrame, reads: DataFrame, k: int, insert: int) -> DataFrame:
@@ -53,9 +63,9 @@ def searched_stretches(classes: DataFrame, hits: DataFrame, plain_pairs: DataFra
     return classes.join(tied, ["read_id", "before", "class"], "left_anti").select(*classes.columns)
 
 
-def inexact_hits(stretches: DataFrame, reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def inexact_hits(stretches: DataFrame, reads: DataFrame, index: Index, k: int) -> DataFrame:
     """(read_id, pos, kmer, near, kind, unitig_id, dist, strand): hits one edit away of the k-mers that lie in the stretches, exact ones left out."""
     inside = stretches.join(reads.select("read_id", "seq"), "read_id").select("read_id", "start", F.expr("substring(seq, start + 1, stop - start)").alias("seq"))
     each = kmers.kmers(inside, k, ["read_id", "start"], strict=True).select("read_id", (F.col("start") + F.col("pos")).alias("pos"), "kmer")
     near = kmers.neighbourhood(each, k, ["read_id"]).select("read_id", "pos", "kmer", "near", "kind")
-    return near.join(index.withColumnRenamed("kmer", "near"), "near").select("read_id", "pos", "kmer", "near", "kind", "unitig_id", "dist", "strand")
+    return _looked_up(near, index, "near").select("read_id", "pos", "kmer", "near", "kind", "unitig_id", "dist", "strand")

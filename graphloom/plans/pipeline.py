@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.dna import QUAL_BASE, all_bases_reach, revcomp
-from graphloom.operators import colors, correction, graph, guided, kmers, ordering, regions, seeding, walks
+from graphloom.operators import colors, correction, graph, guided, kmers, ordering, packed, regions, seeding, walks
 from graphloom.sources import store
 
 
@@ -92,7 +92,10 @@ def colored_graph(tigs: DataFrame, index: DataFrame, reads: DataFrame, k: int, p
 
     adjacent: (u, v) of unitigs whose link gets two colours of its own where it has too few; it isn't a supported one for that.
     """
-    hits = kmers.kmers(reads, k, ["color"]).select("color", "kmer").join(index.select("kmer", "unitig_id"), "kmer").groupBy("unitig_id", "color").agg(F.count(F.lit(1)).alias("n"))
+    if k > 31:
+        hits = kmers.kmers(reads, k, ["color"]).select("color", "kmer").join(index.select("kmer", "unitig_id"), "kmer").groupBy("unitig_id", "color").agg(F.count(F.lit(1)).alias("n"))
+    else:  # slot by slot, no row per k-mer
+        hits = packed.colored(reads, tigs, k, "color").withColumnRenamed("key", "color")
     hits = graph.kept(hits)
     pairs = hits.select("unitig_id", "color")
     if once:
@@ -114,7 +117,9 @@ def colored_graph(tigs: DataFrame, index: DataFrame, reads: DataFrame, k: int, p
 
 def seeds(g: Graph, reads: DataFrame, params: Params, step: Pass) -> tuple[DataFrame, DataFrame]:
     """Solid and weak anchors of reads. The second pass has no weak ones, as no stretch is searched for inexact hits."""
-    exact = graph.kept(seeding.exact_hits(reads, g.index, g.k))
+    # up to 31 letters reads' k-mers are looked up slot by slot, so that no table of all of the graph's is made
+    index = (lambda wanted: packed.located(wanted, g.tigs, g.k)) if g.k <= 31 else g.index
+    exact = graph.kept(seeding.exact_hits(reads, index, g.k))
     solid = regions.without_overlaps(exact, "read_id", g.k)
     ends = walks.unitig_links(g.links, g.both)
     solid = graph.kept(guided.anchors(regions.color_consistent(solid, g.pairs.withColumnRenamed("unitig_id", "v"), ends, "read_id", params.least_colors), g.tigs))
@@ -123,7 +128,7 @@ def seeds(g: Graph, reads: DataFrame, params: Params, step: Pass) -> tuple[DataF
     plain = g.pairs.join(g.stats.where("not branching").select("unitig_id"), "unitig_id", "left_semi")
     classes = seeding.gap_classes(exact, reads, g.k, params.insert)
     searched = graph.kept(seeding.searched_stretches(classes, exact, plain, params.insert, params.least_colors))
-    near = graph.kept(seeding.inexact_hits(searched, reads, g.index, g.k))
+    near = graph.kept(seeding.inexact_hits(searched, reads, index, g.k))
     return solid, graph.kept(guided.anchors(regions.non_overlapping_weak(near, "read_id", g.k), g.tigs, "near"))
 
 
@@ -177,7 +182,7 @@ def correct_once(short: DataFrame, long: DataFrame, params: Params) -> DataFrame
     """One pass at the first length, on the graph of the short reads' own k-mers."""
     short = graph.kept(read_colors(short))
     tigs, index = graph.unitigs_by_slots(short, params.k, params.solid)
-    return correct_pass(colored_graph(tigs, graph.kept(index), short, params.k, params, params.collapse), long, params, Pass(params.k, params.longest_gap, params.window))
+    return correct_pass(colored_graph(tigs, index if params.k <= 31 else graph.kept(index), short, params.k, params, params.collapse), long, params, Pass(params.k, params.longest_gap, params.window))
 
 
 def first_graph(short: DataFrame, params: Params) -> tuple[Graph, DataFrame]:

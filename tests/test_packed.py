@@ -181,3 +181,28 @@ def test_unitigs_by_slots_as_of_text(spark, reads, monkeypatch, k, lot):
     states = [t for t in made if "hops" in t.columns]
     assert sum(os.path.exists(t.stored_at.removeprefix("file:")) for t in states) == 1 and (lot or len(states) > 2)
     assert states[-1].count() < index.count() / 3  # rounds don't go over k-mers
+
+
+def test_colours_and_places_of_unitigs_as_of_text(spark, reads, rows):
+    tigs, index = graph.unitigs(kmers.solid(kmers.kmers(reads.na.fill("").select("seq"), K, [], strict=True)), K)
+    tigs, index = graph.kept(tigs), graph.kept(index)
+    each = kmers.kmers(reads.na.fill(""), K, ["id"]).join(index, "kmer")
+    want = each.groupBy("unitig_id", F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    got = packed.colored(reads, tigs, K, "id")
+    assert Counter(map(tuple, got.select("unitig_id", "key", "n").collect())) == Counter(map(tuple, want.collect())) and want.count() > 50
+    mine = kmers.kmers(reads.na.fill(""), K, []).select("kmer").distinct()
+    want = mine.join(index, "kmer").select("kmer", "unitig_id", "dist", "strand").collect()
+    assert Counter(map(tuple, packed.located(mine, tigs, K).collect())) == Counter(map(tuple, want)) and want
+
+
+def test_correction_makes_no_table_of_all_kmers(spark, monkeypatch):
+    from graphloom.plans import pipeline
+
+    genome = "".join(random.Random(9).choices("ACGT", k=1500))
+    short = spark.createDataFrame([(genome[a : a + 100],) for a in range(0, 1400, 9)], "seq string")
+    worn = "".join("ACGT"["ACGT".index(c) - 1] if i % 61 == 30 else c for i, c in enumerate(genome[200:900]))
+    made, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: made.append(kept(df)) or made[-1])
+    got = pipeline.correct_once(short, spark.createDataFrame([(1, "r", worn)], "read_id long, name string, seq string"), pipeline.Params(insert=100)).first()
+    assert sum(a != b for a, b in zip(got.seq, genome[200:900], strict=True)) < 5
+    assert not [t for t in made if {"kmer", "dist", "strand"} == set(t.columns) - {"unitig_id"}]
