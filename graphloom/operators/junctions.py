@@ -104,23 +104,26 @@ def degrees(found: DataFrame, k: int) -> DataFrame:
 
 
 def supported_links(reads: DataFrame, k: int, key: str, least: int = 2) -> DataFrame:
-    """(u, v, shared): links of k-mers found ``least`` times or more, and the reads that have both ends. key: a whole number.
+    """(u, v, shared, both): links of k-mers found ``least`` times or more, and the reads that have both ends; both: u and v as text, one after the other.
+    key: a whole number.
 
     A read with both ends has the letter before and the letter after the junction, somewhere and on either strand, so the slot knows.
     """
 
     def fold(s: Slots) -> Iterator[list]:
-        solid, _ = _whole(s, least)
+        parts = list(s.stretches(by_key=True))
+        once = [_sides(s, parts[0])] if len(parts) == 1 else []  # mostly a lot is one stretch, which is read once
+        x, n = tally(once[0][1]) if once else totals(tally(_sides(s, r)[1]) for r in parts)
+        solid = x[n >= least]
         own, code = solid >> _U(3), (solid & _U(7)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
         bits = np.bitwise_or.reduceat(1 << code, at) if len(at) else at
         open_ = (bits & 15 > 0) & (bits >> 4 > 0)
         x, bits = own[at][open_], bits[open_]
         shared = np.zeros((len(x), 16), np.int64)
-        for r in s.stretches(by_key=True):
+        for row, side in once or (_sides(s, r) for r in parts):
             if not len(x):
                 break
-            row, side = _sides(s, r)
             y = side >> _U(3)
             place = np.minimum(np.searchsorted(x, y), len(x) - 1)
             some = (x[place] == y) & (s.cols["key"][row] != NO_KEY) & (bits[place] >> (side & _U(7)).astype(np.int64) & 1 > 0)
@@ -137,9 +140,27 @@ def supported_links(reads: DataFrame, k: int, key: str, least: int = 2) -> DataF
         a, b = np.arange(16) >> 2, np.arange(16) & 3
         there = (bits[:, None] >> a & 1 > 0) & (bits[:, None] >> (4 + b) & 1 > 0)
         i, j = np.nonzero(there)
-        yield [x[i].view(np.int64), a[j].astype(np.int64), b[j].astype(np.int64), shared[i, j]]
+        for z in range(0, len(i), SLICE):
+            yield _two(x[i[z : z + SLICE]], a[j[z : z + SLICE]].astype(np.uint64), b[j[z : z + SLICE]].astype(np.uint64), shared[i[z : z + SLICE], j[z : z + SLICE]], k)
 
-    return _both(by_slots(_pieces(reads, k, key).drop("pos"), k - 1, fold, "x long, a long, b long, shared long", True), k)
+    return by_slots(_pieces(reads, k, key).drop("pos"), k - 1, fold, "u long, v long, shared long, both string", True)
+
+
+def _two(x: np.ndarray, a: np.ndarray, b: np.ndarray, shared: np.ndarray, k: int) -> list:
+    """The columns of ``supported_links`` for links of the letters a and b before and after the junctions x, on both strands."""
+    u, v = (a << _U(2 * (k - 1))) | x, (x << _U(2)) | b
+    other = reverse_complement(x, k - 1) != x
+    u, v = np.concatenate([u, reverse_complement(v[other], k)]), np.concatenate([v, reverse_complement(u[other], k)])
+    by = (2 * np.arange(k - 1, -1, -1)).astype(np.uint64)
+    text = np.empty((len(u), 2 * k), np.uint8)
+    for at, y in ((0, u), (k, v)):
+        for i in range(k):
+            text[:, at + i] = _ACGT[(y >> by[i] & _U(3)).astype(np.int64)]
+    both = pa.StringArray.from_buffers(len(u), pa.py_buffer(np.arange(0, 2 * k * len(u) + 1, 2 * k, dtype=np.int32)), pa.py_buffer(text))
+    return [u.view(np.int64), v.view(np.int64), np.concatenate([shared, shared[other]]), both]
+
+
+_ACGT = np.frombuffer(b"ACGT", np.uint8)
 
 
 def stretches(reads: DataFrame, k: int, least: int = 2) -> DataFrame:

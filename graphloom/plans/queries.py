@@ -262,8 +262,7 @@ def color_jaccard(spark, sf):
 def edge_support(spark, sf):
     """Links of the graph whose ends share two documents or more."""
     links = junctions.supported_links(reads(spark, sf), K, "doc_id")
-    both = F.concat(packed.letters(F.col("u"), K), packed.letters(F.col("v"), K))
-    return links.groupBy((F.col("shared") >= 2).alias("supported")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")).alias("all_links"))
+    return links.groupBy((F.col("shared") >= 2).alias("supported")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.md5("both"), 1, 15), 16, 10).cast("long")).alias("all_links"))
 
 
 @query(f"WITH {_SOLID} SELECT doc_id, count(*) AS n_solid, CAST(round(sum(n) * 1.0 / count(*)) AS BIGINT) AS coverage FROM km JOIN solid USING (rep) GROUP BY doc_id")

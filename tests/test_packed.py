@@ -206,3 +206,20 @@ def test_correction_makes_no_table_of_all_kmers(spark, monkeypatch):
     got = pipeline.correct_once(short, spark.createDataFrame([(1, "r", worn)], "read_id long, name string, seq string"), pipeline.Params(insert=100)).first()
     assert sum(a != b for a, b in zip(got.seq, genome[200:900], strict=True)) < 5
     assert not [t for t in made if {"kmer", "dist", "strand"} == set(t.columns) - {"unitig_id"}]
+
+
+def test_links_that_reads_share_come_as_text(spark, reads, rows):
+    long = "".join(random.Random(4).choices("ACGT", k=packed.SLICE + 700))  # a lot of more than one stretch
+    more = [*rows, (100, long), (101, rc(long[5000:])), (102, long[:400])]
+    df = spark.createDataFrame(more, "id long, seq string").coalesce(1)
+    n, docs, after = Counter(), {}, {}
+    for key, seq in more:
+        for _, x in kmers_of(seq):
+            n[rep(x)] += 1
+            docs.setdefault(rep(x), set()).update(() if key is None else [key])
+    for x in {y for z, c in n.items() if c > 1 for y in (z, rc(z))}:
+        after.setdefault(x[:-1], []).append(x)
+    want = {u + v: len(docs[rep(u)] & docs[rep(v)]) for us in after.values() for u in us for v in after.get(u[1:], [])}
+    got = junctions.supported_links(df, K, "id")
+    kept = got.withColumn("named", F.concat(packed.letters(F.col("u"), K), packed.letters(F.col("v"), K))).collect()
+    assert len(kept) == len(want) and {r.both: r.shared for r in kept} == want and all(r.named == r.both for r in kept)
